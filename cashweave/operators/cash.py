@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cashweave.constants import BURN_ROWS, OUTFLOW, RISK_BALANCE, RUNWAY_ALERT_DAYS
 from cashweave.functions.columns import count_where, double, money
-from cashweave.operators.calendar import tenant_calendar
+from cashweave.operators.schedule import tenant_calendar
 from cashweave.operators.ledger import daily_totals
 
 

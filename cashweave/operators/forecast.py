@@ -7,12 +7,10 @@ goes on); the boosted model in ``boosted`` is the real one.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cashweave.constants import BAND_Z, CHECKPOINT_DAYS, HORIZON_DAYS, RISK_BALANCE
-from cashweave.functions.columns import count_where, dollars, double, month_and_day
+from cashweave.functions.columns import count_where, dollars, double, money, month_and_day
 from cashweave.operators.cash import burn_runway
 from cashweave.operators.features import residual_stats, time_ordered_split, training_rows, net_flow_history
 
@@ -182,7 +180,7 @@ def forecast_json(forecast: DataFrame) -> DataFrame:
     record = F.struct(
         "forecast_day",
         F.col("forecast_date").cast("string").alias("forecast_date"),
-        "predicted_balance",
+        money(F.col("predicted_balance")).alias("predicted_balance"),  # no exponents in the text
         "risk_flag",
     )
     records = F.transform(
@@ -192,7 +190,3 @@ def forecast_json(forecast: DataFrame) -> DataFrame:
                            r["risk_flag"].alias("risk_flag")),
     )
     return forecast.groupBy("tenant_id").agg(F.to_json(records).alias("payload"))
-
-
-def as_days(*days: str) -> list[dt.date]:
-    return [dt.date.fromisoformat(d) for d in days]

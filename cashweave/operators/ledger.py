@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cashweave.constants import INFLOW, OUTFLOW, RETAIL, WHOLESALE
 from cashweave.functions.columns import money, signed
-from cashweave.operators.calendar import recurring_dates
+from cashweave.operators.schedule import recurring_dates
 
 LEDGER_COLUMNS = (
     "tenant_id", "ledger_id", "entry_date", "flow_type",

@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cashweave.constants import INVOICE_PAYMENT, LATE_DAYS_PAST_TERMS, WHOLESALE
-from cashweave.functions.columns import count_where, double, ratio, sum_where
+from cashweave.functions.columns import count_where, ratio, sum_where
 from cashweave.operators.sales import invoices_by_day
 
 PAIR = ["tenant_id", "customer_id", "amount"]
@@ -176,7 +176,7 @@ def describe_receivables(matched: DataFrame, customers: DataFrame) -> DataFrame:
             "payment_terms_days",
             "labeled_chronic_late_payer",
             "invoice_count",
-            double(F.coalesce("outstanding_ar", F.lit(0))).alias("outstanding_ar"),
+            F.coalesce("outstanding_ar", F.lit(0)).alias("outstanding_ar"),
             F.round("mean_days", 1).alias("avg_days_to_pay"),
             F.round(past_terms, 1).alias("avg_days_past_terms"),
             (past_terms > LATE_DAYS_PAST_TERMS).alias("is_at_risk_customer"),

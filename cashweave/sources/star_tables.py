@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.constants import OUTFLOW, RETAIL, STARTING_BALANCE, WHOLESALE
 from cashweave.functions.columns import money, padded_id
+from cashweave.operators.cash import daily_position
 from cashweave.operators.clean import dedupe
 from cashweave.operators.ledger import (
     combine,
@@ -25,7 +26,8 @@ from cashweave.operators.ledger import (
     receipt_entry,
     recurring_entries,
 )
-from cashweave.operators.cash import daily_position
+from cashweave.operators.receivables import invoice_payments
+from cashweave.session import checkpointed
 
 # Fixed values of the mapping.
 START, END = dt.date(1995, 1, 1), dt.date(2001, 8, 1)
@@ -166,6 +168,35 @@ class StarTables:
     def party_totals(self) -> DataFrame:
         return daily_party_totals(self.sales(), "delay_days")
 
+    def share_totals(self) -> StarTables:
+        """Computes the daily totals once, for queries that read them several times."""
+        self.party_totals = checkpointed(self.party_totals)
+        return self
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Revenue by tenant, day and channel from the daily totals (no counts)."""
+        return self.party_totals.groupBy("tenant_id", "transaction_date", "channel").agg(
+            F.sum("amount").alias("total_revenue")
+        )
+
+    @cached_property
+    def _wholesale_totals(self) -> DataFrame:
+        return self.party_totals.where(F.col("channel") == WHOLESALE)
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return self._wholesale_totals.select(
+            "tenant_id", "customer_id", F.col("transaction_date").alias("invoice_date"),
+            F.col("amount").alias("total_amount"),
+        )
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        """Same rows as the invoice payments of the ledger, without building the rest of it."""
+        paid_on = F.date_add("transaction_date", F.col("delay_days"))
+        return invoice_payments(expand_entries(self._wholesale_totals, [payment_entry(paid_on)], F.lit(END)))
+
     @cached_property
     def obligations(self) -> DataFrame:
         """Duties sized by each tenant's lifetime revenue."""
