@@ -7,12 +7,25 @@ goes on); the boosted model in ``boosted`` is the real one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from cashweave.constants import BAND_Z, CHECKPOINT_DAYS, HORIZON_DAYS, RISK_BALANCE
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cashweave.constants import (
+    BAND_Z,
+    BURN_ROWS,
+    CHECKPOINT_DAYS,
+    HORIZON_DAYS,
+    RISK_BALANCE,
+    TRAIN_SHARE,
+)
 from cashweave.functions.columns import count_where, dollars, double, money, month_and_day
-from cashweave.operators.cash import burn_runway
-from cashweave.operators.features import residual_stats, time_ordered_split, training_rows, net_flow_history
+from cashweave.operators.cash import by_day
+from cashweave.operators.features import (
+    net_flow_history,
+    prior_mean,
+    residual_stats,
+    time_ordered_split,
+    training_rows,
+)
 
 FORECAST_COLUMNS = (
     "tenant_id", "forecast_day", "forecast_date", "predicted_balance",
@@ -50,21 +63,36 @@ def run_rate_sigma(position: DataFrame) -> DataFrame:
 
 
 def run_rate_projection(position: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
-    """Each tenant's latest balance moved on by its trailing 30-day mean flow."""
-    latest = burn_runway(position).groupBy("tenant_id").agg(
-        F.max_by(
-            F.struct("position_date", "closing_balance", "avg_daily_net_burn_30d"), "position_date"
-        ).alias("now")
+    """Each tenant's latest balance moved on by its trailing 30-day mean flow.
+
+    The mean, the holdout errors behind sigma and the latest balance come from
+    one pass over the series: rows after the first 30 are usable, and the last
+    of those are the holdout, as in ``time_ordered_split``.
+    """
+    days, tenant = by_day(), Window.partitionBy("tenant_id")
+    trailing = days.rowsBetween(-(BURN_ROWS - 1), Window.currentRow)
+    rows = net_flow_history(position).select(
+        "tenant_id",
+        "position_date",
+        "closing_balance",
+        (double(F.col("net_flow")) - prior_mean("net_flow", BURN_ROWS, days)).alias("error"),
+        (double(F.sum("net_flow").over(trailing)) / F.count("net_flow").over(trailing)).alias("run_rate"),
+        F.row_number().over(days).alias("n"),
+        F.count(F.lit(1)).over(tenant).alias("size"),
     )
+    holdout = F.col("n") > BURN_ROWS + F.floor((F.col("size") - BURN_ROWS) * F.lit(TRAIN_SHARE))
+    now = F.max_by(F.struct("position_date", "closing_balance", "run_rate"), "position_date")
     day = F.col("forecast_day")
     return (
-        latest.join(run_rate_sigma(position).select("tenant_id", "sigma"), "tenant_id")
+        rows.groupBy("tenant_id")
+        .agg(F.stddev_pop(F.when(holdout, F.col("error"))).alias("sigma"), now.alias("now"))
+        .where(F.col("sigma").isNotNull())
         .withColumn("forecast_day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
         .select(
             "tenant_id",
             "forecast_day",
             F.date_add("now.position_date", day).alias("forecast_date"),
-            (double(F.col("now.closing_balance")) - F.col("now.avg_daily_net_burn_30d") * day).alias("balance"),
+            (double(F.col("now.closing_balance")) + F.col("now.run_rate") * day).alias("balance"),
             "sigma",
         )
     )

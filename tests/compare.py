@@ -53,7 +53,7 @@ def compare(spark, con, folder: str, name: str) -> str | None:
     from __spark_entry__ import oracle_sql, queries
 
     return differences(
-        queries()[name](spark, folder).toArrow(), con.execute(oracle_sql()[name]).to_arrow_table()
+        queries()[name](spark, folder).toArrow(), con.sql(oracle_sql()[name]).to_arrow_table()
     )
 
 
