@@ -55,15 +55,19 @@ def write_table(
 
 
 def replace_partitions(df: DataFrame, name: str) -> None:
-    """Replace only the partitions present in ``df`` of a partitioned table."""
+    """Replace only the partitions present in ``df`` of a partitioned table.
+
+    The mode is a session setting for catalog tables (a writer option would be
+    ignored and the whole table replaced), so it is put back afterwards.
+    """
     spark = df.sparkSession
-    columns = spark.table(name).columns
-    (
-        df.select(*columns)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(name, overwrite=True)
-    )
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
