@@ -103,6 +103,8 @@ def balance_extremes(
         count_where(balance < RISK_BALANCE).alias("days_below_threshold"),
         count_where(balance < 0).alias("days_negative"),
         F.count(F.lit(1)).alias("days"),
+        F.min(day).alias("first_day"),
+        F.max(day).alias("last_day"),
     )
 
 

@@ -60,3 +60,12 @@ def best_sellers(performance: DataFrame, by: str = "total_revenue", k: int = 10)
 def slow_movers(performance: DataFrame, k: int = 10) -> DataFrame:
     """Fewest units sold; a product that is sold out is not slow."""
     return _ranked(performance.where(F.col("current_stock") != 0), [F.asc("units_sold")], k)
+
+
+def product_extremes(performance: DataFrame) -> DataFrame:
+    """Revenue of the best seller and units of the slowest mover still in stock."""
+    in_stock = F.col("current_stock") != 0
+    return performance.groupBy("tenant_id").agg(
+        F.max("total_revenue").alias("best_seller_revenue"),
+        F.min(F.when(in_stock, F.col("units_sold"))).alias("slowest_units"),
+    )

@@ -337,8 +337,12 @@ def vocabulary_answers(t):
         F.sum("outstanding_ar").alias("receivables"),
         F.count(F.lit(1)).alias("wholesale_customers"),
     )
+    outlook = forecast.checkpoint_summary(forecast.run_rate_forecast(t.position))
+    listed = products.product_extremes(products.product_performance(t.products, t.sales()))
     metrics = (
         header.drop("runway_text")
+        .join(listed, "tenant_id", "left")
+        .join(outlook.drop("at_risk_days", "days"), "tenant_id", "left")
         .join(latest.select("tenant_id", F.col("avg_daily_net_burn_30d").alias("burn_rate")), "tenant_id", "left")
         .join(owed, "tenant_id", "left")
     )

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql.types import (
     BooleanType,
     DataType,
+    DateType,
     DecimalType,
+    DoubleType,
     IntegerType,
     StringType,
     StructField,
@@ -90,3 +92,13 @@ POSITION = SourceTable(
 )
 
 SOURCES = {t.name: t for t in (PRODUCTS, CUSTOMERS, SALES, LEDGER, POSITION)}
+
+FORECAST = StructType([
+    StructField("tenant_id", StringType()),
+    StructField("forecast_day", IntegerType()),
+    StructField("forecast_date", DateType()),
+    StructField("predicted_balance", DoubleType()),
+    StructField("confidence_lower", DoubleType()),
+    StructField("confidence_upper", DoubleType()),
+    StructField("risk_flag", BooleanType()),
+])

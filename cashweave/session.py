@@ -28,6 +28,25 @@ def local_session(cpus: int | str = "*", app: str = "cashweave", **conf: str) ->
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a large run: partitions of about 256 MB, split where they are hot.
+
+    AQE merges small partitions at run time, so the initial number is set for
+    the largest shuffle, which is one pass over the input.
+    """
+    target = 256 * 1024**2
+    partitions = max(2 * cores, -(-input_bytes // target))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; only a local run may make its own."""
     sc = spark.sparkContext

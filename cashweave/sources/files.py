@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from cashweave.schemas import SOURCES
+from cashweave.schemas import FORECAST, SOURCES
 
 CORRUPT = "_corrupt_record"
 
@@ -79,5 +79,21 @@ def for_tenant(df: DataFrame, tenant_id: str | None) -> DataFrame:
     return df if tenant_id is None else df.where(F.col("tenant_id") == F.lit(tenant_id))
 
 
-def read_forecast(spark: SparkSession, table: str = "cash_forecast", tenant_id: str | None = None) -> DataFrame:
-    return for_tenant(spark.table(table), tenant_id).orderBy("tenant_id", "forecast_date")
+def read_forecast(
+    spark: SparkSession,
+    table: str = "cash_forecast",
+    tenant_id: str | None = None,
+    csv_path: str | None = None,
+) -> DataFrame:
+    """A stored forecast in day order, from its table or from CSV.
+
+    Dates and flags come typed either way. While no forecast was written the
+    result is empty.
+    """
+    if csv_path is not None:
+        stored = spark.read.schema(FORECAST).option("header", True).csv(csv_path)
+    elif spark.catalog.tableExists(table):
+        stored = spark.table(table)
+    else:
+        stored = spark.createDataFrame([], FORECAST)
+    return for_tenant(stored, tenant_id).orderBy("tenant_id", "forecast_date")

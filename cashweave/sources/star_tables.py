@@ -84,19 +84,29 @@ class StarTables:
     def customers(self) -> DataFrame:
         return self._customer.drop("c_custkey", "delay_days")
 
-    def sales(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
-        """Deduplicated sales lines; a period is filtered in the order scan."""
+    def _orders(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
         orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        lines = self.raw("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            "l_quantity", "l_extendedprice", "l_shipdate",
-        )
         if first is not None and last is not None:
             after = last + dt.timedelta(days=1)
             orders = orders.where(
                 (F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz"))
                 & (F.col("o_orderdate") < F.lit(after).cast("timestamp_ntz"))
             )
+        return orders
+
+    def sales(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+        """Deduplicated sales lines; a period is filtered in the order scan.
+
+        Copies are dropped before the join, so a hot order is already small
+        there; orders meet customers first, because lines are the largest side
+        and should move once.
+        """
+        orders = self._orders(first, last)
+        lines = self.raw("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            "l_quantity", "l_extendedprice", "l_shipdate",
+        )
+        if first is not None and last is not None:
             lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
         lines = dedupe(
             lines,
@@ -128,11 +138,12 @@ class StarTables:
     @cached_property
     def products(self) -> DataFrame:
         """A tenant lists the parts it sold plus the parts whose home it is."""
+        sellers = self._orders().join(
+            self._customer.select("c_custkey", "tenant_id"), F.col("o_custkey") == F.col("c_custkey")
+        )
         sold = (
             self.raw("lineitem").select("l_orderkey", "l_partkey")
-            .join(self.raw("orders").select("o_orderkey", "o_custkey"),
-                  F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self._customer.select("c_custkey", "tenant_id"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(sellers.select("o_orderkey", "tenant_id"), F.col("l_orderkey") == F.col("o_orderkey"))
             .select("tenant_id", F.col("l_partkey").alias("p_partkey"))
         )
         part = self.raw("part")

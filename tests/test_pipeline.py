@@ -86,3 +86,13 @@ def test_overwrite_may_change_the_schema(spark):
     write_table(spark.range(3), "changing")
     assert write_table(spark.range(2).withColumn("x", F.lit("new")), "changing") == 2
     assert spark.table("changing").columns == ["id", "x"]
+
+
+def test_forecast_from_csv_and_before_any_was_written(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(
+        "tenant_id,forecast_day,forecast_date,predicted_balance,confidence_lower,confidence_upper,risk_flag\n"
+        "A,2,2026-08-21,47872.51,46108.1,49636.91,False\nA,1,2026-08-20,46504.36,45256.73,47751.98,True\n"
+        "B,1,2026-08-20,1,0,2,True\n")
+    got = read_forecast(spark, tenant_id="A", csv_path=str(tmp_path / "f.csv")).collect()
+    assert [(r["forecast_date"], r["risk_flag"]) for r in got] == [(dt.date(2026, 8, 20), True), (dt.date(2026, 8, 21), False)]
+    assert read_forecast(spark, "no_such_table").count() == 0

@@ -73,3 +73,5 @@ def test_product_lists(spark):
     assert ranked(products.best_sellers(performance, k=2)) == ["P1", "P4"]
     assert ranked(products.best_sellers(performance, by="units_sold", k=2)) == ["P4", "P1"]
     assert ranked(products.slow_movers(performance, k=2)) == ["P3", "P1"]
+    extremes = products.product_extremes(performance).collect()[0]
+    assert (extremes["best_seller_revenue"], extremes["slowest_units"]) == (8, 0)
