@@ -106,13 +106,15 @@ class StarTables:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             "l_quantity", "l_extendedprice", "l_shipdate",
         )
-        if first is not None and last is not None:
+        order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+        if first is None or last is None:
+            lines = dedupe(lines, ["l_orderkey", "l_linenumber"], order)
+        else:
+            # only lines of the period are worth sorting; as one struct the key is not
+            # covered by the join's partitioning, so copies still collapse on the map side
             lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        lines = dedupe(
-            lines,
-            ["l_orderkey", "l_linenumber"],
-            ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"],
-        )
+            keyed = lines.withColumn("line", F.struct("l_orderkey", "l_linenumber"))
+            lines = dedupe(keyed, ["line"], order).drop("line")
         buyers = self._customer.select(
             "c_custkey", "tenant_id", "customer_id", F.col("segment").alias("channel"), "delay_days"
         )
