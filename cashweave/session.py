@@ -12,6 +12,7 @@ def local_session(cpus: int | str = "*", app: str = "cashweave", **conf: str) ->
     settings = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
