@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cashweave.schemas import SOURCES
 from cashweave.sources.files import CORRUPT
 
+REASON = "reject_reason"
+
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """Keep, per key, the row whose other columns sort lowest (nulls first).
@@ -38,17 +40,26 @@ def _reject_reason(df: DataFrame, table: str) -> Column:
     )
 
 
+def mark_rejects(bronze: DataFrame, table: str) -> DataFrame:
+    """Adds ``reject_reason``, NULL for good rows.
+
+    Stored with Bronze, it lets both the Silver build and the reject table
+    filter on one column the file format keeps null counts for.
+    """
+    if REASON in bronze.columns:
+        return bronze
+    return bronze.withColumn(REASON, _reject_reason(bronze, table))
+
+
 def rejects(bronze: DataFrame, table: str) -> DataFrame:
     """Rows that do not reach Silver, with the reason; nothing disappears silently."""
-    return bronze.withColumn("reject_reason", _reject_reason(bronze, table)).where(
-        F.col("reject_reason").isNotNull()
-    )
+    return mark_rejects(bronze, table).where(F.col(REASON).isNotNull())
 
 
 def to_silver(bronze: DataFrame, table: str) -> DataFrame:
     """Typed, deduplicated table with exactly the source columns."""
     source = SOURCES[table]
-    accepted = bronze.where(_reject_reason(bronze, table).isNull())
+    accepted = mark_rejects(bronze, table).where(F.col(REASON).isNull())
     typed = accepted.select(
         *[
             F.try_to_date(F.col(c)).alias(c) if c in source.dates else F.col(c)

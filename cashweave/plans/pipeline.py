@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cashweave.constants import HORIZON_DAYS
 from cashweave.operators.boosted import boosted_forecast
 from cashweave.operators.cash import burn_runway
-from cashweave.operators.clean import rejects, to_silver
+from cashweave.operators.clean import mark_rejects, rejects, to_silver
 from cashweave.operators.features import net_flow_history
 from cashweave.operators.products import product_performance
 from cashweave.operators.receivables import receivables
@@ -33,13 +35,16 @@ class PipelineConfig:
     receivables_match: str = "amount"
     horizon: int = HORIZON_DAYS
     model: Mapping[str, int | float] = field(default_factory=dict)
+    parallel_writes: int = 4
     # table name -> partition columns, for tables large enough to gain from it
     partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 def load_bronze(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
     return {
-        f"bronze_{name}": read_bronze(spark, f"{cfg.raw_path}/{name}.csv", name, cfg.csv_mode)
+        f"bronze_{name}": mark_rejects(
+            read_bronze(spark, f"{cfg.raw_path}/{name}.csv", name, cfg.csv_mode), name
+        )
         for name in SOURCES
     }
 
@@ -79,12 +84,21 @@ STAGES: tuple[Callable[[SparkSession, PipelineConfig], dict[str, DataFrame]], ..
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, int]:
-    """Replaces all tables, layer by layer; returns rows written per table."""
+    """Replaces all tables, layer by layer; returns rows written per table.
+
+    The tables of one layer do not depend on each other and are written side
+    by side, so small ones fill the gaps a large one leaves.
+    """
     use_database(spark, cfg.database, cfg.location)
     counts = {}
+
+    def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
+        name, df = item
+        return name, write_table(df, name, cfg.table_format, cfg.partition_by.get(name, ()))
+
     for stage in STAGES:
-        for name, df in stage(spark, cfg).items():
-            counts[name] = write_table(df, name, cfg.table_format, cfg.partition_by.get(name, ()))
+        with ThreadPoolExecutor(cfg.parallel_writes) as pool:
+            counts.update(pool.map(inheritable_thread_target(spark)(write), stage(spark, cfg).items()))
     return counts
 
 

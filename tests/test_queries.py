@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as spark_entry
-from compare import compare, connect
+from compare import compare, connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,3 +26,17 @@ def test_entry(spark):
     df = spark_entry.entry(spark)
     assert df.columns == ["tenant_id", "transaction_date", "channel", "transaction_count", "total_revenue"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["receivables_fifo", "cash_burn_runway", "best_sellers", "settled_invoices"])
+def test_partition_count_does_not_matter(spark, name):
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        results = []
+        for partitions in ("1", "8"):
+            spark.conf.set(setting, partitions)
+            results.append(spark_entry.queries()[name](spark, FOLDER).toArrow())
+    finally:
+        spark.conf.set(setting, before)
+    assert differences(*results) is None
