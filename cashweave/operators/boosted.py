@@ -53,14 +53,17 @@ class TreeArrays(NamedTuple):
 
 
 def predict(trees: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Sum of all trees for each row, walking every tree one level at a time."""
     feature, threshold, leaf = trees
-    row, tree = np.arange(len(x))[:, None], np.arange(len(leaf))[None, :]
-    inner = feature.shape[1]
-    node = np.zeros((len(x), len(leaf)), dtype=np.int64)
+    count, inner = feature.shape
+    values, start = np.ascontiguousarray(x).ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
+    first = np.arange(count) * inner
+    node = np.zeros((len(x), count), dtype=np.int64)
     for _ in range(inner.bit_length()):
-        right = x[row, feature[tree, node]] > threshold[tree, node]
+        at = first + node
+        right = values.take(start + feature.take(at)) > threshold.take(at)
         node = 2 * node + 1 + right
-    return leaf[tree, node - inner].sum(axis=1)
+    return leaf.take(np.arange(count) * (inner + 1) + node - inner).sum(axis=1)
 
 
 def boosted_trees(model: GBTRegressionModel) -> TreeArrays:

@@ -14,7 +14,7 @@ from cashweave.operators.cash import by_day
 
 LAGS = (1, 7, 14, 30)
 ROLLING = (7, 30)
-# The model's columns, in the order it sees them.
+# The model's columns, in the order it sees them.
 FEATURES = (
     "day_of_week", "day_of_month", "month", "is_weekend",
     "lag_1", "lag_7", "lag_14", "lag_30",
