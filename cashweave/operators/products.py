@@ -69,3 +69,17 @@ def product_extremes(performance: DataFrame) -> DataFrame:
         F.max("total_revenue").alias("best_seller_revenue"),
         F.min(F.when(in_stock, F.col("units_sold"))).alias("slowest_units"),
     )
+
+
+def category_split(performance: DataFrame, category: str) -> DataFrame:
+    """Products and sales inside one category against all others, per tenant.
+
+    Sales are already one row per product here, so the split needs no join with
+    sales lines. A product without a category counts as outside.
+    """
+    inside = F.coalesce(F.col("category") == category, F.lit(False))
+    return performance.groupBy("tenant_id", inside.alias("in_category")).agg(
+        F.count(F.lit(1)).alias("products"),
+        F.sum("units_sold").alias("units_sold"),
+        F.sum("total_revenue").alias("total_revenue"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cashweave.functions.columns import count_where
 from cashweave.operators.cash import by_day
+from cashweave.operators.ledger import daily_totals
 
 
 def _check(df: DataFrame, name: str, violations: Column) -> DataFrame:
@@ -68,6 +69,28 @@ def latest_balance_agrees(gold: DataFrame, silver: DataFrame) -> DataFrame:
     return _check(both, "latest_balance", count_where(~F.col("gold").eqNullSafe(F.col("silver"))))
 
 
+def balance_from_ledger(position: DataFrame, ledger: DataFrame, spans: DataFrame) -> DataFrame:
+    """The last closing balance equals the starting balance plus all entries of the span.
+
+    Entries are summed per day before they meet the spans, so a large tenant
+    does not gather in one task.
+    """
+    day = F.col("entry_date")
+    entered = (
+        daily_totals(ledger)
+        .join(spans, "tenant_id")
+        .where(day.between(F.col("start_date"), F.col("end_date")))
+        .groupBy("tenant_id")
+        .agg(F.sum("net_flow").alias("net"))
+    )
+    expected = spans.join(entered, "tenant_id", "left").select(
+        "tenant_id", (F.col("starting_balance") + F.coalesce("net", F.lit(0))).alias("expected")
+    )
+    last = position.groupBy("tenant_id").agg(F.max_by("closing_balance", "position_date").alias("found"))
+    both = expected.join(last, "tenant_id", "full")
+    return _check(both, "balance_from_ledger", count_where(~F.col("expected").eqNullSafe(F.col("found"))))
+
+
 def reorder_agrees(performance: DataFrame, products: DataFrame) -> DataFrame:
     """The reorder flag equals a direct comparison on the catalogue."""
     flagged = performance.select("tenant_id", "product_id", F.col("needs_reorder").alias("flag"))

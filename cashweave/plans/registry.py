@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MONTH = dt.date(1998, 10, 1)
 LAST_FULL_MONTH = dt.date(2001, 7, 1)
 AS_OF = dt.date(2001, 6, 30)
+CATEGORY = "PROMO"
 WINDOW = (dt.date(2000, 9, 20), dt.date(2000, 11, 5))
 
 QUERIES: dict[str, Query] = {}
@@ -232,6 +233,11 @@ def slow_movers(t):
     return products.slow_movers(products.product_performance(t.products, t.sales()))
 
 
+@query
+def category_split(t):
+    return products.category_split(products.product_performance(t.products, t.sales()), CATEGORY)
+
+
 # --- ledger and cash ------------------------------------------------------
 
 
@@ -443,6 +449,7 @@ def quality_report(t):
         quality.allowed_values(t.ledger, "category", LEDGER_CATEGORIES, "ledger_category"),
         quality.position_checks(position),
         quality.latest_balance_agrees(position, t.position),
+        quality.balance_from_ledger(t.position, t.ledger, t.spans),
         quality.reorder_agrees(products.product_performance(t.products, lines), t.products),
         quality.lateness_agrees(_receivables(t, t.invoices)),
     )

@@ -127,3 +127,14 @@ def test_duplicate_and_domain_checks(spark):
     )
     assert {r["check_name"]: (r["violations"], r["passed"]) for r in report.collect()} == {
         "key": (1, False), "flow": (2, False), "required": (1, False)}
+
+
+def test_last_balance_follows_from_the_ledger(spark):
+    entries = ledger(spark, [("A", "2024-01-02", "inflow", "retail_sales", 5), ("A", "2024-02-02", "inflow", "retail_sales", 99),
+                             ("B", "2024-01-01", "outflow", "rent", 3)])
+    life = spans(spark, [(t, "2024-01-01", "2024-01-04", 10) for t in "ABC"])
+    good = cash.daily_position(entries, life)
+    found = lambda p: {r["tenant_id"]: r["violations"] for r in quality.balance_from_ledger(p, entries, life).collect()}
+    assert found(good) == {"A": 0, "B": 0, "C": 0}
+    wrong = good.withColumn("closing_balance", F.when(F.col("tenant_id") == "B", F.col("closing_balance") + 1).otherwise(F.col("closing_balance")))
+    assert found(wrong) == {"A": 0, "B": 1, "C": 0}
