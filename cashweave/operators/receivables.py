@@ -306,12 +306,17 @@ def find_customers(receivable: DataFrame, names: DataFrame) -> DataFrame:
     """Open money of customers asked for by (tenant_id, customer_name).
 
     A name that is not on record keeps its row, with no number and found=false.
+    Customers who share a name are added up (``accounts`` of them), so a common
+    name makes one row, not a row per pair.
     """
-    known = receivable.select(
-        "tenant_id", "customer_name", "customer_id", "outstanding_ar", "is_at_risk_customer"
+    known = receivable.groupBy("tenant_id", "customer_name").agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.sum("outstanding_ar").alias("outstanding_ar"),
+        F.bool_or("is_at_risk_customer").alias("any_at_risk"),
     )
-    return names.join(known, ["tenant_id", "customer_name"], "left").withColumn(
-        "found", F.col("customer_id").isNotNull()
+    asked = names.select("tenant_id", "customer_name").distinct()
+    return asked.join(known, ["tenant_id", "customer_name"], "left").withColumn(
+        "found", F.col("accounts").isNotNull()
     )
 
 

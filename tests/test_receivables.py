@@ -147,10 +147,16 @@ def test_surplus_payments_are_cut(spark):
 
 
 def test_unknown_customer_has_no_number(spark):
-    receivable = spark.createDataFrame([("A", "c", "Known", Decimal("5.00"), True)],
-                                       "tenant_id string, customer_id string, customer_name string, "
-                                       "outstanding_ar decimal(18,2), is_at_risk_customer boolean")
-    asked = spark.createDataFrame([("A", "Known"), ("A", "Nobody")], "tenant_id string, customer_name string")
-    got = by(ar.find_customers(receivable, asked), "customer_name")
-    assert got["Known"]["found"] and got["Known"]["outstanding_ar"] == 5
+    receivable = spark.createDataFrame(
+        [("A", "c", "Known", Decimal("5.00"), True), ("A", "d", "Twice", Decimal("1.00"), None),
+         ("A", "e", "Twice", Decimal("2.00"), False)],
+        "tenant_id string, customer_id string, customer_name string, outstanding_ar decimal(18,2), "
+        "is_at_risk_customer boolean")
+    asked = spark.createDataFrame([("A", "Known"), ("A", "Nobody"), ("A", "Twice"), ("A", "Twice")],
+                                  "tenant_id string, customer_name string")
+    rows = ar.find_customers(receivable, asked)
+    got = by(rows, "customer_name")
+    assert rows.count() == 3
+    assert got["Known"]["found"] and got["Known"]["outstanding_ar"] == 5 and got["Known"]["any_at_risk"]
     assert not got["Nobody"]["found"] and got["Nobody"]["outstanding_ar"] is None
+    assert (got["Twice"]["accounts"], got["Twice"]["outstanding_ar"]) == (2, 3)
