@@ -117,7 +117,7 @@ def scaled_rows(history: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class FittedForecast:
     trees: TreeArrays
-    residuals: DataFrame  # tenant_id, n_val, mae, sigma in money
+    tenants: DataFrame  # tenant_id, scale, n_val, mae, sigma (the last two in money)
 
 
 def train(
@@ -142,7 +142,9 @@ def train(
     errors = holdout_model.transform(rows.where(~F.col("is_train"))).select(
         "tenant_id", ((F.col("target") - F.col("prediction")) * F.col("scale")).alias("error")
     )
-    return FittedForecast(boosted_trees(final_model), residual_stats(errors))
+    scales = rows.groupBy("tenant_id").agg(F.first("scale").alias("scale"))
+    tenants = scales.join(residual_stats(errors), "tenant_id", "left")
+    return FittedForecast(boosted_trees(final_model), tenants)
 
 
 def project_flows(
@@ -176,13 +178,14 @@ def project_flows(
 
 
 def tenant_state(history: DataFrame) -> DataFrame:
-    """One row per tenant: last day and balance, first day, scale, last 30 flows.
+    """One row per tenant: last day and balance, first day, last 30 flows.
 
     Tenants with fewer than 30 days have no lags to start from and no row here.
     """
     tenant = Window.partitionBy("tenant_id")
     latest_first = tenant.orderBy(F.desc("position_date"))
-    recent = (
+    flow = F.struct("position_date", double(F.col("net_flow")).alias("flow"))
+    return (
         history.withColumn("first_day", F.min("position_date").over(tenant))
         .withColumn("age", F.row_number().over(latest_first))
         .where(F.col("age") <= MEMORY)
@@ -191,14 +194,10 @@ def tenant_state(history: DataFrame) -> DataFrame:
             F.max("position_date").alias("last_day"),
             F.min("first_day").alias("first_day"),
             double(F.max_by("closing_balance", "position_date")).alias("balance"),
-            F.array_sort(F.collect_list(F.struct("position_date", double(F.col("net_flow")).alias("flow")))).alias("days"),
+            F.array_sort(F.collect_list(flow)).alias("days"),
         )
-    )
-    scales = scaled_rows(history).groupBy("tenant_id").agg(F.first("scale").alias("scale"))
-    return recent.where(F.size("days") == MEMORY).join(scales, "tenant_id", "left").select(
-        "tenant_id", "last_day", "first_day", "balance",
-        F.coalesce("scale", F.lit(1.0)).alias("scale"),
-        F.col("days.flow").alias("recent"),
+        .where(F.size("days") == MEMORY)
+        .select("tenant_id", "last_day", "first_day", "balance", F.col("days.flow").alias("recent"))
     )
 
 
@@ -223,17 +222,20 @@ def recursive_projection(
         return pd.Series(list(balance.to_numpy()[:, None] + flows.cumsum(axis=1)))
 
     # many small tasks: the work per tenant is large against its one row
-    spread = tenant_state(history).repartition(spark.sparkContext.defaultParallelism, "tenant_id")
-    projected = spread.select(
-        "tenant_id", "last_day", balances("recent", "last_day", "first_day", "scale", "balance").alias("path")
-    ).select("tenant_id", "last_day", F.posexplode("path").alias("step", "balance"))
+    state = tenant_state(history).join(fitted.tenants.select("tenant_id", "scale", "sigma"), "tenant_id", "left")
+    spread = state.repartition(spark.sparkContext.defaultParallelism, "tenant_id")
+    path = balances("recent", "last_day", "first_day", F.coalesce("scale", F.lit(1.0)), "balance")
     day = F.col("step") + 1
-    return projected.join(fitted.residuals.select("tenant_id", "sigma"), "tenant_id", "left").select(
-        "tenant_id",
-        day.alias("forecast_day"),
-        F.date_add("last_day", day).alias("forecast_date"),
-        "balance",
-        "sigma",
+    return (
+        spread.select("tenant_id", "last_day", "sigma", path.alias("path"))
+        .select("tenant_id", "last_day", "sigma", F.posexplode("path").alias("step", "balance"))
+        .select(
+            "tenant_id",
+            day.alias("forecast_day"),
+            F.date_add("last_day", day).alias("forecast_date"),
+            "balance",
+            "sigma",
+        )
     )
 
 

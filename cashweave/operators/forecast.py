@@ -39,7 +39,10 @@ def band_width(sigma: Column, forecast_day: Column) -> Column:
 
 
 def with_band(projection: DataFrame) -> DataFrame:
-    """Rounded balance and band; the flag is taken from unrounded values."""
+    """Rounded balance and band; the flag is taken from unrounded values.
+
+    Without a deviation there is no band, and the flag rests on the balance alone.
+    """
     balance, band = F.col("balance"), band_width(F.col("sigma"), F.col("forecast_day"))
     return projection.select(
         "tenant_id",
@@ -48,7 +51,7 @@ def with_band(projection: DataFrame) -> DataFrame:
         F.round(balance, 2).alias("predicted_balance"),
         F.round(balance - band, 2).alias("confidence_lower"),
         F.round(balance + band, 2).alias("confidence_upper"),
-        ((balance < RISK_BALANCE) | (balance - band < 0)).alias("risk_flag"),
+        ((balance < RISK_BALANCE) | F.coalesce(balance - band < 0, F.lit(False))).alias("risk_flag"),
     )
 
 

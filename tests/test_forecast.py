@@ -155,7 +155,9 @@ def two_tenants(spark, flows):
     small = position(spark, flows, tenant="A")
     large = position(spark, [f * 100 for f in flows], opening=500000, tenant="B")
     short = position(spark, flows[:12], tenant="short")
-    return features.net_flow_history(small.unionByName(large).unionByName(short)).checkpoint()
+    bare = position(spark, flows[:30], opening=9000, tenant="bare")
+    parts = small.unionByName(large).unionByName(short).unionByName(bare)
+    return features.net_flow_history(parts).checkpoint()
 
 
 def test_tree_arrays_predict_like_the_model(spark, two_tenants):
@@ -172,7 +174,9 @@ def test_tree_arrays_predict_like_the_model(spark, two_tenants):
 
 def test_boosted_forecast(spark, two_tenants, flows):
     got = boosted.boosted_forecast(two_tenants, trees=4).toPandas()
-    assert set(got["tenant_id"]) == {"A", "B"}  # 12 days are too few to start from
+    assert set(got["tenant_id"]) == {"A", "B", "bare"}  # 12 days are too few to start from
+    bare = got[got.tenant_id == "bare"]  # 30 days: lags, but no residuals to measure
+    assert len(bare) == 90 and bare["confidence_lower"].isna().all() and bare["risk_flag"].notna().all()
     a = got[got.tenant_id == "A"].sort_values("forecast_day").reset_index(drop=True)
     b = got[got.tenant_id == "B"].sort_values("forecast_day").reset_index(drop=True)
     assert list(a["forecast_day"]) == list(range(1, 91)) == list(b["forecast_day"])
