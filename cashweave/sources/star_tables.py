@@ -126,7 +126,8 @@ class StarTables:
             F.array(F.lit("card"), F.lit("cash"), F.lit("mobile_wallet")),
             (F.col("l_orderkey") % 3 + 1).cast("int"),
         )
-        return lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        keyed = dated.where(F.col("tenant_id").isNotNull())  # required key; joins imply it anyway
+        return lines.join(keyed, F.col("l_orderkey") == F.col("o_orderkey")).select(
             "tenant_id",
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
             F.col("o_orderdate").cast("date").alias("transaction_date"),
@@ -198,7 +199,10 @@ class StarTables:
 
     @cached_property
     def _wholesale_totals(self) -> DataFrame:
-        return self.party_totals.where(F.col("channel") == WHOLESALE)
+        # every filter a consumer would imply, so that all of them share one computation
+        return self.party_totals.where(
+            (F.col("channel") == WHOLESALE) & F.col("customer_id").isNotNull()
+        )
 
     @cached_property
     def invoices(self) -> DataFrame:

@@ -40,3 +40,18 @@ def test_partition_count_does_not_matter(spark, name):
     finally:
         spark.conf.set(setting, before)
     assert differences(*results) is None
+
+
+@pytest.mark.parametrize("name", ["cash_ledger", "daily_cash_position", "receivables_invoice_grain", "receivables_fifo"])
+def test_sales_are_scanned_once(spark, name):
+    """Branches over the same sales must stay identical plans, or the largest table is read twice."""
+    df = spark_entry.queries()[name](spark, FOLDER)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet [l_orderkey") == 1
+
+
+@pytest.mark.parametrize("name", ["best_sellers", "worst_cash_days", "worst_day_causes"])
+def test_top_rows_are_cut_on_the_map_side(spark, name):
+    plan = spark_entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
