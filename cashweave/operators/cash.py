@@ -122,7 +122,8 @@ def crunch_days(cash: DataFrame) -> DataFrame:
 def worst_day_causes(position: DataFrame, ledger: DataFrame, k: int = 3) -> DataFrame:
     """The lowest day of each tenant with its largest outflows.
 
-    One lowest day per tenant is joined to that day's ledger rows only.
+    The k largest outflows of every day are cut in the map tasks already, so a
+    day with very many entries is small before it meets the lowest days.
     """
     worst = position.groupBy("tenant_id").agg(
         F.min(F.struct("closing_balance", "position_date")).alias("low")
@@ -131,11 +132,7 @@ def worst_day_causes(position: DataFrame, ledger: DataFrame, k: int = 3) -> Data
         "tenant_id", "entry_date", "category", "description", "amount", "ledger_id"
     )
     largest = Window.partitionBy("tenant_id", "entry_date").orderBy(F.desc("amount"), "ledger_id")
-    top = (
-        outflows.join(worst.select("tenant_id", "entry_date"), ["tenant_id", "entry_date"], "left_semi")
-        .withColumn("rank", F.row_number().over(largest))
-        .where(F.col("rank") <= k)
-    )
+    top = outflows.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= k)
     return worst.join(top, ["tenant_id", "entry_date"], "left").select(
         "tenant_id", F.col("entry_date").alias("position_date"), "closing_balance",
         "rank", "category", "description", "amount",

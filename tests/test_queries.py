@@ -51,7 +51,7 @@ def test_sales_are_scanned_once(spark, name):
     assert final.count("FileScan parquet [l_orderkey") == 1
 
 
-@pytest.mark.parametrize("name", ["best_sellers", "worst_cash_days", "worst_day_causes"])
+@pytest.mark.parametrize("name", ["best_sellers", "slow_movers", "worst_day_causes"])
 def test_top_rows_are_cut_on_the_map_side(spark, name):
     plan = spark_entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
