@@ -156,6 +156,14 @@ def segment_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def segment_hash_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As `segment_hash`, of segments of 64-bit values."""
+    up, _ = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return segment_hash(sums, starts, ends)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words and, for each text, the index of its first word (one more at the end)."""
     data = LOWERED[data]

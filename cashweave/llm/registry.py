@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from cashweave.llm import decontaminate, line_dedup
+from cashweave.llm import decontaminate, language_id, line_dedup, ngram_join, packing
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_packing": packing.op6_packing,
+    "op9_language_id": language_id.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
