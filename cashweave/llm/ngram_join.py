@@ -10,9 +10,11 @@ connected component.
    counts over all documents in a fixed number of counters; any order gives the same
    result, a rare-first one gives few candidates.
 3. Linked sets share a shingle among their first n - ceil(n * percent / 100) + 1. Those
-   prefixes are grouped by shingle; sets of compatible sizes that share one are joined
-   into candidate families. Batches send one row on for each shingle and size class, so
-   a shingle that a third of all documents hold leaves each task as a few rows.
+   prefixes are grouped by shingle. Where few sets hold it, pairs of compatible sizes are
+   counted, and pairs whose count leaves too small an overlap go. Where many do, neighbours
+   in size are chained; of such a shingle a batch sends one row on for each size class, so
+   one that a third of all documents hold leaves each task as a few rows. What remains
+   makes candidate families.
 4. The sets of a family are stored in a prefix tree, most frequent shingle of the family
    first. Each set walks the tree along the sets before it, shares their common
    beginnings, and leaves a subtree when its longest possible overlap is too small, or
@@ -49,7 +51,8 @@ from cashweave.llm.components import components
 
 SIZE, PERCENT = 5, 75
 COUNTERS, BLOCK_COUNTERS = 1 << 18, 1 << 10
-BLOCK_SETS = 4096
+BLOCK_SETS, RUN = 4096, 32
+_LONG = (1 << 32) - 1  # stands for a size: the shingle's run is long
 _WORD = table(outside=SPACE)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -181,37 +184,58 @@ class Union:
         return nodes, [self.find(x) for x in nodes]
 
 
-def _chain(key: np.ndarray, cls: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts postings; True where one continues the chain before it: the same shingle, a size class next to it."""
-    order = np.lexsort((sid, cls, key))
-    key, cls, sid = key[order], cls[order], sid[order]
-    go = np.zeros(len(key), bool)
-    go[1:] = (key[1:] == key[:-1]) & (cls[1:].astype(np.int64) - cls[:-1] <= 1)
-    return order, go, sid
+def _class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Size classes: sets that can be linked are in the same one or in neighbours."""
+    return (np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64)
 
 
-def _edges(sid: np.ndarray, go: np.ndarray) -> np.ndarray:
-    """Stars of the components that neighbours in a chain make."""
-    at = np.flatnonzero(go)
-    pairs = np.unique(np.stack([sid[at - 1], sid[at]], 1), axis=0)
+def _runs(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings sorted by shingle, size, set, each once, with the first place and the length of each one's run."""
+    order = np.lexsort((sid, n, key))
+    key, n, sid = key[order], n[order], sid[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+    key, n, sid = key[once], n[once], sid[once]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    return key, n, sid, run, np.diff(np.append(first, len(key)))
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, Union]:
+    """Stars of the components that the pairs make, and the components."""
     union = Union()
+    pairs = np.unique(np.stack([a, b], 1), axis=0)
     for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
         union.join(x, y)
     nodes, roots = union.stars()
     stars = np.array([nodes, roots], np.int64).reshape(2, -1)
-    return stars[:, stars[0] != stars[1]]
+    return stars[:, stars[0] != stars[1]], union
+
+
+def _chained(run: np.ndarray, n: np.ndarray, of: np.ndarray, percent: int) -> np.ndarray:
+    """Places that continue the run before them in the same or the next size class, in the runs `of`."""
+    cls = _class(n, percent)
+    return np.flatnonzero((run[1:] == run[:-1]) & of[1:] & (cls[1:] - cls[:-1] <= 1)) + 1
 
 
 def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(node, root): sets that may be linked, directly or not, have the same root."""
+    """(node, root): sets that may be linked, directly or not, have the same root.
+
+    A pair of sets with c shingles in common in their prefixes has at most
+    c + max(prefix rest of the smaller, prefix rest of the larger or the smaller whole) in common
+    altogether. Pairs are counted in the runs of at most `RUN` sets, with at most
+    RUN / 2 rows for a posting; the sets of a longer run are chained whatever they share.
+    """
     spark = docs.sparkSession
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * partitions(spark), int(total * (100 - percent) / 100 / 2_000_000))
     shared = spark.sparkContext.broadcast(ranks)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
             for low, high, data, offsets in chunks(batch.column("text")):
                 owner, value = shingle_sets(data, offsets, size)
                 sizes, sid = digests(owner, value, high - low)
@@ -220,24 +244,26 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
                 prefix = sizes - (sizes * percent + 99) // 100 + 1
                 first = np.arange(len(owner)) - start[owner] < prefix[owner]
                 owner, key = owner[first], key[first]
-                cls = (np.log(np.maximum(sizes, 1)) / np.log(100 / percent)).astype(np.uint8)
-                held.append((key, cls[owner], sid[owner]))
-            yield from flush(held)
-            held = []
-
-    def flush(held: list) -> Iterable[pa.RecordBatch]:
-        if not held:
-            return
-        key, cls, sid = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, go, sid = _chain(key, cls, sid)
-        key, cls = key[order], cls[order]
-        stars = _edges(sid, go)
-        alone = np.ones(len(key), bool)  # one posting for each shingle and size class
-        alone[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, sid = key[alone], cls[alone], sid[alone]
+                held.append((key, sizes[owner], sid[owner]))
+            if held:
+                yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def flush(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        key, n, sid, run, length = _runs(key, n, sid)
+        long = length[run] > RUN
+        at = _chained(run, n, long, percent)
+        stars, _ = _stars(sid[at - 1], sid[at])
+        # of a long run one posting for each size class goes on, and a mark that it is long
+        cls = _class(n, percent)
+        stays = np.ones(len(key), bool)
+        stays[1:] = ~long[1:] | (run[1:] != run[:-1]) | (cls[1:] != cls[:-1])
+        marks = np.unique(key[long])
+        key = np.concatenate((key[stays], marks))
+        n = np.concatenate((n[stays], np.full(len(marks), _LONG)))
+        sid = np.concatenate((sid[stays], np.zeros(len(marks), np.int64)))
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        key, cls, sid, bucket = key[order], cls[order], sid[order], bucket[order]
+        key, n, sid, bucket = key[order], n[order], sid[order], bucket[order]
         star_bucket = (stars[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(star_bucket, kind="stable")
         stars, star_bucket = stars[:, order], star_bucket[order]
@@ -246,22 +272,42 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
         slow, shigh = np.searchsorted(star_bucket, every), np.searchsorted(star_bucket, every, "right")
         cells = [
             [key[a:b].astype("<u8").tobytes() for a, b in zip(low, high, strict=True)],
-            [cls[a:b].tobytes() for a, b in zip(low, high, strict=True)],
+            [n[a:b].astype("<u4").tobytes() for a, b in zip(low, high, strict=True)],
             [sid[a:b].astype("<i8").tobytes() for a, b in zip(low, high, strict=True)],
             [np.ascontiguousarray(stars[:, a:b]).astype("<i8").tobytes() for a, b in zip(slow, shigh, strict=True)],
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "key", "cls", "sid", "stars"])
+        return pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "key", "n", "sid", "stars"])
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, "<u8") for x in part["key"]])
-        cls = np.concatenate([np.frombuffer(x, np.uint8) for x in part["cls"]])
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in part["n"]]).astype(np.int64)
         sid = np.concatenate([np.frombuffer(x, "<i8") for x in part["sid"]])
-        _, go, sid = _chain(key, cls, sid)
-        stars = np.concatenate([_edges(sid, go), *(np.frombuffer(x, "<i8").reshape(2, -1) for x in part["stars"])], axis=1)
-        return pd.DataFrame({"a": stars[0], "b": stars[1]})
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, key binary, cls binary, sid binary, stars binary")
-    return components(sent.groupBy("bucket").applyInPandas(meet, "a long, b long"))
+        given = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in part["stars"]], axis=1)
+        marked = np.unique(key[n == _LONG])
+        key, n, sid, run, length = _runs(key[n != _LONG], n[n != _LONG], sid[n != _LONG])
+        long = (length[run] > RUN) | np.isin(key, marked)
+        at = _chained(run, n, long, percent)
+        stars, union = _stars(np.concatenate((given[0], sid[at - 1])), np.concatenate((given[1], sid[at])))
+        keep = ~long & (length[run] > 1)
+        n, sid, run = n[keep], sid[keep], run[keep]
+        out = [np.empty((0, 4), np.int64)]
+        for d in range(1, min(RUN, len(run))):
+            i = np.flatnonzero((run[d:] == run[:-d]) & (n[:-d] * 100 >= n[d:] * percent))
+            if not len(i):
+                continue
+            out.append(np.stack([sid[i], sid[i + d], n[i], n[i + d]], 1))
+        pairs, count = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        pairs = np.concatenate((pairs, np.stack([stars[0], stars[1], stars[0] * 0, stars[0] * 0], 1)))
+        count = np.concatenate((count, np.full(stars.shape[1], _LONG)))
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "c": count})
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, key binary, n binary, sid binary, stars binary")
+    met = sent.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, c long")
+    # of a pair the smaller set comes first; equal sizes in the order of their ids
+    met = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
+    rest_a, rest_b = (F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb"))
+    most = F.col("c") + F.greatest(rest_a, F.least(rest_b, F.col("na")))
+    return components(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
 # --- the prefix tree --------------------------------------------------------------

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from cashweave.llm import decontaminate, language_id, line_dedup, ngram_join, packing
+from cashweave.llm import (
+    decontaminate,
+    fingerprints,
+    language_id,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality.op4_quality,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }

@@ -1,15 +1,67 @@
-"""Placeholder until all stages exist."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents; `n_chars` follows the text.
+Rows without id pass the filters that need one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cashweave.llm import decontaminate, language_id, line_dedup, ngram_join, packing
+from cashweave.llm.common import restage, stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; without a letter, or with too little confidence, they go."""
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model).where(~F.col("_lang_rejected")).select(*docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least five documents hold stay in one of them."""
+    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return line_dedup.dedup_lines(docs).select(*columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by common shingles the one with the smallest id stays; of rows with that id one."""
+    classes, _ = restage(ngram_join.similar_documents(docs), "classes")
+    known = classes.where(F.col("doc_id").isNotNull())
+    stays = known.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("rows"))
+    gone, _ = restage(stays.where((F.col("root") != F.col("doc_id")) | (F.col("rows") > 1)), "copies")
+    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+    repeated = gone.where(F.col("root") == F.col("doc_id")).select("doc_id")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = stage(decontaminate.occurrences(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_common_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", decontaminate_benchmark),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+# Language identification and tokenizing are not expressible in SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return docs
