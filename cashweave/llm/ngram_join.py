@@ -16,9 +16,9 @@ connected component.
    one that a third of all documents hold leaves each task as a few rows. What remains
    makes candidate families.
 4. The sets of a family are stored in a prefix tree, most frequent shingle of the family
-   first. Each set walks the tree along the sets before it, shares their common
-   beginnings, and leaves a subtree when its longest possible overlap is too small, or
-   when all its sets are already in the walker's component. Large families are cut into
+   first. Overlaps with all sets are summed along the tree, so that common beginnings are
+   counted once; where the remaining lengths leave too small an overlap, what is below is
+   not read. Sets that have joined a component leave the tree. Large families are cut into
    blocks: a block joins its own sets first; then only the sets outside its main
    component, and one of those in it, meet the other blocks.
 
@@ -313,113 +313,112 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
 # --- the prefix tree --------------------------------------------------------------
 
 
-class Node:
-    __slots__ = ("run", "children", "label", "least", "most", "ends")
-
-    def __init__(self, run: np.ndarray):
-        self.run = run  # the elements on the way from the parent
-        self.children: dict[int, Node] = {}
-        self.label = None  # an item of the component that all sets below are in; None: several
-        self.least, self.most = 1 << 60, 0  # sizes of the sets below
-        self.ends: list[int] = []  # sets that end here
+class PrefixTree:
+    """Sets as ascending arrays of small integers, in a trie of their first `depth` elements.
 
+    The trie is the sorted list of sets, of which each adds the elements after its common
+    beginning with the one before; on the way to the next set the elements below the
+    common beginning come off again. So a sum over a set's path is a difference of two
+    running sums, and each shared beginning is counted once for all sets below it.
+    """
 
-class PrefixTree:
-    """Sets as ascending arrays of small integers; `walk` finds those similar enough to a set."""
-
-    def __init__(self, percent: int, union: Union):
-        self.percent, self.union, self.root = percent, union, Node(np.empty(0, np.int64))
-
-    def insert(self, item: int, members: np.ndarray) -> None:
-        node, at, n = self.root, 0, len(members)
-        path = [node]
-        while at < n:
-            child = node.children.get(int(members[at]))
-            if child is None:
-                child = Node(members[at:])
-                node.children[int(members[at])] = child
-                child.label = item
-                path.append(child)
-                node, at = child, n
-                break
-            run = child.run
-            limit = min(len(run), n - at)
-            differ = np.flatnonzero(run[:limit] != members[at : at + limit])
+    def __init__(self, sets: list[np.ndarray], items: np.ndarray, percent: int, vocabulary: int):
+        self.percent = percent
+        sizes = np.array([len(sets[i]) for i in items])
+        self.depth = depth = max(1, int(np.median(sizes)) // 2)
+        order = sorted(range(len(items)), key=lambda k: sets[items[k]][:depth].astype(">u4").tobytes())
+        self.items, self.sizes = items[order], sizes[order]
+        self.alive = np.ones(len(items), bool)
+        self.seen = np.zeros(vocabulary, bool)
+        added: list[np.ndarray] = []
+        path: list[int] = []
+        off: list[int] = []
+        before = np.empty(0, np.int64)
+        self.ends, self.taken_off, count = np.empty(len(items), np.int64), np.empty(len(items), np.int64), 0
+        for k, item in enumerate(self.items):
+            now = sets[item][:depth]
+            limit = min(len(now), len(before))
+            differ = np.flatnonzero(now[:limit] != before[:limit])
             same = int(differ[0]) if len(differ) else limit
-            if same < len(run):  # the way splits here
-                upper = Node(run[:same])
-                upper.label, upper.least, upper.most = child.label, child.least, child.most
-                child.run = run[same:]
-                upper.children[int(child.run[0])] = child
-                node.children[int(upper.run[0])] = upper
-                child = upper
-            path.append(child)
-            node, at = child, at + same
-        node.ends.append(item)
-        root = self.union.find(item)
-        for step in path:
-            step.least, step.most = min(step.least, n), max(step.most, n)
-            if step.label is not None and self.union.find(step.label) != root:
-                step.label = None
-
-    def walk(self, members: np.ndarray, item: int) -> None:
-        """Joins `item` with every stored set that is similar enough, as far as that is not known yet."""
-        union, percent, n = self.union, self.percent, len(members)
-        own = set(members.tolist())
-        # (node, elements shared above it, place in members, elements above it)
-        stack = [(self.root, 0, 0, 0)]
-        while stack:
-            node, shared, place, depth = stack.pop()
-            if node.label is not None and union.find(node.label) == union.find(item):
-                continue
-            run = node.run
-            if len(run):
-                at = np.searchsorted(members[place:], run)
-                inside = at < n - place
-                hit = members[place:][np.minimum(at, n - place - 1)] == run if n > place else np.zeros(len(run), bool)
-                shared += int(np.count_nonzero(hit & inside))
-                depth += len(run)
-                place += int(np.searchsorted(members[place:], run[-1], side="right"))
-            best = shared + min(n - place, node.most - depth)
-            least = max(node.least, depth)
-            if best * (100 + percent) < percent * (n + least):
-                continue
-            for other in node.ends:
-                if shared * (100 + percent) >= percent * (n + depth):
-                    union.join(item, other)
-                    break
-            labels, near, far = [*node.ends], [], []
-            for first, child in node.children.items():
-                labels.append(child.label)
-                (near if first in own else far).append((child, shared, place, depth))
-            if None not in labels and len({union.find(x) for x in labels}) == 1:
-                node.label = labels[0]
-            stack += far + near  # the likelier ones come off the stack first
+            off += path[same:][::-1]
+            del path[same:]
+            path.extend(range(count, count + len(now) - same))
+            added.append(now[same:])
+            count += len(now) - same
+            self.ends[k], self.taken_off[k] = count, len(off)
+            before = now
+        self.flat = np.concatenate(added)
+        self.off = self.flat[np.array(off, np.int64)]
+        self.last = np.array([sets[i][:depth][-1] for i in self.items])
+        rest = [sets[i][depth:] for i in self.items]
+        self.rest_size = np.array([len(r) for r in rest])
+        self.rest_start = np.cumsum(self.rest_size) - self.rest_size
+        self.rest = np.concatenate(rest)
+
+    def similar(self, members: np.ndarray) -> np.ndarray:
+        """Places of the live sets that are similar enough to `members`."""
+        n, percent, seen = len(members), self.percent, self.seen
+        seen[members] = True
+        pushed, popped = np.zeros(len(self.flat) + 1, np.int32), np.zeros(len(self.off) + 1, np.int32)
+        np.cumsum(seen[self.flat], out=pushed[1:])
+        np.cumsum(seen[self.off], out=popped[1:])
+        shared = pushed[self.ends] - popped[self.taken_off]
+        # what may still come: the rest of the set, or the rest of members
+        most = shared + np.minimum(self.rest_size, n - np.searchsorted(members, self.last, side="right"))
+        needed = percent * (n + self.sizes)
+        left = np.flatnonzero(self.alive & (most * (100 + percent) >= needed))
+        long = left[self.rest_size[left] > 0]
+        if len(long):
+            size = self.rest_size[long]
+            edge = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(self.rest_start[long] - edge, size)
+            shared[long] += np.add.reduceat(seen[self.rest[at]].astype(np.int32), edge)
+        seen[members] = False
+        return left[shared[left] * (100 + percent) >= needed[left]]
 
 
 def link_family(sets: list[np.ndarray], sids: list[int], queries: int | None, percent: int) -> Union:
-    """Joins the ids of similar sets; with `queries`, the last sets of that number only meet all, and not one another's rest."""
+    """Joins the ids of similar sets; with `queries`, the last sets of that number only meet the ones before them.
+
+    A component grows from one set: what is similar to a set of it joins it and leaves the
+    tree, which is built anew when half of its sets have left.
+    """
     union = Union()
     flat = np.concatenate(sets)
     values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(values))  # most frequent first
-    ranked, at, small = rank[inverse], 0, []
-    for s in sets:
-        small.append(np.sort(ranked[at : at + len(s)]))
-        at += len(s)
-    stored = len(sets) if queries is None else len(sets) - queries
+    ranked, edges = rank[inverse], np.cumsum([0, *map(len, sets)])
+    small = [np.sort(ranked[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    if queries is not None:
+        stored = len(sets) - queries
+        if stored:
+            tree = PrefixTree(small, np.arange(stored), percent, len(values))
+            for i in range(stored, len(sets)):
+                for k in tree.similar(small[i]):
+                    union.join(sids[i], sids[tree.items[k]])
+        return union
     if len(sets) == 2:
         shared = len(np.intersect1d(small[0], small[1], assume_unique=True))
         if shared * (100 + percent) >= percent * (len(small[0]) + len(small[1])):
             union.join(sids[0], sids[1])
         return union
-    tree = PrefixTree(percent, union)
-    for i in sorted(range(len(sets)), key=lambda i: (i >= stored, len(small[i]))):
-        if queries is None or i >= stored:
-            tree.walk(small[i], sids[i])
-        if i < stored:
-            tree.insert(sids[i], small[i])
+    tree, alive, grown = PrefixTree(small, np.arange(len(sets)), percent, len(values)), len(sets), []
+    while alive:
+        if grown:
+            i = grown.pop()
+        else:
+            k = int(np.argmax(tree.alive))
+            i, tree.alive[k] = tree.items[k], False
+            alive -= 1
+        found = tree.similar(small[i])
+        tree.alive[found] = False
+        alive -= len(found)
+        for k in found:
+            union.join(sids[i], sids[tree.items[k]])
+        grown += tree.items[found].tolist()
+        if alive and alive <= len(tree.items) // 2:
+            tree = PrefixTree(small, tree.items[tree.alive], percent, len(values))
     return union
 
 
