@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cashweave.llm.common import chunks, documents
 from cashweave.llm.language_id import fold
-from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text
+from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text, usable
 
-SAMPLE, EPOCHS, BATCH, RATE, DECAY = 3000, 12, 256, 0.02, 1e-3
+SAMPLE, LEAST_TEXTS, EPOCHS, BATCH, RATE, DECAY = 3000, 5, 12, 256, 0.02, 1e-3
 MOST_GRADES = 20
 
 
@@ -90,7 +90,8 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = SAMPLE) -> Model:
     found = collected(rows, True)
     grade = np.searchsorted(grades, [g for g, _ in found])
     # thresholds see each grade as often as it is rated, not as often as it is sampled: one weight for all
-    weights, thresholds = descend(Rows([c for _, c in found]), grade, len(grades))
+    cells = [c for _, c in found]
+    weights, thresholds = descend(Rows(cells, usable(cells, min(LEAST_TEXTS, max(1, len(cells) // 100)))), grade, len(grades))
     return Model(grades, weights, thresholds)
 
 

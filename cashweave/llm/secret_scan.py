@@ -1,6 +1,6 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a run of 16 to 512 letters, digits and `_-+/=` with a letter and a digit. The forest
+A candidate is a run of at least 14 letters, digits and `_-+/=`. The forest
 sees its length, character classes and the transitions between them, how much of it
 dictionary words cover, the path (the document's source) and the words around it; it is
 trained in numpy on labelled findings, at most `SAMPLE` of each label.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.llm.common import documents
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])(?=[A-Za-z0-9_\-+/=]*[0-9])(?=[A-Za-z0-9_\-+/=]*[A-Za-z])[A-Za-z0-9_\-+/=]{16,512}(?![A-Za-z0-9_\-+/=])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{14,}(?![A-Za-z0-9_\-+/=])")
 SAMPLE, TREES, DEPTH, LEAST_LEAF = 2000, 24, 8, 4
 PIECE, DICTIONARY, WORD_BITS, PATH_BITS = 3, 500, 5, 3
 NAMES = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "private_key")

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cashweave.llm.common import chunks, documents
 from cashweave.llm.language_id import fold
-from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text
+from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text, usable
 
-POSITIVES, UNLABELLED, MODELS, EPOCHS, BATCH, RATE, DECAY = 4000, 8000, 3, 30, 256, 0.02, 1e-4
+POSITIVES, UNLABELLED, LEAST_TEXTS, MODELS, EPOCHS, BATCH, RATE, DECAY = 4000, 8000, 20, 3, 15, 256, 0.02, 1e-3
 
 
 @dataclass
@@ -83,7 +83,9 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, positives: int = POSITI
     prior = min(max(prior, 1e-4), 0.99)
     if not hit or not rest:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
-    positive, other = Rows(hit), Rows(rest)
+    least = min(LEAST_TEXTS, max(1, (len(hit) + len(rest)) // 100))
+    known_features = usable(hit + rest, least)
+    positive, other = Rows(hit, known_features), Rows(rest, known_features)
     models = [nnpu(positive, other, prior, seed) for seed in range(MODELS)]
     weights, offset = np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models]))
     z = other.score(weights, np.arange(len(other))) + offset

@@ -71,12 +71,21 @@ def collected(rows: DataFrame, suffixes: bool) -> list[tuple[int, np.ndarray]]:
     return [(r["label"], np.frombuffer(r["f"], "<u4").reshape(-1, width)) for r in found]
 
 
+def usable(cells: list[np.ndarray], least: int) -> np.ndarray:
+    """The features that at least so many texts of a sample have; others keep the weight 0."""
+    held = np.zeros(BUCKETS, np.int64)
+    for c in cells:
+        held[np.unique(c)] += 1
+    return held >= least
+
+
 class Rows:
     """Sparse rows of a sample: the sum of a weight vector over each row's features, and the gradient of such sums."""
 
-    def __init__(self, cells: list[np.ndarray]):
-        self.size = np.array([c.size for c in cells])
+    def __init__(self, cells: list[np.ndarray], usable: np.ndarray):
         self.scale = 1 / np.sqrt(np.maximum([len(c) for c in cells], 1))
+        cells = [c[usable[c]] for c in cells]
+        self.size = np.array([c.size for c in cells])
         self.edges = np.concatenate(([0], np.cumsum(self.size)))
         self.flat = np.concatenate([c.reshape(-1) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
 
