@@ -48,6 +48,11 @@ def _places(array: str, run: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _grams(n: int) -> Column:
+    """All runs of n words, each as one string."""
+    return F.transform(_places("w", n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+
+
 def fingerprints(tokens: DataFrame, key: str, k: int, window: int) -> DataFrame:
     """(key, g, m): hashes of all k-grams, and the smallest of each window's; texts of fewer words have none."""
     run = window - k + 1
@@ -109,8 +114,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     # items with fewer words than a window: one pass for each of their few lengths
     short = items.where(F.size("w") < window)
     for n in sorted(r[0] for r in short.select(F.size("w")).distinct().collect()):
-        grams = F.transform(_places("w", n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " "))
-        ours = computed_once(tokens, "doc_id", t=grams).select("doc_id", F.posexplode("t").alias("s", "t"))
+        ours = computed_once(tokens, "doc_id", t=_grams(n)).select("doc_id", F.posexplode("t").alias("s", "t"))
         theirs = short.where(F.size("w") == n).select("item_id", F.array_join("w", " ").alias("t"))
         found = found.unionByName(ours.join(theirs, "t").select("doc_id", "s", F.lit(n).alias("n"), "item_id"))
     return found.distinct()
