@@ -33,11 +33,16 @@ from cashweave.llm.tokens import Encoder, code_points
 CAPACITY, END_ID = 1024, 0
 SENTENCE_COST, INSIDE_COST = 4, 16
 STEP = 32  # the longest run of ids without a place where a cut is considered
-FREE_LENGTHS = (512, 256)
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def free_lengths(capacity: int) -> tuple[int, int]:
+    """The two largest powers of two below the capacity: windows of these lengths are not padded."""
+    largest = 1 << ((capacity - 1).bit_length() - 1)
+    return largest, largest // 2
+
+
 def best_cuts(places: np.ndarray, costs: np.ndarray, capacity: int = CAPACITY) -> list[int]:
     """The chosen cuts, in order, from 0 to the last place.
 
@@ -46,7 +51,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, capacity: int = CAPACITY) -
     place, cost = places.tolist(), costs.tolist()
     total = [0.0] * len(place)
     before = [0] * len(place)
-    index = {0: 0}
+    index, unpadded = {0: 0}, free_lengths(capacity)
     queue = deque([(0.0, 0, 0)])  # (f(b) + b, b, index), rising
     for i in range(1, len(place)):
         c = place[i]
@@ -54,7 +59,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, capacity: int = CAPACITY) -
             queue.popleft()
         least, _, at = queue[0]
         best = least + capacity - c
-        for free in FREE_LENGTHS:
+        for free in unpadded:
             j = index.get(c - free)
             if j is not None and total[j] < best:
                 best, at = total[j], j
