@@ -34,6 +34,7 @@ from cashweave.operators.features import (
     training_rows,
 )
 from cashweave.operators.forecast import with_band
+from cashweave.schemas import FORECAST
 from cashweave.session import checkpoint_dir, checkpointed
 
 MEMORY = max(LAGS)  # flows a tenant needs to be projected
@@ -116,7 +117,7 @@ def scaled_rows(history: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FittedForecast:
-    trees: TreeArrays
+    trees: TreeArrays | None  # None: nothing to learn from
     tenants: DataFrame  # tenant_id, scale, n_val, mae, sigma (the last two in money)
 
 
@@ -125,7 +126,9 @@ def train(
 ) -> FittedForecast:
     """Measures residuals on each tenant's latest rows, then fits on all rows.
 
-    The two fits are independent, so both are submitted at once.
+    The two fits are independent, so both are submitted at once. Where no tenant has
+    an early part to learn from there are no residuals, and sigma is NULL; without any
+    training row there are no trees, and no tenant.
     """
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         time_ordered_split(scaled_rows(history))
@@ -135,14 +138,17 @@ def train(
         featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth,
         stepSize=rate, seed=seed, maxBins=128, checkpointInterval=10,
     )
+    scales = rows.groupBy("tenant_id").agg(F.first("scale").alias("scale"))
     early = rows.where(F.col("is_train"))
+    if early.isEmpty():
+        tenants = scales.join(residual_stats(rows.limit(0).select("tenant_id", F.lit(None).cast("double").alias("error"))), "tenant_id", "left")
+        return FittedForecast(None if rows.isEmpty() else boosted_trees(regressor.fit(rows)), tenants)
     fit = inheritable_thread_target(history.sparkSession)(regressor.fit)
     with ThreadPoolExecutor(2) as pool:
         holdout_model, final_model = pool.map(fit, (early, rows))
     errors = holdout_model.transform(rows.where(~F.col("is_train"))).select(
         "tenant_id", ((F.col("target") - F.col("prediction")) * F.col("scale")).alias("error")
     )
-    scales = rows.groupBy("tenant_id").agg(F.first("scale").alias("scale"))
     tenants = scales.join(residual_stats(errors), "tenant_id", "left")
     return FittedForecast(boosted_trees(final_model), tenants)
 
@@ -242,4 +248,7 @@ def recursive_projection(
 def boosted_forecast(history: DataFrame, horizon: int = HORIZON_DAYS, **params) -> DataFrame:
     """Train on ``net_flow_history`` rows and forecast every tenant."""
     history = checkpointed(history)
-    return with_band(recursive_projection(history, train(history, **params), horizon))
+    fitted = train(history, **params)
+    if fitted.trees is None:
+        return history.sparkSession.createDataFrame([], FORECAST)
+    return with_band(recursive_projection(history, fitted, horizon))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DecimalType
 
 from cashweave.schemas import SOURCES
 from cashweave.sources.files import CORRUPT
@@ -33,10 +34,15 @@ def _reject_reason(df: DataFrame, table: str) -> Column:
     bad_date = F.lit(False)
     for name in source.required_dates:
         bad_date = bad_date | F.try_to_date(F.col(name)).isNull()
+    inexact = F.lit(False)
+    for name, kind in source.columns.items():
+        if isinstance(kind, DecimalType):
+            inexact = inexact | ~F.col(name).eqNullSafe(F.col(name).try_cast(kind))
     return (
         F.when(malformed, "malformed record")
         .when(missing, "missing key")
         .when(bad_date, "bad date")
+        .when(inexact, "inexact amount")
     )
 
 
@@ -56,14 +62,28 @@ def rejects(bronze: DataFrame, table: str) -> DataFrame:
     return mark_rejects(bronze, table).where(F.col(REASON).isNotNull())
 
 
+def unreadable_dates(bronze: DataFrame, table: str) -> DataFrame:
+    """Accepted rows whose optional date is not one: the row stays, its date is NULL, the text is kept here."""
+    source = SOURCES[table]
+    accepted = mark_rejects(bronze, table).where(F.col(REASON).isNull())
+    found = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"),
+                 (F.col(c).isNotNull() & F.try_to_date(F.col(c)).isNull()).alias("bad"))
+        for c in source.optional_dates
+    ])
+    return accepted.select(*source.key, F.inline(found)).where("bad").drop("bad")
+
+
 def to_silver(bronze: DataFrame, table: str) -> DataFrame:
     """Typed, deduplicated table with exactly the source columns."""
     source = SOURCES[table]
     accepted = mark_rejects(bronze, table).where(F.col(REASON).isNull())
     typed = accepted.select(
         *[
-            F.try_to_date(F.col(c)).alias(c) if c in source.dates else F.col(c)
-            for c in source.columns
+            F.try_to_date(F.col(c)).alias(c) if c in source.dates
+            else F.col(c).cast(kind).alias(c) if isinstance(kind, DecimalType)
+            else F.col(c)
+            for c, kind in source.columns.items()
         ]
     )
     return dedupe(typed, source.key)

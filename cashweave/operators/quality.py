@@ -12,6 +12,14 @@ from cashweave.operators.cash import by_day
 from cashweave.operators.ledger import daily_totals
 
 
+# the checks of a full report
+CHECKS = (
+    "sales_key", "ledger_key", "sales_required", "ledger_flow", "ledger_category", "balance_arithmetic",
+    "balance_continuity", "calendar_density", "runway_only_while_burning", "latest_balance",
+    "balance_from_ledger", "reorder_flag", "lateness_label",
+)
+
+
 def _check(df: DataFrame, name: str, violations: Column) -> DataFrame:
     return df.groupBy("tenant_id").agg(
         F.lit(name).alias("check_name"), violations.cast("bigint").alias("violations")
@@ -37,17 +45,23 @@ def allowed_values(df: DataFrame, column: str, allowed: Sequence[str], name: str
 def position_checks(cash: DataFrame) -> DataFrame:
     """Balance arithmetic, continuity, calendar density and runway rule in one pass.
 
-    ``cash`` is the position with burn and runway columns.
+    ``cash`` is the position with burn and runway columns. A missing balance is a
+    violation; the first day has no day before it.
     """
     before = by_day()
+    previous = F.lag("position_date").over(before)
     rows = cash.select(
         "tenant_id",
-        (
+        F.coalesce(
             F.col("closing_balance")
-            != F.col("opening_balance") + F.col("total_inflows") - F.col("total_outflows")
+            != F.col("opening_balance") + F.col("total_inflows") - F.col("total_outflows"),
+            F.lit(True),
         ).alias("balance_arithmetic"),
-        (F.col("opening_balance") != F.lag("closing_balance").over(before)).alias("balance_continuity"),
-        (F.datediff("position_date", F.lag("position_date").over(before)) != 1).alias("calendar_density"),
+        (
+            previous.isNotNull()
+            & F.coalesce(F.col("opening_balance") != F.lag("closing_balance").over(before), F.lit(True))
+        ).alias("balance_continuity"),
+        (F.datediff("position_date", previous) != 1).alias("calendar_density"),
         (
             F.col("estimated_cash_runway_days").isNotNull() & (F.col("avg_daily_net_burn_30d") <= 0)
         ).alias("runway_only_while_burning"),
@@ -109,8 +123,14 @@ def lateness_agrees(receivable: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(*checks: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks).withColumn("passed", F.col("violations") == 0)
+def quality_report(*checks: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """All checks as rows. A tenant of ``tenants`` that a check saw no row of is listed with 0 violations."""
+    found = reduce(DataFrame.unionByName, checks)
+    if tenants is not None:
+        names = F.explode(F.array(*[F.lit(n) for n in CHECKS]))
+        none = tenants.select("tenant_id", names.alias("check_name"), F.lit(0).cast("bigint").alias("violations"))
+        found = found.unionByName(none).groupBy("tenant_id", "check_name").agg(F.sum("violations").alias("violations"))
+    return found.withColumn("passed", F.col("violations") == 0)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

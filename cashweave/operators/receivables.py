@@ -189,9 +189,9 @@ def describe_receivables(matched: DataFrame, customers: DataFrame) -> DataFrame:
 def settle_invoices(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """Invoices of ``invoices_by_day`` with the date of their first-in-first-out payment.
 
-    A customer has at most one invoice per day, so ranks per amount are bounded
-    by the calendar; payments beyond the number of invoices are cut off before
-    ranks are spelled out.
+    Any number of invoices may fall on one day: each has a rank of its own.
+    Payments beyond the number of invoices are cut off before ranks are spelled
+    out, so there are as many ranks as invoices.
     """
     runs = (
         _stacked(invoices, payments)
@@ -213,8 +213,11 @@ def settle_invoices(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     slots = F.concat(
         F.when(
             F.col("n") > 0,
-            F.array(F.struct(F.col("n_end").alias("rank"), F.col("day").alias("invoice_date"),
-                             none.alias("payment_date"))),
+            F.transform(
+                F.sequence(F.col("n_end") - F.col("n") + 1, F.col("n_end")),
+                lambda r: F.struct(r.alias("rank"), F.col("day").alias("invoice_date"),
+                                   none.alias("payment_date")),
+            ),
         ).otherwise(F.array()),
         F.when(
             (F.col("m") > 0) & (first_payment <= last_payment),

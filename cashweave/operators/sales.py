@@ -66,17 +66,23 @@ def monthly_revenue(daily: DataFrame) -> DataFrame:
     )
 
 
-def month_to_date(daily: DataFrame, as_of: DataFrame | dt.date | None = None) -> DataFrame:
+def month_to_date(
+    daily: DataFrame, as_of: DataFrame | dt.date | None = None, tenants: DataFrame | None = None
+) -> DataFrame:
     """Revenue of the month that holds the as-of day, per tenant.
 
     ``as_of`` is a day for everyone, a ``(tenant_id, as_of)`` table, or None for
-    the month of each tenant's latest sale. A tenant of the table without sales
-    in its month gets 0.
+    the month of each tenant's latest sale. A tenant of the table, or with a day
+    one of ``tenants``, without sales in its month gets 0.
     """
     if isinstance(as_of, dt.date):
         first, last = month_bounds(as_of)
         month = daily.where(F.col("transaction_date").between(F.lit(first), F.lit(last)))
-        return month.groupBy("tenant_id").agg(F.sum("total_revenue").alias("mtd_revenue"))
+        found = month.groupBy("tenant_id").agg(F.sum("total_revenue").alias("mtd_revenue"))
+        if tenants is None:
+            return found
+        spine = tenants.select("tenant_id").distinct()
+        return spine.join(found, "tenant_id", "left").withColumn("mtd_revenue", F.coalesce("mtd_revenue", F.lit(0)))
     months = monthly_revenue(daily)
     if as_of is None:
         return months.groupBy("tenant_id").agg(F.max_by("revenue", "month").alias("mtd_revenue"))

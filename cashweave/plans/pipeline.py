@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cashweave.constants import HORIZON_DAYS
 from cashweave.operators.boosted import boosted_forecast
 from cashweave.operators.cash import burn_runway
-from cashweave.operators.clean import mark_rejects, rejects, to_silver
+from cashweave.operators.clean import mark_rejects, rejects, to_silver, unreadable_dates
 from cashweave.operators.features import net_flow_history
 from cashweave.operators.products import product_performance
 from cashweave.operators.receivables import receivables
 from cashweave.operators.sales import daily_sales
 from cashweave.schemas import SOURCES
-from cashweave.sources.files import for_tenant, read_bronze, use_database, write_table
+from cashweave.sources.files import for_tenant, read_bronze, replace_tenant, use_database, write_table
 
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Job parameters; the defaults refresh every tenant."""
+    """Job parameters; the defaults refresh every tenant.
+
+    With ``tenant_id`` the raw files are loaded whole, and behind Bronze only that
+    tenant's partitions are replaced.
+    """
 
     raw_path: str
     database: str = "cashweave"
@@ -36,7 +40,7 @@ class PipelineConfig:
     horizon: int = HORIZON_DAYS
     model: Mapping[str, int | float] = field(default_factory=dict)
     parallel_writes: int = 4
-    # table name -> partition columns, for tables large enough to gain from it
+    # table name -> partition columns after tenant_id, for tables large enough to gain from it
     partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
@@ -56,11 +60,13 @@ def build_silver(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFram
         bronze = for_tenant(spark.table(f"bronze_{name}"), cfg.tenant_id)
         tables[f"silver_{name}"] = to_silver(bronze, name)
         tables[f"rejected_{name}"] = rejects(bronze, name)
+        if SOURCES[name].optional_dates:
+            tables[f"unreadable_{name}"] = unreadable_dates(bronze, name)
     return tables
 
 
 def build_gold(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
-    silver = {name: spark.table(f"silver_{name}") for name in SOURCES}
+    silver = {name: for_tenant(spark.table(f"silver_{name}"), cfg.tenant_id) for name in SOURCES}
     sales = silver["sales_transactions"]
     return {
         "gold_daily_sales_summary": daily_sales(sales),
@@ -74,8 +80,9 @@ def build_gold(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]
 
 
 def build_forecast(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+    """The model is pooled, so it learns from all tenants also when one is refreshed."""
     history = net_flow_history(spark.table("gold_cash_position"))
-    return {"cash_forecast": boosted_forecast(history, cfg.horizon, **cfg.model)}
+    return {"cash_forecast": for_tenant(boosted_forecast(history, cfg.horizon, **cfg.model), cfg.tenant_id)}
 
 
 STAGES: tuple[Callable[[SparkSession, PipelineConfig], dict[str, DataFrame]], ...] = (
@@ -84,7 +91,7 @@ STAGES: tuple[Callable[[SparkSession, PipelineConfig], dict[str, DataFrame]], ..
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, int]:
-    """Replaces all tables, layer by layer; returns rows written per table.
+    """Replaces all tables, or one tenant's part of them, layer by layer; returns rows written per table.
 
     The tables of one layer do not depend on each other and are written side
     by side, so small ones fill the gaps a large one leaves.
@@ -94,7 +101,12 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, int]:
 
     def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
         name, df = item
-        return name, write_table(df, name, cfg.table_format, cfg.partition_by.get(name, ()))
+        if name.startswith("bronze_"):
+            return name, write_table(df, name, cfg.table_format)
+        if cfg.tenant_id is not None and spark.catalog.tableExists(name):
+            return name, replace_tenant(df, name, cfg.tenant_id)
+        parts = ["tenant_id", *[c for c in cfg.partition_by.get(name, ()) if c != "tenant_id"]]
+        return name, write_table(df, name, cfg.table_format, parts)
 
     for stage in STAGES:
         with ThreadPoolExecutor(cfg.parallel_writes) as pool:

@@ -111,7 +111,7 @@ def mtd_revenue(t):
 @query
 def mtd_revenue_as_of(t):
     first, last = sales.month_bounds(AS_OF)
-    return sales.month_to_date(sales.daily_sales(t.sales(first, last)), AS_OF)
+    return sales.month_to_date(sales.daily_sales(t.sales(first, last)), AS_OF, t.spans)
 
 
 @query
@@ -452,6 +452,7 @@ def quality_report(t):
         quality.balance_from_ledger(t.position, t.ledger, t.spans),
         quality.reorder_agrees(products.product_performance(t.products, lines), t.products),
         quality.lateness_agrees(_receivables(t, t.invoices)),
+        tenants=t.spans,
     )
 
 

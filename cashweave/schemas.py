@@ -18,6 +18,10 @@ from pyspark.sql.types import (
 
 # Money is exact: invoices and payments are matched on equal amounts.
 MONEY = DecimalType(18, 2)
+# A price for one unit may have fractions of a cent.
+PRICE = DecimalType(18, 6)
+# Files are read wider, so that what does not fit is rejected and not rounded.
+READ = DecimalType(38, 12)
 
 _TEXT, _INT, _BOOL = StringType(), IntegerType(), BooleanType()
 
@@ -36,6 +40,15 @@ class SourceTable:
     def schema(self) -> StructType:
         return StructType([StructField(n, t) for n, t in self.columns.items()])
 
+    @property
+    def read_schema(self) -> StructType:
+        decimal = lambda t: READ if isinstance(t, DecimalType) else t
+        return StructType([StructField(n, decimal(t)) for n, t in self.columns.items()])
+
+    @property
+    def optional_dates(self) -> tuple[str, ...]:
+        return tuple(c for c in self.dates if c not in self.required_dates)
+
     @property
     def required(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(self.key + self.required_dates))
@@ -45,7 +58,7 @@ PRODUCTS = SourceTable(
     "products",
     {
         "tenant_id": _TEXT, "product_id": _TEXT, "product_name": _TEXT, "category": _TEXT,
-        "unit_cost": MONEY, "unit_price": MONEY,
+        "unit_cost": PRICE, "unit_price": PRICE,
         "current_stock": _INT, "reorder_point": _INT, "reorder_quantity": _INT,
     },
     key=("tenant_id", "product_id"),
@@ -63,7 +76,7 @@ SALES = SourceTable(
     "sales_transactions",
     {
         "tenant_id": _TEXT, "transaction_id": _TEXT, "transaction_date": _TEXT,
-        "customer_id": _TEXT, "product_id": _TEXT, "quantity": _INT, "unit_price": MONEY,
+        "customer_id": _TEXT, "product_id": _TEXT, "quantity": _INT, "unit_price": PRICE,
         "total_amount": MONEY, "payment_method": _TEXT, "channel": _TEXT,
     },
     key=("tenant_id", "transaction_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -18,7 +19,7 @@ def read_bronze(spark: SparkSession, path: str, table: str, mode: str = "PERMISS
     PERMISSIVE keeps the text of a malformed line in ``_corrupt_record`` so it
     can be quarantined; FAILFAST stops the job on the first one.
     """
-    schema = StructType([*SOURCES[table].schema.fields, StructField(CORRUPT, StringType())])
+    schema = StructType([*SOURCES[table].read_schema.fields, StructField(CORRUPT, StringType())])
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -58,16 +59,33 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     """Replace only the partitions present in ``df`` of a partitioned table.
 
     The mode is a session setting for catalog tables (a writer option would be
-    ignored and the whole table replaced), so it is put back afterwards.
+    ignored and the whole table replaced), so the write has a session of its own.
     """
     spark = df.sparkSession
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
+    whole = name if "." in name else f"{spark.catalog.currentDatabase()}.{name}"
+    view = f"rows_{uuid.uuid4().hex}"
+    df.select(*spark.table(name).columns).createGlobalTempView(view)
     try:
-        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+        other = spark.newSession()
+        other.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        other.table(f"global_temp.{view}").write.insertInto(whole, overwrite=True)
     finally:
-        spark.conf.set(setting, before)
+        spark.catalog.dropGlobalTempView(view)
+    spark.catalog.refreshTable(name)
+
+
+def replace_tenant(df: DataFrame, name: str, tenant_id: str) -> int:
+    """Replace one tenant's partition, also by nothing; other tenants' files stay as they are."""
+    spark = df.sparkSession
+    rows, view = Observation(), f"rows_{uuid.uuid4().hex}"
+    own = for_tenant(df, tenant_id).observe(rows, F.count(F.lit(1)).alias("rows"))
+    own.select(*[c for c in spark.table(name).columns if c != "tenant_id"]).createOrReplaceTempView(view)
+    literal = tenant_id.replace("\\", "\\\\").replace("'", "\\'")
+    try:
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (tenant_id = '{literal}') SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
+    return rows.get["rows"]
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -134,7 +134,7 @@ class StarTables:
             "customer_id",
             F.col("l_partkey").cast("string").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            money(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            money(F.try_divide("l_extendedprice", "l_quantity")).alias("unit_price"),
             money(F.col("l_extendedprice")).alias("total_amount"),
             F.when(F.col("channel") == WHOLESALE, "invoice").otherwise(retail_method).alias("payment_method"),
             "channel",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cashweave.operators.clean import dedupe, rejects, to_silver
+from cashweave.operators.clean import dedupe, rejects, to_silver, unreadable_dates
 from cashweave.sources.files import read_bronze, write_csv
 from helpers import by, day, shuffled
 
@@ -54,6 +54,25 @@ def test_a_bad_date_does_not_displace_its_good_duplicate(spark, files):
     assert reasons == [("T1", "bad date"), ("T2", "bad date"), ("T3", "missing key")]
 
 
+def test_unreadable_optional_dates_are_recorded(spark, files):
+    bronze = read_bronze(spark, str(files / "customers.csv"), "customers")
+    found = unreadable_dates(bronze, "customers").collect()
+    assert [(r["customer_id"], r["column_name"]) for r in found] == [("C2", "signup_date")]
+
+
+def test_amounts_are_not_rounded(spark, tmp_path):
+    head = "tenant_id,product_id,product_name,category,unit_cost,unit_price,current_stock,reorder_point,reorder_quantity"
+    (tmp_path / "products.csv").write_text(f"{head}\nA,P1,Pin,Goods,0.125,0.5,1,2,3\nA,P2,Pin,Goods,0.12345678,1,1,2,3\n")
+    bronze = read_bronze(spark, str(tmp_path / "products.csv"), "products")
+    assert [(r["product_id"], float(r["unit_cost"])) for r in to_silver(bronze, "products").collect()] == [("P1", 0.125)]
+    assert [(r["product_id"], r["reject_reason"]) for r in rejects(bronze, "products").collect()] == [("P2", "inexact amount")]
+    head = "tenant_id,ledger_id,entry_date,flow_type,category,amount,description,customer_id"
+    (tmp_path / "cash_ledger.csv").write_text(f"{head}\nA,L1,2024-01-01,inflow,x,1.005,d,\nA,L2,2024-01-01,inflow,x,1.01,d,\n")
+    bronze = read_bronze(spark, str(tmp_path / "cash_ledger.csv"), "cash_ledger")
+    assert [r["ledger_id"] for r in to_silver(bronze, "cash_ledger").collect()] == ["L2"]
+    assert [r["reject_reason"] for r in rejects(bronze, "cash_ledger").collect()] == ["inexact amount"]
+
+
 def test_failfast_stops(spark, files):
     with pytest.raises(Exception, match="(?i)malformed"):
         read_bronze(spark, str(files / "customers.csv"), "customers", mode="FAILFAST").collect()

@@ -1,5 +1,6 @@
 """Features, split, band, flag, explanation, boosted model."""
 
+import datetime as dt
 import json
 import math
 
@@ -19,20 +20,21 @@ def flows():
     return [round(float(x), 2) for x in week + rng.normal(0, 15, 260)]
 
 
+def _features_by_hand(flows, i):
+    """The model's inputs for day i, counted from 2024-01-01, out of the flows before it."""
+    on = dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    week = on.isoweekday() - 1
+    return [week, on.day, on.month, 1 if week in (5, 6) else 0, flows[i - 1], flows[i - 7], flows[i - 14], flows[i - 30],
+            sum(flows[i - 7 : i]) / 7, sum(flows[i - 30 : i]) / 30, i]
+
+
 def test_features_equal_shifted_rolling_means(spark, flows):
     history = features.net_flow_history(position(spark, flows))
     got = features.training_rows(history).orderBy("position_date").toPandas()
-    s = pd.Series(flows)
-    d = pd.Series(pd.date_range("2024-01-01", periods=len(flows)))
-    want = pd.DataFrame({
-        "day_of_week": d.dt.dayofweek, "day_of_month": d.dt.day, "month": d.dt.month,
-        "is_weekend": (d.dt.dayofweek >= 5).astype(int),
-        **{f"lag_{k}": s.shift(k) for k in (1, 7, 14, 30)},
-        **{f"roll_mean_{k}": s.shift(1).rolling(k).mean() for k in (7, 30)},
-        "days_since_start": range(len(s)), "target": s,
-    }).dropna().reset_index(drop=True)
     assert len(got) == len(flows) - 30
-    np.testing.assert_allclose(got[want.columns].to_numpy(float), want.to_numpy(float), atol=1e-9)
+    for i, row in enumerate(got.itertuples(), start=30):
+        assert [getattr(row, name) for name in features.FEATURES] == pytest.approx(_features_by_hand(flows, i), abs=1e-9)
+        assert row.target == pytest.approx(flows[i])
 
 
 def test_split_is_ordered_and_rounds_down(spark, flows):
@@ -142,11 +144,7 @@ def test_recursion_rebuilds_the_training_features(flows):
     out = boosted.project_flows(echo, np.array([flows[-30:]]), last, first, np.array([1.0]), 40)[0]
     series = list(flows)
     for h, x in enumerate(seen):
-        s = pd.Series(series + [0.0])
-        d = pd.Timestamp("2024-01-01") + pd.Timedelta(days=len(series))
-        want = [d.dayofweek, d.day, d.month, int(d.dayofweek >= 5), *[s.shift(k).iloc[-1] for k in (1, 7, 14, 30)],
-                *[s.shift(1).rolling(k).mean().iloc[-1] for k in (7, 30)], len(series)]
-        np.testing.assert_allclose(x, want, atol=1e-6)
+        np.testing.assert_allclose(x, _features_by_hand(series, len(series)), atol=1e-6)
         series.append(out[h])
 
 
@@ -187,3 +185,12 @@ def test_boosted_forecast(spark, two_tenants, flows):
     np.testing.assert_allclose(half / np.sqrt(a["forecast_day"]), half[0], rtol=1e-3)
     # the weekly pattern is learned: the holdout error is below the spread of the flows
     assert half[0] / 1.645 < np.std(flows)
+
+
+@pytest.mark.parametrize("days", [0, 20, 30, 31, 33])
+def test_short_histories_end(spark, flows, days):
+    """No training row: no forecast. Rows, but none early enough to learn from: a forecast without a band."""
+    history = features.net_flow_history(position(spark, flows[: max(days, 1)])).where(F.lit(days > 0))
+    got = boosted.boosted_forecast(history, 5, trees=2).collect()
+    assert len(got) == (5 if days > 30 else 0)
+    assert all(r["confidence_lower"] is None for r in got if days == 31)

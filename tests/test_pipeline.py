@@ -75,6 +75,35 @@ def test_full_refresh_twice(spark, raw, tmp_path):
     assert checks["slowest_payers"].collect()[0]["customer_name"] == "Office"
 
 
+def test_refresh_of_one_tenant_leaves_the_others(spark, raw, tmp_path):
+    both = tmp_path / "both"
+    both.mkdir()
+    for file in raw.iterdir():
+        head, *lines = file.read_text().splitlines()
+        (both / file.name).write_text("\n".join([head, *lines, *("B" + line[1:] for line in lines)]) + "\n")
+    cfg = PipelineConfig(str(both), "cw_two", str(tmp_path / "db"), model={"trees": 2})
+    run_pipeline(spark, cfg)
+    names = [t.name for t in spark.catalog.listTables("cw_two") if not t.name.startswith("bronze_") and not t.isTemporary]
+
+    def rows(tenant):
+        return {n: sorted(map(str, spark.table(f"cw_two.{n}").where(F.col("tenant_id") == tenant).collect())) for n in names}
+
+    before = rows("B"), rows("A")
+    # one good product of A goes, and its bad sale
+    text = (both / "products.csv").read_text().replace("A,P2,Mug,Goods,2,5,50,20,40\n", "")
+    (both / "products.csv").write_text(text)
+    sold = (both / "sales_transactions.csv").read_text().splitlines()
+    (both / "sales_transactions.csv").write_text("\n".join(x for x in sold if not x.startswith("A,bad")) + "\n")
+    one = PipelineConfig(str(both), "cw_two", str(tmp_path / "db"), tenant_id="A", model={"trees": 2})
+    counts = run_pipeline(spark, one)
+    assert rows("B") == before[0]
+    after = rows("A")
+    assert counts["silver_products"] == 1 and len(after["silver_products"]) == 1
+    assert counts["rejected_sales_transactions"] == 0 == len(after["rejected_sales_transactions"])
+    assert after["cash_forecast"] and len(after["gold_cash_position"]) == len(before[1]["gold_cash_position"])
+    assert run_pipeline(spark, one) == counts and rows("B") == before[0] and rows("A") == after
+
+
 def test_partition_overwrite_leaves_other_tenants(spark):
     df = spark.createDataFrame([("A", 1), ("B", 2)], "tenant_id string, v int")
     assert write_table(df, "by_tenant", partition_by=["tenant_id"]) == 2

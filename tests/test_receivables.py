@@ -140,6 +140,17 @@ def test_settle_and_age(spark):
     assert aged["d", "current"]["open_amount"] == 8
 
 
+def test_equal_invoices_of_one_day_are_all_settled(spark):
+    inv = invoices(spark, [("A", "c", "2024-01-01", 5)] * 3 + [("A", "c", "2024-01-02", 5)])
+    pay = payments(spark, [("A", "c", "2024-01-03", 5), ("A", "c", "2024-01-04", 5)])
+    settled = sorted((r["invoice_date"], str(r["payment_date"])) for r in ar.settle_invoices(inv, pay).collect())
+    assert settled == [(day("2024-01-01"), "2024-01-03"), (day("2024-01-01"), "2024-01-04"), (day("2024-01-01"), "None"),
+                       (day("2024-01-02"), "None")]
+    who = customers(spark, [("A", "c", "C", 30, False)])
+    aged = ar.ar_aging(inv, pay, who, day("2024-01-10")).collect()
+    assert [(r["open_invoices"], r["open_amount"]) for r in aged] == [(2, 10)]
+
+
 def test_surplus_payments_are_cut(spark):
     inv = invoices(spark, [("A", "c", "2024-01-01", 5)])
     pay = payments(spark, [("A", "c", "2024-01-03", 5)] * 50 + [("A", "c", "2024-01-02", 5)])
