@@ -50,8 +50,11 @@ VOCABULARY = (
     ("cash runway", "runway_days", "estimated_cash_runway_days"),
     ("runway", "runway_days", "estimated_cash_runway_days"),
     ("how long can we last", "runway_days", "estimated_cash_runway_days"),
-    ("revenue", "mtd_revenue", "total_revenue"),
-    ("sales", "mtd_revenue", "total_revenue"),
+    ("revenue", "total_revenue", "total_revenue"),
+    ("sales", "total_revenue", "total_revenue"),
+    ("retail revenue", "retail_revenue", "total_revenue"),
+    ("wholesale revenue", "wholesale_revenue", "total_revenue"),
+    ("month to date revenue", "mtd_revenue", "total_revenue"),
     ("best sellers", "best_seller_revenue", "total_revenue"),
     ("top products", "best_seller_revenue", "total_revenue"),
     ("slow movers", "slowest_units", "units_sold"),

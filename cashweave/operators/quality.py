@@ -12,11 +12,11 @@ from cashweave.operators.cash import by_day
 from cashweave.operators.ledger import daily_totals
 
 
+POSITION_CHECKS = ("balance_arithmetic", "balance_continuity", "calendar_density", "runway_only_while_burning")
 # the checks of a full report
 CHECKS = (
-    "sales_key", "ledger_key", "sales_required", "ledger_flow", "ledger_category", "balance_arithmetic",
-    "balance_continuity", "calendar_density", "runway_only_while_burning", "latest_balance",
-    "balance_from_ledger", "reorder_flag", "lateness_label",
+    "sales_key", "ledger_key", "sales_required", "ledger_flow", "ledger_category", *POSITION_CHECKS,
+    "latest_balance", "balance_from_ledger", "reorder_flag", "lateness_label",
 )
 
 
@@ -66,7 +66,7 @@ def position_checks(cash: DataFrame) -> DataFrame:
             F.col("estimated_cash_runway_days").isNotNull() & (F.col("avg_daily_net_burn_30d") <= 0)
         ).alias("runway_only_while_burning"),
     )
-    names = ["balance_arithmetic", "balance_continuity", "calendar_density", "runway_only_while_burning"]
+    names = list(POSITION_CHECKS)
     counts = rows.groupBy("tenant_id").agg(*[count_where(F.col(n)).alias(n) for n in names])
     return counts.unpivot(["tenant_id"], names, "check_name", "violations")
 
@@ -123,12 +123,14 @@ def lateness_agrees(receivable: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(*checks: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+def quality_report(
+    *checks: DataFrame, tenants: DataFrame | None = None, names: Sequence[str] = CHECKS
+) -> DataFrame:
     """All checks as rows. A tenant of ``tenants`` that a check saw no row of is listed with 0 violations."""
     found = reduce(DataFrame.unionByName, checks)
     if tenants is not None:
-        names = F.explode(F.array(*[F.lit(n) for n in CHECKS]))
-        none = tenants.select("tenant_id", names.alias("check_name"), F.lit(0).cast("bigint").alias("violations"))
+        every = F.explode(F.array(*[F.lit(n) for n in names]))
+        none = tenants.select("tenant_id", every.alias("check_name"), F.lit(0).cast("bigint").alias("violations"))
         found = found.unionByName(none).groupBy("tenant_id", "check_name").agg(F.sum("violations").alias("violations"))
     return found.withColumn("passed", F.col("violations") == 0)
 

@@ -92,6 +92,16 @@ def month_to_date(
     )
 
 
+def total_revenue(daily: DataFrame) -> DataFrame:
+    """Revenue over all days with its split by channel."""
+    part = lambda c: F.sum(F.when(F.col("channel") == c, F.col("total_revenue")).otherwise(F.lit(0)))
+    return daily.groupBy("tenant_id").agg(
+        F.sum("total_revenue").alias("total_revenue"),
+        part(RETAIL).alias("retail_revenue"),
+        part(WHOLESALE).alias("wholesale_revenue"),
+    )
+
+
 def yearly_growth(daily: DataFrame) -> DataFrame:
     """Revenue of the latest twelve months against the twelve before, per tenant."""
     by_day = daily.groupBy("tenant_id", "transaction_date").agg(

@@ -17,6 +17,7 @@ from cashweave.operators.features import net_flow_history
 from cashweave.operators.products import product_performance
 from cashweave.operators.receivables import receivables
 from cashweave.operators.sales import daily_sales
+from cashweave.plans.answers import Stored, kpi_header, stored_checks
 from cashweave.schemas import SOURCES
 from cashweave.sources.files import for_tenant, read_bronze, replace_tenant, use_database, write_table
 
@@ -85,8 +86,14 @@ def build_forecast(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFr
     return {"cash_forecast": for_tenant(boosted_forecast(history, cfg.horizon, **cfg.model), cfg.tenant_id)}
 
 
+def build_answers(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+    """Headline numbers and checks over what the refresh has stored."""
+    stored = Stored(spark, cfg.tenant_id)
+    return {"gold_kpi_header": kpi_header(stored), "gold_quality_report": stored_checks(stored)}
+
+
 STAGES: tuple[Callable[[SparkSession, PipelineConfig], dict[str, DataFrame]], ...] = (
-    load_bronze, build_silver, build_gold, build_forecast,
+    load_bronze, build_silver, build_gold, build_forecast, build_answers,
 )
 
 

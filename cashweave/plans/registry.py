@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
@@ -23,6 +24,13 @@ AS_OF = dt.date(2001, 6, 30)
 CATEGORY = "PROMO"
 WINDOW = (dt.date(2000, 9, 20), dt.date(2000, 11, 5))
 
+# Two trees of depth 2 over the model's features: which one, where it is cut, the value of each leaf.
+FIXED_TREES = boosted.TreeArrays(
+    np.array([[8, 4, 0], [5, 9, 2]]),
+    np.array([[0.5, -500.25, 4.5], [100.5, -50.25, 6.5]]),
+    np.array([[-310.5, -120.25, 240.75, 35.5], [-60.5, 80.25, 150.75, -45.5]]),
+)
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -351,6 +359,7 @@ def vocabulary_answers(t):
         .join(outlook.drop("at_risk_days", "days"), "tenant_id", "left")
         .join(latest.select("tenant_id", F.col("avg_daily_net_burn_30d").alias("burn_rate")), "tenant_id", "left")
         .join(owed, "tenant_id", "left")
+        .join(sales.total_revenue(t.daily), "tenant_id", "left")
     )
     return kpis.answer_terms(metrics)
 
@@ -433,6 +442,14 @@ def boosted_cash_forecast(t):
     return boosted.boosted_forecast(features.net_flow_history(t.position))
 
 
+@query
+def recursive_forecast(t):
+    """The projection of the boosted forecast, with fixed trees instead of fitted ones."""
+    history = features.net_flow_history(t.position)
+    tenants = t.spans.select("tenant_id", F.lit(1.0).alias("scale"), F.lit(None).cast("double").alias("sigma"))
+    return forecast.with_band(boosted.recursive_projection(history, boosted.FittedForecast(FIXED_TREES, tenants)))
+
+
 # --- checks ---------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from cashweave.plans.answers import QUESTIONS, answer
 from cashweave.plans.pipeline import PipelineConfig, run_pipeline, spot_checks
 from cashweave.sources.files import read_forecast, replace_partitions, write_table
 
@@ -70,6 +71,18 @@ def test_full_refresh_twice(spark, raw, tmp_path):
     read = read_forecast(spark, tenant_id="A")
     assert [r["forecast_day"] for r in read.collect()] == list(range(1, 91))
     assert dict(read.dtypes)["forecast_date"] == "date" and dict(read.dtypes)["risk_flag"] == "boolean"
+    header = answer(spark, "kpi_header", "A").collect()
+    assert [tuple(r) for r in header] == [tuple(r) for r in spark.table("gold_kpi_header").select(*header[0].asDict()).collect()]
+    assert header[0]["products_to_reorder"] == 1 and header[0]["at_risk_customers"] == 1
+    last = spark.table("silver_daily_cash_position").orderBy(F.desc("position_date")).first()
+    assert header[0]["cash_on_hand"] == float(last["closing_balance"])
+    for question in QUESTIONS:
+        args = [dt.date(2024, 2, 5)] if question == "channel_revenue" else []
+        for tenant in ("A", None):
+            assert answer(spark, question, tenant, *args).columns
+        assert answer(spark, question, "nobody", *args).count() == 0
+    report = {r["check_name"]: r["violations"] for r in spark.table("gold_quality_report").collect()}
+    assert len(report) == 18 and {k for k, v in report.items() if v} == set()
     checks = spot_checks(spark)
     assert checks["lowest_days"].count() == 5
     assert checks["slowest_payers"].collect()[0]["customer_name"] == "Office"
