@@ -6,13 +6,18 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from cashweave.schemas import MONEY
+from cashweave.schemas import MONEY, TOTAL
 
 
 def money(value: Column) -> Column:
     return value.cast(MONEY)
 
 
+def total(value: Column) -> Column:
+    """A sum of money, or an amount made from one."""
+    return value.cast(TOTAL)
+
+
 def double(value: Column) -> Column:
     return value.cast("double")
 

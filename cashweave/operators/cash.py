@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cashweave.constants import BURN_ROWS, OUTFLOW, RISK_BALANCE, RUNWAY_ALERT_DAYS
-from cashweave.functions.columns import count_where, double, money
+from cashweave.functions.columns import count_where, double, total
 from cashweave.operators.schedule import tenant_calendar
 from cashweave.operators.ledger import daily_totals
 
@@ -39,10 +39,10 @@ def daily_position(ledger: DataFrame, spans: DataFrame) -> DataFrame:
         .select(
             "tenant_id",
             "position_date",
-            money(F.col("closing") - F.col("net_flow")).alias("opening_balance"),
-            money(F.coalesce("total_inflows", zero)).alias("total_inflows"),
-            money(F.coalesce("total_outflows", zero)).alias("total_outflows"),
-            money(F.col("closing")).alias("closing_balance"),
+            total(F.col("closing") - F.col("net_flow")).alias("opening_balance"),
+            total(F.coalesce("total_inflows", zero)).alias("total_inflows"),
+            total(F.coalesce("total_outflows", zero)).alias("total_outflows"),
+            total(F.col("closing")).alias("closing_balance"),
         )
     )
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cashweave.constants import INFLOW, OUTFLOW, RETAIL, WHOLESALE
-from cashweave.functions.columns import money, signed
+from cashweave.functions.columns import signed, total
 from cashweave.operators.schedule import recurring_dates
 
 LEDGER_COLUMNS = (
@@ -26,7 +26,7 @@ def daily_party_totals(sales: DataFrame, *carried: str) -> DataFrame:
     invoiced = F.col("channel") == WHOLESALE
     party = [F.when(invoiced, F.col(c)).alias(c) for c in ("customer_id", *carried)]
     return sales.groupBy("tenant_id", "transaction_date", "channel", *party).agg(
-        money(F.sum("total_amount")).alias("amount")
+        total(F.sum("total_amount")).alias("amount")
     )
 
 
@@ -48,7 +48,7 @@ def entry(
             day.alias("entry_date"),
             F.lit(flow).alias("flow_type"),
             F.lit(category).alias("category"),
-            money(amount).alias("amount"),
+            total(amount).alias("amount"),
             description.alias("description"),
             customer.alias("customer_id"),
         ),
@@ -91,7 +91,7 @@ def recurring_entries(obligations: DataFrame, spans: DataFrame) -> DataFrame:
         "entry_date",
         F.lit(OUTFLOW).alias("flow_type"),
         "category",
-        money(F.col("amount")).alias("amount"),
+        total(F.col("amount")).alias("amount"),
         "description",
         F.lit(None).cast("string").alias("customer_id"),
     )

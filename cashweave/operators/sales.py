@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cashweave.constants import RETAIL, WHOLESALE
-from cashweave.functions.columns import count_where, month_bounds, ratio, sum_where
+from cashweave.functions.columns import count_where, month_bounds, ratio, sum_where, total
 
 
 def daily_sales(sales: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def invoices_by_day(sales: DataFrame) -> DataFrame:
     return (
         sales.where(F.col("channel") == WHOLESALE)
         .groupBy("tenant_id", "customer_id", F.col("transaction_date").alias("invoice_date"))
-        .agg(F.sum("total_amount").cast("decimal(18,2)").alias("total_amount"))
+        .agg(total(F.sum("total_amount")).alias("total_amount"))
     )
 
 

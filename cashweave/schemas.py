@@ -18,6 +18,8 @@ from pyspark.sql.types import (
 
 # Money is exact: invoices and payments are matched on equal amounts.
 MONEY = DecimalType(18, 2)
+# Sums of money, of a tenant with any number of rows.
+TOTAL = DecimalType(28, 2)
 # A price for one unit may have fractions of a cent.
 PRICE = DecimalType(18, 6)
 # Files are read wider, so that what does not fit is rejected and not rounded.

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.constants import OUTFLOW, RETAIL, STARTING_BALANCE, WHOLESALE
-from cashweave.functions.columns import money, padded_id
+from cashweave.functions.columns import money, padded_id, total
 from cashweave.operators.cash import daily_position
 from cashweave.operators.clean import dedupe
 from cashweave.operators.ledger import (
@@ -220,12 +220,12 @@ class StarTables:
     @cached_property
     def obligations(self) -> DataFrame:
         """Duties sized by each tenant's lifetime revenue."""
-        revenue = self.party_totals.groupBy("tenant_id").agg(money(F.sum("amount")).alias("revenue"))
+        revenue = self.party_totals.groupBy("tenant_id").agg(total(F.sum("amount")).alias("revenue"))
         duties = F.array(*[
             F.struct(
                 F.lit(category).alias("category"),
                 F.lit(text).alias("description"),
-                money(F.col("revenue") * F.lit(Decimal(share))).alias("amount"),
+                total(F.col("revenue") * F.lit(Decimal(share))).alias("amount"),
                 F.lit(cadence).alias("cadence"),
                 F.lit(offset).alias("offset_days"),
                 F.lit(step).alias("step_days"),

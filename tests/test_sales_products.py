@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from cashweave.operators import products, sales
 from helpers import by, day, money
 
@@ -75,3 +77,19 @@ def test_product_lists(spark):
     assert ranked(products.slow_movers(performance, k=2)) == ["P3", "P1"]
     extremes = products.product_extremes(performance).collect()[0]
     assert (extremes["best_seller_revenue"], extremes["slowest_units"]) == (8, 0)
+
+
+def test_sums_beyond_a_single_amount(spark):
+    """Rows fit DECIMAL(18,2); a tenant's sums need not."""
+    from cashweave.operators.cash import daily_position
+    from cashweave.operators.ledger import daily_party_totals
+    from helpers import ledger, spans
+
+    big = "9999999999999999.99"
+    rows = spark.createDataFrame(
+        [("A", "2024-01-01", "retail", "C", big)] * 3, "tenant_id string, d string, channel string, customer_id string, a string"
+    ).select("tenant_id", F.to_date("d").alias("transaction_date"), "channel", "customer_id", F.col("a").cast("decimal(18,2)").alias("total_amount"))
+    assert [str(r["amount"]) for r in daily_party_totals(rows).collect()] == ["29999999999999999.97"]
+    entries = ledger(spark, [("A", "2024-01-01", "inflow", "x", big)] * 3)
+    got = daily_position(entries, spans(spark, [("A", "2024-01-01", "2024-01-01", 0)])).collect()
+    assert [str(r["closing_balance"]) for r in got] == ["29999999999999999.97"]
