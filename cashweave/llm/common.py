@@ -6,15 +6,16 @@ arrays are sized by `CHUNK_BYTES` of text, or by one document if that is longer.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,12 +59,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- Python in tasks --------------------------------------------------------
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_tasks(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+    """`mapInArrow` whose worker gives its memory back at the end of a partition.
+
+    Python workers stay alive between tasks, several to an executor; what the last
+    task left in their allocators would count against every later stage.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 # --- text as arrays ---------------------------------------------------------
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; null is empty."""
-    column = pc.fill_null(column, "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_large_string(column.type):

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cashweave.llm.common import documents, mix, partitions, restage
+from cashweave.llm.common import documents, in_tasks, mix, partitions, restage
 from cashweave.llm.components import components
 from cashweave.llm.tokens import code_points
 
@@ -220,7 +220,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                         ids, texts, size = ids[-1:], texts[-1:], len(text)
         yield from flush()
 
-    return rows.mapInArrow(run, _RESULT)
+    return in_tasks(rows, run, _RESULT)
 
 
 # --- near documents ---------------------------------------------------------------
@@ -242,7 +242,7 @@ def _bands(prints: DataFrame, digits: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "level", "band", "key"])
 
-    return prints.mapInArrow(run, "doc_id long, level int, band int, key string")
+    return in_tasks(prints, run, "doc_id long, level int, band int, key string")
 
 
 def near_documents(docs: DataFrame, like: float = LIKE, digits: int = BAND_DIGITS) -> DataFrame:
@@ -259,7 +259,7 @@ def near_documents(docs: DataFrame, like: float = LIKE, digits: int = BAND_DIGIT
                 part = batch.slice(low, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text").to_pylist()))], ["doc_id", "fingerprint"])
 
-    prints, _ = restage(docs.mapInArrow(run, "doc_id long, fingerprint string"), "prints")
+    prints, _ = restage(in_tasks(docs, run, "doc_id long, fingerprint string"), "prints")
     bands, _ = restage(_bands(prints, digits), "bands")
     center = bands.groupBy("level", "band", "key").agg(F.min("doc_id").alias("center"))
     pairs = bands.join(center, ["level", "band", "key"]).where("doc_id <> center").select("doc_id", "center").distinct()
@@ -271,7 +271,7 @@ def near_documents(docs: DataFrame, like: float = LIKE, digits: int = BAND_DIGIT
             both = zip(batch.column("fingerprint").to_pylist(), batch.column("theirs").to_pylist(), strict=True)
             yield batch.filter(pa.array([likeness(a, b) >= like for a, b in both], pa.bool_())).select(["doc_id", "center"])
 
-    links, _ = restage(pairs.mapInArrow(verify, "doc_id long, center long"), "near")
+    links, _ = restage(in_tasks(pairs, verify, "doc_id long, center long"), "near")
     links = links.distinct()
     count = links.select("doc_id").unionByName(links.select(F.col("center").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(links, "doc_id", "center").withColumnRenamed("node", "doc_id")

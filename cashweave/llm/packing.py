@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm.common import chunks, documents
+from cashweave.llm.common import chunks, documents, in_tasks
 from cashweave.llm.tokens import Encoder, code_points
 
 CAPACITY, END_ID = 1024, 0
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 sequence += int(p["sequence"][-1]) + 1
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return in_tasks(docs.select("doc_id", "text"), run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

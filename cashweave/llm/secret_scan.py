@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cashweave.llm.common import documents
+from cashweave.llm.common import documents, in_tasks
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{14,}(?![A-Za-z0-9_\-+/=])")
 SAMPLE, TREES, DEPTH, LEAST_LEAF = 2000, 24, 8, 4
@@ -145,7 +145,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> set[str]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = in_tasks(docs.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = set()
     for row in counts.orderBy(F.desc("n"), "code").limit(4 * size).collect():
         digits = [row["code"] // 27 ** (PIECE - 1 - k) % 27 for k in range(PIECE)]
@@ -172,7 +172,7 @@ def findings(docs: DataFrame, words: set[str]) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text", "source").mapInArrow(run, "doc_id long, start long, end long, value string, around array<string>, x binary")
+    return in_tasks(docs.select("doc_id", "text", "source"), run, "doc_id long, start long, end long, value string, around array<string>, x binary")
 
 
 def fit(found: DataFrame, label: Column, per_label: int = SAMPLE) -> Forest:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cashweave.llm.common import LOWERED, SPACE, chunks, prefix_sums, segment_hash, spans, table
+from cashweave.llm.common import LOWERED, SPACE, chunks, in_tasks, prefix_sums, segment_hash, spans, table
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -66,7 +66,7 @@ def collected(rows: DataFrame, suffixes: bool) -> list[tuple[int, np.ndarray]]:
                 cells = [buckets[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(low, high - low), pa.array(cells, pa.binary())], ["label", "f"])
 
-    found = rows.select("text", "label").mapInArrow(run, "label int, f binary").collect()
+    found = in_tasks(rows.select("text", "label"), run, "label int, f binary").collect()
     width = 1 + len(PREFIXES) + (len(SUFFIXES) + 1 if suffixes else 0)
     return [(r["label"], np.frombuffer(r["f"], "<u4").reshape(-1, width)) for r in found]
 
@@ -87,7 +87,7 @@ class Rows:
         cells = [c[usable[c]] for c in cells]
         self.size = np.array([c.size for c in cells])
         self.edges = np.concatenate(([0], np.cumsum(self.size)))
-        self.flat = np.concatenate([c.reshape(-1) for c in cells]).astype(np.int64) if cells else np.empty(0, np.int64)
+        self.flat = np.concatenate([c.reshape(-1) for c in cells]).astype(np.uint32) if cells else np.empty(0, np.uint32)
 
     def __len__(self) -> int:
         return len(self.size)
