@@ -2,9 +2,9 @@
 
 A text's subwords are the byte 3- and 4-grams of its lower-cased letters, with anything
 else as a word boundary, hashed to `BUCKETS` embeddings. Their average feeds a linear
-softmax; both are trained by stochastic gradient descent in numpy, on at most
-`SAMPLE` documents of each of the `LANGUAGES` most frequent languages (those with the
-smallest hash of their id). A fifth of them is set aside: it fits the temperature of the softmax
+softmax; both are trained by stochastic gradient descent in numpy, on about
+`SAMPLE` documents of each of the `LANGUAGES` most frequent languages, picked by the hash
+of their id. A fifth of them is set aside: it fits the temperature of the softmax
 and the smallest confidence at which `ACCURACY` of the accepted texts are right; a text is also
 rejected below 0.5 if all but `LEAST_USUAL` of the known texts are more confident.
 As the model is linear, embeddings and softmax fold into one table of scores for each bucket,
@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cashweave.llm.common import LOWERED, chunks, documents, utf8
+from cashweave.llm.common import LOWERED, chunks, documents, in_tasks
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 16, (3, 4)
 SAMPLE, LANGUAGES, ACCURACY, LEAST_USUAL, EPOCHS, RATE = 500, 200, 0.99, 0.001, 5, 0.5
@@ -69,11 +69,13 @@ def counted(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """About `per_language` documents of each language: those whose hashed id is below the share that gives as many."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", F.xxhash64("text"))
-    picked = known.where(F.col("lang").isin(names)).withColumn("place", F.row_number().over(order))
-    return picked.where(F.col("place") <= per_language)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return known.limit(0)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)))))
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE, epochs: int = EPOCHS, seed: int = 9) -> Model:
@@ -86,11 +88,13 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, epochs: int = EPOCHS, seed:
                 buckets.append(b.astype("<u2").tobytes())
                 counts.append(c.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], ["lang", "buckets", "counts"]
+                [batch.column("place"), batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())],
+                ["place", "lang", "buckets", "counts"],
             )
 
-    rows = _sample(docs, per_language).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").select("text", "lang")
-    rows = rows.mapInArrow(features, "lang string, buckets binary, counts binary").collect()
+    rows = _sample(docs, per_language).select(F.xxhash64("doc_id", F.lit(3)).alias("place"), "text", "lang")
+    rows = in_tasks(rows, features, "place long, lang string, buckets binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["place"], r["buckets"]))
     rows = [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in rows]
     rows = [(lang, b, c / c.sum()) for lang, b, c in rows if len(b)]
     languages = sorted({lang for lang, _, _ in rows})
@@ -137,14 +141,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True) if z.shape[1] else p
 
 
-def has_letter(texts: pa.Array) -> np.ndarray:
-    """Whether a text has a letter of any alphabet; null has none."""
-    data, offsets = utf8(texts)
-    ascii_letter = np.zeros(len(data) + 1, np.int64)
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a text has a letter of any alphabet."""
+    ascii_letter = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_LETTER[data] & (data < 128), out=ascii_letter[1:])
     out = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
-        out[i] = any(c.isalpha() for c in texts[i].as_py() or "")
+        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode())
     return out
 
 
@@ -163,9 +166,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             total[full] += np.add.reduceat(model.scores[subwords(data, offsets, g)], offsets[full], axis=0)
             count += np.maximum(0, lengths - g + 1)
         p = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
-        best[low:high], sure[low:high] = p.argmax(1), p.max(1)
-    none = ~has_letter(texts)
-    best[none], sure[none] = -1, 0
+        letter = has_letter(data, offsets)
+        best[low:high], sure[low:high] = np.where(letter, p.argmax(1), -1), np.where(letter, p.max(1), 0.0)
     return best, sure
 
 
@@ -188,7 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     added = T.StructType().add("_lang_pred", "string").add("_lang_score", "double").add("_lang_rejected", "boolean")
     kind = T.StructType([*docs.schema.fields, *added.fields])
-    return docs.mapInArrow(run, kind)
+    return in_tasks(docs, run, kind)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
