@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cashweave.llm.common import chunks, documents
+from cashweave.llm.common import chunks, documents, in_tasks
 from cashweave.llm.language_id import fold
 from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text, usable
 
@@ -86,7 +86,8 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = SAMPLE) -> Model:
         return Model(grades or [0], np.zeros(BUCKETS, np.float32), np.empty(0))
     share = F.create_map(*(F.lit(x) for g in grades for x in (g, int(min(1.0, per_grade / counts[g]) * (1 << 30)))))
     picked = ratings.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < F.element_at(share, F.col("grade")))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id").withColumnRenamed("grade", "label")
+    # at most about MOST_GRADES * per_grade ids and grades: small enough to broadcast whatever the corpus is
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumnRenamed("grade", "label")
     found = collected(rows, True)
     grade = np.searchsorted(grades, [g for g, _ in found])
     # thresholds see each grade as often as it is rated, not as often as it is sampled: one weight for all
@@ -111,7 +112,7 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*batch.schema.names, "_grade", "_tail"])
 
     added = [T.StructField("_grade", T.DoubleType()), T.StructField("_tail", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return in_tasks(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

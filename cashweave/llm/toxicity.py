@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cashweave.llm.common import chunks, documents
+from cashweave.llm.common import chunks, documents, in_tasks
 from cashweave.llm.language_id import fold
 from cashweave.llm.word_features import BUCKETS, Adam, Rows, collected, sums_by_text, usable
 
@@ -78,7 +78,8 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, positives: int = POSITI
     """A model from docs (doc_id, text), the ids of confirmed toxic ones, and the share of toxic texts."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     ids = _sample(toxic.select("doc_id").distinct(), positives)
-    hit = [c for _, c in collected(known.join(ids, "doc_id", "left_semi").withColumn("label", F.lit(1)), False)]
+    # about `positives` ids at most: small enough to broadcast whatever the corpus is
+    hit = [c for _, c in collected(known.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("label", F.lit(1)), False)]
     rest = [c for _, c in collected(_sample(known, unlabelled).withColumn("label", F.lit(0)), False)]
     prior = min(max(prior, 1e-4), 0.99)
     if not hit or not rest:
@@ -86,6 +87,7 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, positives: int = POSITI
     least = min(LEAST_TEXTS, max(1, (len(hit) + len(rest)) // 100))
     known_features = usable(hit + rest, least)
     positive, other = Rows(hit, known_features), Rows(rest, known_features)
+    del hit, rest
     models = [nnpu(positive, other, prior, seed) for seed in range(MODELS)]
     weights, offset = np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models]))
     z = other.score(weights, np.arange(len(other))) + offset
@@ -104,7 +106,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = _sigmoid(np.concatenate([np.empty(0), *z]) + model.offset)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "_toxic_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_toxic_score", T.DoubleType())]))
+    return in_tasks(docs, run, T.StructType([*docs.schema.fields, T.StructField("_toxic_score", T.DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
