@@ -17,7 +17,7 @@ from cashweave.llm.common import mix, segment_hash_of
 # Fixed values of the tokenizer's cutting rule: the endings that stay with an apostrophe.
 ENDINGS_1, ENDINGS_2 = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, WHITE, OTHER = range(4)
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 1_000_000
 
 
 @lru_cache(1)
@@ -92,19 +92,22 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[int] = []
-        self.begin: list[int] = []
-        self.size: list[int] = []
-
-    def _learn(self, key: int, piece: str) -> int:
-        written = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-        found = [t.id for t in self.model.tokenize(written)]
-        self.known[key] = place = len(self.begin)
-        self.begin.append(len(self.ids))
-        self.size.append(len(found))
-        self.ids.extend(found)
-        return place
+        """Known pieces: sorted hashes, and where in `ids` the ids of each begin and how many they are."""
+        self.keys = np.empty(0, np.uint64)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        tokenize, table, ids, sizes = self.model.tokenize, self.table, [], []
+        for piece in pieces:
+            found = tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        size = np.array(sizes, np.int64)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, np.array(ids, np.uint32)))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.begin, begin), (self.size, size)))
 
     def encode(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end, piece starts, first id of each piece and the end)."""
@@ -115,22 +118,21 @@ class Encoder:
         keys, firsts, inverse = np.unique(
             segment_hash_of(mix(points.astype(np.uint64) + np.uint64(1)), starts, ends), return_index=True, return_inverse=True
         )
-        if len(self.known) > KNOWN_PIECES:
+        if len(self.keys) > KNOWN_PIECES:
             self.forget()
-        places = np.empty(len(keys), np.int64)
-        known = self.known
-        for i, (key, first) in enumerate(zip(keys.tolist(), firsts.tolist(), strict=True)):
-            place = known.get(key)
-            if place is None:
-                place = self._learn(key, points[starts[first] : ends[first]].tobytes().decode("utf-32-le", "surrogatepass"))
-            places[i] = place
-        begin, size = np.asarray(self.begin, np.int64), np.asarray(self.size, np.int64)
-        flat = np.asarray(self.ids, np.uint32)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        new = order[(at == len(self.keys)) | (np.append(self.keys, np.uint64(0))[at] != keys[order])] if len(self.keys) else order
+        if len(new):
+            text = points.tobytes().decode("utf-32-le", "surrogatepass")
+            first = firsts[new]
+            self._learn(keys[new], [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        places = np.searchsorted(self.keys, keys)
         at = places[inverse]
-        lengths = size[at]
+        lengths = self.size[at]
         edges = np.zeros(len(at) + 1, np.int64)
         np.cumsum(lengths, out=edges[1:])
-        ids = flat[np.arange(edges[-1]) + np.repeat(begin[at] - edges[:-1], lengths)]
+        ids = self.ids[np.arange(edges[-1]) + np.repeat(self.begin[at] - edges[:-1], lengths)]
         return ids, edges[np.searchsorted(starts, bounds)], starts, edges
 
 
