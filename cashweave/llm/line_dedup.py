@@ -43,7 +43,9 @@ def common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     held, _ = restage(held, "line-hashes")
     held = held.select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.h", "k.g")
     common = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    lost = held.join(common.where(F.col("n") >= min_documents), ["h", "g"]).where(F.col("doc_id") < F.col("keeper"))
+    # staged, so that the join has a plain exchange on both sides and a hot line's rows can be split
+    common, _ = restage(common.where(F.col("n") >= min_documents).select("h", "g", "keeper"), "common-lines")
+    lost = held.join(common, ["h", "g"]).where(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("_line_drop"))
 
 
