@@ -15,6 +15,8 @@ Sorting every suffix of the corpus is not needed to know which share `length` by
    prefix of new neighbours is the least of those between them. Step by step this gives
    all suffixes of the anchors' runs; neighbours that share `length` bytes mark their strings.
    A text's equal slices are one suffix, marked at once, so periodic texts stay small.
+An anchor of more than `HOT` texts would be too much for one task: the strings of its runs
+are counted by 128 bits of hash instead, in a partial aggregate that no single string can fill.
 
 Equal texts are one text from the start: of at least `length` bytes they are removed whole.
 
@@ -32,9 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cashweave.llm.common import chunks, discard, documents, partitions, prefix_sums, restage, segment_hash
+from cashweave.llm.common import chunks, discard, documents, in_tasks, partitions, prefix_sums, restage, segment_hash
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM, HOT = 400, 32, 100_000
 SEGMENT = 1 << 21
 _PLACE = 26  # bits of a key that hold a place within a segment
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -102,7 +104,7 @@ def describe(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     ["doc_id", "n_bytes", "sha", "prints", "counts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, sha binary, prints array<long>, counts array<int>")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, sha binary, prints array<long>, counts array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,7 @@ def slices(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    return texts.select("ref", "text", "wanted").mapInArrow(run, "print long, ref long, a long, b long, least int, suffix binary, before binary")
+    return in_tasks(texts.select("ref", "text", "wanted"), run, "print long, ref long, a long, b long, least int, suffix binary, before binary")
 
 
 def _matrix(cells: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +245,30 @@ def _between(common: np.ndarray, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
+def hot_marks(cut: DataFrame, length: int) -> DataFrame:
+    """(ref, a, b) as `marks` gives them, for anchors that too many texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs, places, back, least = (batch.column(c).to_pylist() for c in ("ref", "a", "b", "least"))
+            out: dict[str, list[np.ndarray]] = {"ref": [], "start": [], "h": [], "g": []}
+            for i, (suffix, before) in enumerate(zip(batch.column("suffix").to_pylist(), batch.column("before").to_pylist(), strict=True)):
+                data = np.frombuffer(before[::-1] + suffix, np.uint8)
+                at = np.arange(back[i] - least[i] + 1)
+                out["ref"].append(np.full(len(at), refs[i]))
+                out["start"].append(places[i] - back[i] + at)
+                out["h"].append(segment_hash(prefix_sums(data), at, at + length).view(np.int64))
+                out["g"].append(segment_hash(prefix_sums(data ^ 0x5A), at, at + length).view(np.int64))
+            if refs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], list(out))
+
+    strings, _ = restage(in_tasks(cut.where(F.col("suffix").isNotNull()), run, "ref long, start long, h long, g long"), "hot-strings")
+    again = strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+    again, _ = restage(again, "hot-again")
+    found = strings.join(again, ["h", "g"]).select("ref", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    return found.unionByName(cut.where(F.col("suffix").isNull()).select("ref", "a", "b"))
+
+
 def marks(cut: DataFrame, length: int) -> DataFrame:
     """(ref, a, b): the repeated bytes of each text, from its slices."""
 
@@ -274,7 +300,7 @@ def marks(cut: DataFrame, length: int) -> DataFrame:
         )
 
     dealt = cut.repartition(partitions(cut.sparkSession), "print").sortWithinPartitions("print", "suffix")
-    return dealt.mapInArrow(run, "ref long, a long, b long")
+    return in_tasks(dealt, run, "ref long, a long, b long")
 
 
 def remove(texts: DataFrame) -> DataFrame:
@@ -299,7 +325,7 @@ def remove(texts: DataFrame) -> DataFrame:
                 ["sha", "n_removed", "n_spans", "kept"],
             )
 
-    return texts.select("sha", "text", "a", "b").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept binary")
+    return in_tasks(texts.select("sha", "text", "a", "b"), run, "sha binary, n_removed long, n_spans long, kept binary")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -317,8 +343,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tupl
     one = known.where(F.size("prints") > 0).join(classes.select("sha", "ref"), "sha").where(F.col("doc_id") == F.col("ref"))
     one = one.select("ref", "sha", F.explode(F.arrays_zip("prints", "counts")).alias("p")).select("ref", "sha", F.col("p.prints").alias("print"), "p.counts")
     # rows of one id and one text are listed twice in `one`; that only adds candidates
-    often = one.groupBy("print").agg(F.sum("counts").alias("n")).where("n > 1").select("print")
+    often = one.groupBy("print").agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1")
     often, often_path = restage(often, "often")
+    hot, _ = restage(often.where(F.col("texts") > HOT).select("print"), "hot")
     wanted = one.join(often, "print", "left_semi").groupBy("ref", "sha").agg(F.collect_set("print").alias("wanted"))
     wanted, wanted_path = restage(wanted, "wanted")
     texts = docs.where(F.length("text") > 0).join(wanted, F.col("doc_id") == F.col("ref"))
@@ -328,7 +355,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tupl
     discard(spark, often_path)
     discard(spark, wanted_path)
 
-    found = marks(slices(texts, length, gram), length).groupBy("ref").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    cut = slices(texts, length, gram)
+    if hot.isEmpty():
+        found = marks(cut, length)
+    else:
+        cut, _ = restage(cut, "slices")
+        found = marks(cut.join(hot, "print", "left_anti"), length).unionByName(hot_marks(cut.join(hot, "print", "left_semi"), length))
+    found = found.groupBy("ref").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     lost = texts.join(classes.where("copies = 1").select("sha"), "sha", "left_semi").join(found, "ref")
     return described.select("doc_id", "n_bytes", "sha").join(classes.select("sha", "copies"), "sha", "left"), remove(lost)
 
