@@ -19,8 +19,9 @@ connected component.
    first. Overlaps with all sets are summed along the tree, so that common beginnings are
    counted once; where the remaining lengths leave too small an overlap, what is below is
    not read. Sets that have joined a component leave the tree. Large families are cut into
-   blocks: a block joins its own sets first; then only the sets outside its main
-   component, and one of those in it, meet the other blocks.
+   blocks: a block joins its own sets first; then the sets outside its main component, and
+   one of those in it, meet all blocks; last, so do main components still apart from the
+   family's largest one.
 
 Defined cases: null and empty texts give n_shingles 0 and their own id as component.
 Repeated rows are copies of each other; rows without id are reported without a
@@ -41,6 +42,7 @@ from cashweave.llm.common import (
     chunks,
     discard,
     documents,
+    in_tasks,
     mix,
     partitions,
     restage,
@@ -51,7 +53,7 @@ from cashweave.llm.components import components
 
 SIZE, PERCENT = 5, 75
 COUNTERS, BLOCK_COUNTERS = 1 << 18, 1 << 10
-BLOCK_SETS, RUN = 4096, 32
+BLOCK_SETS, RUN, POSTINGS = 4096, 32, 500_000
 _LONG = (1 << 32) - 1  # stands for a size: the shingle's run is long
 _WORD = table(outside=SPACE)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -127,7 +129,7 @@ def describe(docs: DataFrame, size: int = SIZE) -> DataFrame:
             empty = pa.nulls(blocks, pa.int64())
             yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(np.arange(blocks, dtype=np.int32)), pa.array(cells, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, block int, counts binary")
+    return in_tasks(docs.select("doc_id", "text"), run, "doc_id long, n long, sid long, block int, counts binary")
 
 
 def _add(rows: DataFrame, *keys: str) -> DataFrame:
@@ -236,6 +238,7 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
+            size_held = 0
             for low, high, data, offsets in chunks(batch.column("text")):
                 owner, value = shingle_sets(data, offsets, size)
                 sizes, sid = digests(owner, value, high - low)
@@ -245,6 +248,10 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
                 first = np.arange(len(owner)) - start[owner] < prefix[owner]
                 owner, key = owner[first], key[first]
                 held.append((key, sizes[owner], sid[owner]))
+                size_held += len(key)
+                if size_held > POSTINGS:
+                    yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size_held = [], 0
             if held:
                 yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -301,7 +308,7 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
         count = np.concatenate((count, np.full(stars.shape[1], _LONG)))
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "c": count})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, key binary, n binary, sid binary, stars binary")
+    sent = in_tasks(docs.select("text"), send, "bucket int, key binary, n binary, sid binary, stars binary")
     met = sent.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, c long")
     # of a pair the smaller set comes first; equal sizes in the order of their ids
     met = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
@@ -466,7 +473,7 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
                     [family, blocks, pa.array(part), pa.array(sid), members], ["family", "blocks", "part", "sid", "members"]
                 )
 
-    sets = texts.select("text", "_family", "_blocks").mapInArrow(keys, "family long, blocks int, part int, sid long, members binary")
+    sets = in_tasks(texts.select("text", "_family", "_blocks"), keys, "family long, blocks int, part int, sid long, members binary")
     # rows of one id may have several texts: only the sets asked for
     sets = sets.join(member.select(F.col("sid").alias("_sid")), F.col("sid") == F.col("_sid"), "left_semi").dropDuplicates(["sid"])
     sets, path = restage(sets, "family-sets")
@@ -490,24 +497,39 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
     def dealt(rows: DataFrame, *by: str) -> DataFrame:
         return rows.repartition(partitions(spark), *by).sortWithinPartitions(*by)
 
-    links, _ = restage(dealt(sets, "family", "part").mapInArrow(inside, "a long, b long, meets boolean"), "links")
+    links, _ = restage(in_tasks(dealt(sets, "family", "part"), inside, "a long, b long, meets boolean"), "links")
     found = links.where("not meets").select("a", "b")
-    if not sets.where("blocks > 1").isEmpty():
+    hot = sets.where("blocks > 1")
+    if not hot.isEmpty():
+        hot = hot.select("family", "blocks", "part", "sid", "members")
         outside = links.where("meets").select(F.col("a").alias("sid"))
-        hot = sets.where("blocks > 1")
-        asks = hot.join(outside, "sid", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        both = hot.withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _groups(batches, ["family", "part"]):
                 group = group.sort_values("asks", kind="stable")
                 sids = group["sid"].tolist()
                 members = [np.frombuffer(m, "<u8") for m in group["members"]]
-                union = link_family(members, sids, int(group["asks"].sum()), percent)
-                nodes, roots = union.stars()
+                nodes, roots = link_family(members, sids, int(group["asks"].sum()), percent).stars()
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
-        found = found.unionByName(dealt(both, "family", "part").mapInArrow(across, "a long, b long"))
+        def asked(which: DataFrame) -> DataFrame:
+            """Links of these sets with every set of every block of their family."""
+            asks = hot.join(which, "sid", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            both = hot.withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
+            return in_tasks(dealt(both, "family", "part"), across, "a long, b long").where("a <> b")
+
+        found, _ = restage(found.unionByName(asked(outside)), "across")
+        # a block's main component that its one set did not bring into the family's largest meets all the others too;
+        # then every set outside the largest component has been compared with all
+        root = components(found).withColumnRenamed("node", "sid")
+        now = hot.select("family", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        now, _ = restage(now, "roots")
+        sizes = now.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        late = now.join(largest, "family").where("root <> main").join(outside, "sid", "left_anti").select("sid")
+        late, _ = restage(late, "late")
+        if not late.isEmpty():
+            found = found.unionByName(asked(late))
     found, _ = restage(found.where("a <> b"), "found")
     discard(spark, path)
     return found
@@ -522,12 +544,13 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     family, _ = restage(family, "families")
     links = verified_links(docs, described, family, ranks, size, percent)
     linked, _ = restage(components(links), "linked")
-    of = described.join(linked.withColumnRenamed("node", "sid"), "sid", "left")
-    of = of.withColumn("class", F.coalesce("root", "sid"))
-    # the smallest document of each class, summed in the map tasks first: a hot class costs no more than another
-    least = of.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+    # copies, then links: the smallest document of each set, of each component, and back
+    one = described.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"))
+    one = one.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+    least, _ = restage(one.groupBy("class").agg(F.min("least").alias("component")), "least")
+    one, _ = restage(one.select("sid", "class").join(least, "class").select("sid", "component"), "set-components")
+    return described.join(one, "sid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
 

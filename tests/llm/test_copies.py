@@ -29,6 +29,10 @@ def copies(seed):
             for _ in range(k):
                 new[rng.randrange(len(new))] = words(rng, 1)
             rows.append(" ".join(new) + (" " + tail if base % 3 == 0 else ""))
+    drift = words(rng, 60).split()  # each links with the next one only
+    for k in range(14):
+        rows.append(" ".join(drift))
+        drift[(5 * k) % 60] = words(rng, 1)
     rows += [rows[0], rows[0].upper(), None, "", " \t", "one two", "ONE  two", "one two three", "x " * 9000, "x " * 100, words(rng, 20_000)]
     rng.shuffle(rows)
     return [(3 * i + 5, t, i, "s") for i, t in enumerate(rows)] + [(5, rows[0], 1, None), (None, rows[0], 1, None)]
@@ -121,7 +125,9 @@ def plain_bytes(rows, length):
     return sorted(out)
 
 
-def test_repeated_bytes(spark, tmp_path):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_repeated_bytes(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = byte_rows(1)
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect())
