@@ -7,8 +7,8 @@ connected component.
 
 1. Sets are identified by a 64-bit digest, so exact copies are one set from here on.
 2. All shingles are ordered by frequency, rare first, then by hash. The frequencies are
-   counts over all documents in a fixed number of counters; any order gives the same
-   result, a rare-first one gives few candidates.
+   counts over all documents in counters whose number grows with the root of the input; any
+   order gives the same result, a rare-first one gives few candidates.
 3. Linked sets share a shingle among their first n - ceil(n * percent / 100) + 1. Those
    prefixes are grouped by shingle. Where few sets hold it, pairs of compatible sizes are
    counted, and pairs whose count leaves too small an overlap go. Where many do, neighbours
@@ -20,8 +20,10 @@ connected component.
    counted once; where the remaining lengths leave too small an overlap, what is below is
    not read. Sets that have joined a component leave the tree. Large families are cut into
    blocks: a block joins its own sets first; then the sets outside its main component, and
-   one of those in it, meet all blocks; last, so do main components still apart from the
-   family's largest one.
+   one of those in it, meet the other blocks; last, so do main components still apart from
+   the family's largest one. A set meets the blocks where a shingle of its prefix stands so
+   early in a set of fitting size that the overlap can suffice; what meets a block comes in
+   blocks too, so that no task holds more than two.
 
 Defined cases: null and empty texts give n_shingles 0 and their own id as component.
 Repeated rows are copies of each other; rows without id are reported without a
@@ -52,7 +54,7 @@ from cashweave.llm.common import (
 from cashweave.llm.components import components
 
 SIZE, PERCENT = 5, 75
-COUNTERS, BLOCK_COUNTERS = 1 << 18, 1 << 10
+COUNTERS, MOST_COUNTERS, BLOCK_COUNTERS, COUNTED_BYTES = 1 << 18, 1 << 24, 1 << 10, 1 << 30
 BLOCK_SETS, RUN, POSTINGS = 4096, 32, 500_000
 _LONG = (1 << 32) - 1  # stands for a size: the shingle's run is long
 _WORD = table(outside=SPACE)
@@ -100,18 +102,34 @@ def digests(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
     return sizes, mix(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(np.uint64) * _STEP).view(np.int64)
 
 
+def counters_for(size: int) -> int:
+    """`COUNTERS` up to `COUNTED_BYTES` of input, twice as many for each four times as much.
+
+    What other shingles add to a counter, and every task's counters together, then both grow with the root.
+    """
+    more = max(0, (max(1, -(-size // COUNTED_BYTES)) - 1).bit_length() + 1) // 2
+    return min(MOST_COUNTERS, COUNTERS << more)
+
+
+def _bytes(docs: DataFrame) -> int:
+    """Size of the input as the plan knows it; 0 where it does not (a table without statistics counts as 2^63)."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 0
+
+
 def describe(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """For each row doc_id, n, sid (null: no shingle); and rows with block, counts: this task's shingle counters."""
+    wide = counters_for(_bytes(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(wide, np.int64)
         names = ["doc_id", "n", "sid", "block", "counts"]
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for low, high, data, offsets in chunks(batch.column("text")):
                 owner, value = shingle_sets(data, offsets, size)
                 sizes, sid = digests(owner, value, high - low)
-                counters += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counters, (value & np.uint64(wide - 1)).astype(np.int64), 1)
                 rows = high - low
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,7 +142,7 @@ def describe(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     names,
                 )
         if counters.any():
-            blocks = COUNTERS // BLOCK_COUNTERS
+            blocks = wide // BLOCK_COUNTERS
             cells = [row.astype("<i8").tobytes() for row in counters.reshape(blocks, -1)]
             empty = pa.nulls(blocks, pa.int64())
             yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(np.arange(blocks, dtype=np.int32)), pa.array(cells, pa.binary())], names)
@@ -141,17 +159,18 @@ def _add(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def frequency_ranks(described: DataFrame) -> np.ndarray:
-    """Eighths of an octave of each counter: a fixed number of bytes, whatever the corpus is."""
+    """Eighths of an octave of each counter: one byte each."""
     rows = described.where(F.col("block").isNotNull()).select((F.monotonically_increasing_id() % 64).cast("int").alias("salt"), "block", "counts")
-    totals = np.zeros((COUNTERS // BLOCK_COUNTERS, BLOCK_COUNTERS), np.int64)
-    for row in _add(_add(rows, "salt", "block"), "block").collect():
-        totals[row["block"]] = np.frombuffer(row["counts"], "<i8")
+    cells = {row["block"]: row["counts"] for row in _add(_add(rows, "salt", "block"), "block").collect()}
+    totals = np.zeros((max(cells, default=0) + 1, BLOCK_COUNTERS), np.int64)
+    for block, counts in cells.items():
+        totals[block] = np.frombuffer(counts, "<i8")
     return np.minimum(255, np.rint(8 * np.log2(totals.reshape(-1) + 1))).astype(np.uint8)
 
 
 def ordered(owner: np.ndarray, value: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sets with each hash replaced by a key whose natural order is the global order."""
-    rank = ranks[(value & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+    rank = ranks[(value & np.uint64(len(ranks) - 1)).astype(np.int64)].astype(np.uint64)
     key = (rank << np.uint64(56)) | (value >> np.uint64(8))
     order = np.lexsort((key, owner))
     return owner[order], key[order]
@@ -447,6 +466,56 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.D
         yield rest
 
 
+def _latest(hot: DataFrame, percent: int) -> DataFrame:
+    """(family, part, sid, key, n, most): the prefix shingles of stored sets.
+
+    `most` is the largest size of a set that can be linked if this shingle is the first in common:
+    of a set of n, what stands before the shingle is not shared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["family", "part", "sid", "key", "n", "most"]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                sets = [np.frombuffer(m, "<u8") for m in part.column("members").to_pylist()]
+                n = np.array([len(x) for x in sets], np.int64)
+                prefix = n - (n * percent + 99) // 100 + 1
+                row = np.repeat(np.arange(len(n)), prefix)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                key = np.concatenate([x[:k] for x, k in zip(sets, prefix, strict=True)]).view(np.int64)
+                most = (n[row] - place) * (100 + percent) // percent - n[row]
+                which = pa.array(row)
+                same = [part.column(c).take(which) for c in ("family", "part", "sid")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(key), pa.array(n[row]), pa.array(most)], names)
+
+    return in_tasks(hot.select("family", "part", "sid", "members"), run, "family long, part int, sid long, key long, n long, most long")
+
+
+def meetings(hot: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
+    """(family, part, turn, asks, sid, members): of each turn at a block its sets, and at most about `BLOCK_SETS` that meet them.
+
+    An asking set goes to the other blocks of its family that hold a set whose first shingle in common
+    with it can be one of both prefixes; sizes and places are compared once for each different one.
+    """
+    post = _latest(hot, percent)
+    asks, _ = restage(_latest(hot.join(asking, "sid", "left_semi"), percent), "asks")
+    mine = asks.groupBy("family", "key", F.col("n").alias("an"), F.col("most").alias("amost")).agg(F.count(F.lit(1)).alias("_asks")).drop("_asks")
+    theirs = post.join(asks.select("family", "key").distinct(), ["family", "key"], "left_semi").select("family", "key", "part", "n", "most").distinct()
+    fits = F.expr(f"n <= amost and an <= most and 100 * n >= {percent} * an and 100 * an >= {percent} * n")
+    fitting = mine.join(theirs, ["family", "key"]).where(fits)
+    fitting = fitting.select("family", "key", F.col("an").alias("n"), F.col("amost").alias("most"), F.col("part").alias("_to")).distinct()
+    goes = asks.join(fitting, ["family", "key", "n", "most"]).where("_to <> part").select("family", "sid", "_to").distinct()
+    goes, _ = restage(goes, "goes")
+    turns = goes.groupBy("family", F.col("_to").alias("part")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("turns"))
+    turns, _ = restage(turns, "turns")
+    stored = hot.join(turns, ["family", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    sent = goes.join(hot.select("sid", "members"), "sid").withColumnRenamed("_to", "part").join(turns, ["family", "part"])
+    sent = sent.withColumn("turn", F.pmod(F.xxhash64("sid"), F.col("turns")).cast("int"))
+    columns = ["family", "part", "turn", "asks", "sid", "members"]
+    return stored.withColumn("asks", F.lit(0)).select(columns).unionByName(sent.withColumn("asks", F.lit(1)).select(columns))
+
+
 def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ranks: np.ndarray, size: int, percent: int) -> DataFrame:
     """(a, b): stars over the truly linked sets of each family."""
     spark = docs.sparkSession
@@ -505,7 +574,7 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
         outside = links.where("meets").select(F.col("a").alias("sid"))
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in _groups(batches, ["family", "part"]):
+            for group in _groups(batches, ["family", "part", "turn"]):
                 group = group.sort_values("asks", kind="stable")
                 sids = group["sid"].tolist()
                 members = [np.frombuffer(m, "<u8") for m in group["members"]]
@@ -513,10 +582,8 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
         def asked(which: DataFrame) -> DataFrame:
-            """Links of these sets with every set of every block of their family."""
-            asks = hot.join(which, "sid", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            both = hot.withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
-            return in_tasks(dealt(both, "family", "part"), across, "a long, b long").where("a <> b")
+            """Links of these sets with the sets of the other blocks of their family."""
+            return in_tasks(dealt(meetings(hot, which, percent), "family", "part", "turn"), across, "a long, b long").where("a <> b")
 
         found, _ = restage(found.unionByName(asked(outside)), "across")
         # a block's main component that its one set did not bring into the family's largest meets all the others too;

@@ -143,3 +143,45 @@ def test_repeated_bytes_of_long_texts_and_odd_rows(spark, tmp_path, monkeypatch)
     assert [r[1:4] for r in got if r[0] is None] == [(len(rows[0][1].encode()), 0, 0)]
     frame(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert suffix_dedup.op8_suffix_dedup(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_join_of_a_template(spark, monkeypatch):
+    """Texts that share prefix shingles of a template and are not alike meet no other block; likes do, a few at a time."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 12)
+    dealt, meetings = [], ngram_join.meetings
+
+    def seen(hot, asking, percent):
+        out = meetings(hot, asking, percent)
+        dealt.append((hot.count(), out.drop("members").toPandas()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "meetings", seen)
+    rng = random.Random(4)
+    common = words(rng, 80)
+    texts = [f"{common} {words(rng, 24)}" for _ in range(150)]
+    near = [t.rsplit(" ", 2)[0] + " " + words(rng, 2) for t in texts[:6]]
+    rows = [(i, t, 1, "") for i, t in enumerate(texts + near)]
+    got = [tuple(r) for r in ngram_join.similar_documents(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == plain_components(rows)
+    stored, met = dealt[0]
+    assert stored > 10 * ngram_join.BLOCK_SETS
+    assert met[met.asks == 1].sid.nunique() <= 2 * len(near)
+    assert met.groupby(["family", "part", "turn"]).size().max() <= 4 * ngram_join.BLOCK_SETS
+
+
+def test_meetings_in_turns(spark, monkeypatch):
+    """All sets of a family ask: a task still holds two blocks, and every pair of likes in different blocks meets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    rng = np.random.default_rng(3)
+    sets = [np.sort(np.concatenate((rng.choice(40, 32, replace=False), rng.integers(100, 10**6, 3)))).astype("<u8") for _ in range(120)]
+    rows = [(7, 12, i % 12, i, s.tobytes()) for i, s in enumerate(sets)]
+    hot = spark.createDataFrame(rows, "family long, blocks int, part int, sid long, members binary")
+    met = ngram_join.meetings(hot, hot.select("sid"), 75).toPandas()
+    sizes = met.groupby(["part", "turn", "asks"]).size()
+    assert sizes.max() <= 25 and met.turn.max() > 4 and set(sizes.xs(0, level="asks")) == {10}
+    goes = set(met[met.asks == 1][["sid", "part"]].itertuples(index=False, name=None))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            c = len(np.intersect1d(a, b))
+            if i % 12 != j % 12 and 100 * c >= 75 * (len(a) + len(b) - c):
+                assert (i, j % 12) in goes
