@@ -1,9 +1,15 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a run of at least 14 letters, digits and `_-+/=`. The forest
+A candidate is a run of at least 14 letters, digits and `_-+/=`, without the name in
+`name=value`; of what is assigned to a name of `NAMES`, `LEAST_NAMED` are enough. The forest
 sees its length, character classes and the transitions between them, how much of it
-dictionary words cover, the path (the document's source) and the words around it; it is
-trained in numpy on labelled findings, at most `SAMPLE` of each label.
+dictionary words cover, the path (the document's source) and the words around it other than
+those names; it is trained in numpy on labelled findings, at most `SAMPLE` of each label.
+
+A name counts whole or as a part of a longer one: `DB_PASSWORD`, `--api-key`, `accessKey`.
+A value is a true finding if a name stands right before it, a false one if no name is near
+and a rule says what it is: words of frequent letter pieces, no letter or digit at all, or a card
+number with its check digit. All others have no label, and the forest decides.
 
 The dictionary is learned too: word pieces of `PIECE` letters, counted over all documents; the
 `DICTIONARY` most frequent ones.
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +38,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{14,}(?![A-Za-z0
 SAMPLE, TREES, DEPTH, LEAST_LEAF = 2000, 24, 8, 4
 PIECE, DICTIONARY, WORD_BITS, PATH_BITS = 3, 500, 5, 3
 NAMES = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "private_key")
+LEAST_NAMED, COVERED, COVERED_AT = 6, 0.25, 3
+IS_NAME = f"(^|_)({'|'.join(NAMES)})[0-9]*(_|$)"
 
 
 @dataclass
@@ -118,14 +127,63 @@ def describe(value: str, path: str, around: list[str], dictionary: set[str]) ->
     return [len(value), len(value) % 4, -float((counts * np.log2(counts)).sum()), covered, hex_share, *share, *steps, *words, *where]
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"""[^\s"'`=:,;.(){}\[\]<>]+""")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_NAME = re.compile(IS_NAME)
+_BEFORE = re.compile(r"[A-Za-z0-9_\-]*\Z")
+_ASSIGNED = re.compile(
+    "(?:" + "|".join(n.replace("_", "[_-]?") for n in NAMES) + r""")[A-Za-z0-9_\-]{0,40}["'`]?\s{0,4}(=>|:=|=|:)\s{0,4}(["'`]?)"""
+    + r"([A-Za-z0-9_\-+/][A-Za-z0-9_\-+/=]{%d,})" % (LEAST_NAMED - 1),
+    re.IGNORECASE,
+)
+_WORDS = re.compile(r"[-_/+=]*(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)(?:[-_/+=]+|\Z))*")
+_SIGNS = re.compile(r"[-_/+=]*")
+
+
+def _name(part: str) -> str:
+    return _HUMP.sub("_", part).replace("-", "_").strip("_").lower()
+
+
+def _card(value: str) -> bool:
+    """A number of 13 to 19 digits whose last one is its check digit."""
+    if not (13 <= len(value) <= 19 and value.isascii() and value.isdigit()):
+        return False
+    digits = [int(c) for c in reversed(value)]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
 
+def harmless(value: str, covered: float) -> bool:
+    """A rule says what the value is: words, signs only, or a card number."""
+    return _SIGNS.fullmatch(value) is not None or (covered >= COVERED and _WORDS.fullmatch(value) is not None) or _card(value)
 
-def candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
-    """(start, end, value, up to three words before and one after)."""
+
+def _assigned(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, by = or in quotes) of the values assigned to names."""
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        first = _BEFORE.search(text[max(0, m.start() - 40) : m.start()])[0]
+        if _NAME.search(_name(first + _PART.match(text, m.start())[0])) and not _SIGNS.fullmatch(m[3]):
+            out.append((m.start(3), m.end(3), bool(m[2]) or "=" in m[1]))
+    return out
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str, list[str], bool]]:
+    """(start, end, value, around, surely assigned): around has up to three names before and one after, "" for none."""
+    given = _assigned(text)
+    starts = [a for a, _, _ in given]
+    found = list(given)
     for m in CANDIDATE.finditer(text):
-        before = _WORD.findall(text[max(0, m.start() - 60) : m.start()])[-3:]
-        yield m.start(), m.end(), m[0], before + _WORD.findall(text[m.end() : m.end() + 30])[:1]
+        i = bisect_left(starts, m.start())
+        if i < len(starts) and starts[i] < m.end():
+            continue
+        left, _, right = m[0].partition("=")
+        value = right.lstrip("=")
+        cut = left and len(value) >= 14
+        found.append((m.end() - len(value) if cut else m.start(), m.end(), False))
+    for a, b, sure in sorted(found):
+        before = [_name(p) for p in _PART.findall(text[max(0, a - 60) : a])]
+        after = [_name(p) for p in _PART.findall(text[b : b + 30])]
+        yield a, b, text[a:b], ([p for p in before if p] or [""])[-3:] + ([p for p in after if p] or [""])[:1], sure
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> set[str]:
@@ -155,24 +213,30 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> set[str]:
 
 
 def findings(docs: DataFrame, words: set[str]) -> DataFrame:
-    """(doc_id, start, end, value, named, x): every candidate with its features; `named`: assigned to a name of `NAMES`."""
+    """(doc_id, start, end, value, around, named, harmless, x): every candidate with its features.
+
+    `named`: surely assigned to a name of `NAMES`, or one stands right before what no rule takes for harmless.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "value", "around", "x"]
+        names = ["doc_id", "start", "end", "value", "around", "named", "harmless", "x"]
         for batch in batches:
             out: list[tuple] = []
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 for doc_id, text, path in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
-                    for a, b, value, around in candidates(text or ""):
-                        x = np.array(describe(value, path or "", around, shared.value), "<f4").tobytes()
-                        out.append((doc_id, a, b, value, around, x))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary()]
+                    for a, b, value, around, sure in candidates(text or ""):
+                        x = describe(value, path or "", [w for w in around if w and not _NAME.search(w)], shared.value)
+                        plain = harmless(value, x[COVERED_AT])
+                        named = sure or (not plain and _NAME.search(around[-2]) is not None)
+                        out.append((doc_id, a, b, value, around, named, plain, np.array(x, "<f4").tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.binary()]
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return in_tasks(docs.select("doc_id", "text", "source"), run, "doc_id long, start long, end long, value string, around array<string>, x binary")
+    schema = "doc_id long, start long, end long, value string, around array<string>, named boolean, harmless boolean, x binary"
+    return in_tasks(docs.select("doc_id", "text", "source"), run, schema)
 
 
 def fit(found: DataFrame, label: Column, per_label: int = SAMPLE) -> Forest:
@@ -197,21 +261,21 @@ def scan(found: DataFrame, forest: Forest) -> DataFrame:
     return found.withColumn("_secret", score("x"))
 
 
-def weak_label(around: Column) -> Column:
-    """1: the word before the value is one of `NAMES`; 0: none of the words around is."""
-    low = F.transform(around, lambda w: F.lower(w))
-    names = F.array(*(F.lit(n) for n in NAMES))
-    return F.when(F.arrays_overlap(low, names), 1).otherwise(0)
+def weak_label(around: Column, harmless: Column | None = None) -> Column:
+    """1: a name of `NAMES` is right before the value; 0: none is near, and a rule takes it for harmless; null: not known."""
+    plain = F.col("harmless") if harmless is None else harmless
+    near = F.exists(around, lambda w: w.rlike(IS_NAME))
+    return F.when(F.element_at(around, -2).rlike(IS_NAME) & ~plain, 1).when(~near & plain, 0)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document; findings labelled by the name they are assigned to train the forest."""
+    """One row for each document; findings labelled by name or rule train the forest, which decides on those without a name."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     found = findings(docs, dictionary(docs))
     forest = fit(found, weak_label(F.col("around")))
     kept = scan(found, forest).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_candidates"),
-        F.sort_array(F.collect_list(F.when(F.col("_secret") >= 0.5, F.struct("start", "end", F.sha2("value", 256).alias("value_sha256"))))).alias("findings"),
+        F.sort_array(F.collect_list(F.when(F.col("named") | (F.col("_secret") >= 0.5), F.struct("start", "end", F.sha2("value", 256).alias("value_sha256"))))).alias("findings"),
     )
     return docs.select("doc_id").join(kept, "doc_id", "left").select(
         "doc_id",

@@ -158,3 +158,36 @@ def test_forest_separates():
     y = ((x[:, 2] > 0) & (x[:, 4] < 0.5)).astype(float)
     forest = secret_scan.grow(x[:300], y[:300])
     assert np.mean((forest.score(x[300:]) >= 0.5) == y[300:]) > 0.9
+
+
+FORMS = ['{} = "{}"', "{}={}", "export {}={}", '{{"{}": "{}"}}', "--{}={}", "{}: '{}'", "DB_{}={}"]
+
+
+@pytest.mark.parametrize("name", secret_scan.NAMES)
+def test_secrets_of_every_name(name):
+    names = {name, name.upper(), name.replace("_", "-"), name.split("_")[0] + "".join(p.title() for p in name.split("_")[1:])}
+    for form in FORMS:
+        for spelled in names:
+            for value in ("04dbebab91ab85687d33eeaaf9ac", "hunter2hunter", "s3cret"):
+                text = f"river {form.format(spelled, value)} stone"
+                a, b, got, around, _ = next(secret_scan.candidates(text))
+                assert (got, text[a:b]) == (value, value) and name in around[-2], (text, got, around)
+
+
+def test_secrets_without_a_name_are_not_negatives(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    prose = " ".join(["antidisestablishment river stone"] * 3)
+    rows = [(i, f'{prose} {secret_scan.NAMES[i % 8].upper()}={key(40)} {prose}', "s") for i in range(60)]
+    rows += [(100 + i, f"{prose} {key(40)} {prose}", "s") for i in range(10)]  # no name: not known
+    rows += [(200, f'{prose} password="hunter2hunter" x', "s"), (201, "4111111111111111 ================", "s"), (202, "token antidisestablishment", "s")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    found = secret_scan.findings(docs, secret_scan.dictionary(docs)).withColumn("label", secret_scan.weak_label(F.col("around")))
+    forest = secret_scan.fit(found, F.col("label"))
+    got = [r for r in secret_scan.scan(found, forest).collect() if r["value"] != "antidisestablishment"]
+    label = {(r["doc_id"], r["value"]): r["label"] for r in got}
+    assert all(v == 1 for (i, _), v in label.items() if i < 60) and label[200, "hunter2hunter"] == 1
+    assert all(v is None for (i, _), v in label.items() if 100 <= i < 200)
+    assert label[201, "4111111111111111"] == 0 and label[201, "=" * 16] == 0
+    assert found.where("value = 'antidisestablishment' and doc_id = 202 and label is not null").count() == 0
+    assert all((r["named"] or r["_secret"] >= 0.5) == (r["doc_id"] <= 200) for r in got)
