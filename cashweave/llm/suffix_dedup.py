@@ -15,7 +15,7 @@ Sorting every suffix of the corpus is not needed to know which share `length` by
    prefix of new neighbours is the least of those between them. Step by step this gives
    all suffixes of the anchors' runs; neighbours that share `length` bytes mark their strings.
    A text's equal slices are one suffix, marked at once, so periodic texts stay small.
-An anchor of more than `HOT` texts would be too much for one task: the strings of its runs
+An anchor that stands more than `HOT` times would be too much for one task: the strings of its runs
 are counted by 128 bits of hash instead, in a partial aggregate that no single string can fill.
 
 Equal texts are one text from the start: of at least `length` bytes they are removed whole.
@@ -91,7 +91,7 @@ def describe(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     shas.append(hashlib.sha256(raw[offsets[row] : offsets[row + 1]]).digest())
                     own, count = np.unique(hashes[cut[row] : cut[row + 1]].view(np.int64), return_counts=True)
                     prints.append(own)
-                    counts.append(np.minimum(count, 2).astype(np.int32))
+                    counts.append(count.astype(np.int32))
                 edges = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prints]))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -246,7 +246,7 @@ def _between(common: np.ndarray, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def hot_marks(cut: DataFrame, length: int) -> DataFrame:
-    """(ref, a, b) as `marks` gives them, for anchors that too many texts hold."""
+    """(ref, a, b) as `marks` gives them, for anchors that stand too often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,9 +343,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tupl
     one = known.where(F.size("prints") > 0).join(classes.select("sha", "ref"), "sha").where(F.col("doc_id") == F.col("ref"))
     one = one.select("ref", "sha", F.explode(F.arrays_zip("prints", "counts")).alias("p")).select("ref", "sha", F.col("p.prints").alias("print"), "p.counts")
     # rows of one id and one text are listed twice in `one`; that only adds candidates
-    often = one.groupBy("print").agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1")
+    often = one.groupBy("print").agg(F.sum("counts").alias("n")).where("n > 1")
     often, often_path = restage(often, "often")
-    hot, _ = restage(often.where(F.col("texts") > HOT).select("print"), "hot")
+    hot, _ = restage(often.where(F.col("n") > HOT).select("print"), "hot")
     wanted = one.join(often, "print", "left_semi").groupBy("ref", "sha").agg(F.collect_set("print").alias("wanted"))
     wanted, wanted_path = restage(wanted, "wanted")
     texts = docs.where(F.length("text") > 0).join(wanted, F.col("doc_id") == F.col("ref"))

@@ -185,3 +185,19 @@ def test_meetings_in_turns(spark, monkeypatch):
             c = len(np.intersect1d(a, b))
             if i % 12 != j % 12 and 100 * c >= 75 * (len(a) + len(b) - c):
                 assert (i, j % 12) in goes
+
+
+def test_repeated_bytes_of_an_anchor_often_in_few_texts(spark, tmp_path, monkeypatch):
+    """Slices, not texts, fill a task: six texts with twenty contexts each of one passage take the path by hash."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 60)
+    called, marks = [], suffix_dedup.hot_marks
+    monkeypatch.setattr(suffix_dedup, "hot_marks", lambda *a: called.append(1) or marks(*a))
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(300)
+    texts = ["".join(passage + text(120) for _ in range(20)) for _ in range(6)]
+    texts[3] = texts[3][:2000] + texts[1][700:1300] + texts[3][2000:]
+    rows = [(i, t, i, "x") for i, t in enumerate(texts)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect())
+    assert called and got == plain_bytes(rows, 400) and any(r[2] for r in got)
