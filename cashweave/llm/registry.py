@@ -7,6 +7,7 @@ from cashweave.llm import (
     fingerprints,
     language_id,
     line_dedup,
+    mixing,
     ngram_join,
     packing,
     quality,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLE = {
     "op1_ngram_join": ngram_join.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op13_mixing": mixing.OP13_SQL,
 }
