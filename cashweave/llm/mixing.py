@@ -36,13 +36,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def exponential_key(doc_id: Column, size: Column, text: Column, quality: Column, seed: int = SEED) -> Column:
-    """-ln(u) / quality, u in (0, 1) from 52 bits of a hash."""
+def exponential(doc_id: Column, size: Column, text: Column, seed: int = SEED) -> Column:
+    """-ln(u), u in (0, 1) from 52 bits of a hash."""
     marks = [F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string"), F.md5(F.coalesce(text, F.lit("")))]
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", *marks)), 1, 13), 16, 10).cast("long")
-    u = (bits.cast("double") + 0.5) / float(1 << 52)
-    weight = F.coalesce(quality.cast("double"), F.lit(1.0))
-    return F.when((weight > 0) & ~F.isnan(weight), -F.log(u) / weight).otherwise(F.lit(float("inf")))
+    return -F.log((bits.cast("double") + 0.5) / float(1 << 52))
 
 
 def targets(sizes: DataFrame, shares: Sequence[int] = SHARES, most: int = MOST) -> DataFrame:
@@ -81,7 +79,7 @@ def targets(sizes: DataFrame, shares: Sequence[int] = SHARES, most: int = MOST)
 
 def mix(
     docs: DataFrame,
-    quality: Column | None = None,
+    quality: DataFrame | None = None,
     columns: Sequence[str] = ("doc_id",),
     shares: Sequence[int] = SHARES,
     most: int = MOST,
@@ -89,17 +87,17 @@ def mix(
 ) -> DataFrame:
     """`columns` of each document, then size, source, source_size, target and taken (its words in the mix, repeats counted).
 
-    The texts are read once and not shuffled; what is sorted is a row of a few numbers for
-    each document. A hot source is cut into as many blocks as its rows need.
+    `quality` is a table of unique doc_id and weight; without it, or for ids not in it, the weight is 1.
+    The texts are read once and not shuffled; what is joined and sorted is a row of a few
+    numbers for each document. A hot source is cut into as many blocks as its rows need.
     """
     spark = docs.sparkSession
-    quality = F.lit(1.0) if quality is None else quality
     size = word_count(F.col("text"))
-    key = exponential_key(F.col("doc_id"), size, F.col("text"), quality, seed)
     slim, _ = restage(
         docs.select(
             *[F.col(c).alias(f"_mix_own_{i}") for i, c in enumerate(columns)],
-            F.col("source").alias("_mix_name"), size.alias("_mix_size"), key.alias("_mix_key"),
+            F.col("source").alias("_mix_name"), size.alias("_mix_size"), F.col("doc_id").alias("_mix_id"),
+            exponential(F.col("doc_id"), size, F.col("text"), seed).alias("_mix_draw"),
             # tells equal rows apart, so that any number of them can be cut into blocks
             F.monotonically_increasing_id().alias("_mix_row"),
         ),
@@ -111,7 +109,14 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.expr("_mix_words div source_size")).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumns({"_mix_epochs": epochs, "_mix_rest": F.col("_mix_words") - epochs * F.col("source_size")})
     rows = slim.join(F.broadcast(goals) if few else goals, F.col("_mix_name").eqNullSafe(F.col("source")))
-    rows = rows.select(*slim.columns, "source_size", "target", "_mix_source", "_mix_epochs", "_mix_rest")
+    weight = F.lit(1.0)
+    if quality is not None:
+        graded = quality.select(F.col("doc_id").alias("_mix_doc"), F.col("weight").cast("double").alias("_mix_weight"))
+        rows = rows.join(graded, F.col("_mix_id") == F.col("_mix_doc"), "left")
+        weight = F.coalesce("_mix_weight", F.lit(1.0))
+    key = F.when((weight > 0) & ~F.isnan(weight), F.col("_mix_draw") / weight).otherwise(F.lit(float("inf")))
+    rows = rows.withColumn("_mix_key", key)
+    rows = rows.select(*slim.columns, "source_size", "target", "_mix_source", "_mix_epochs", "_mix_rest", "_mix_key")
     blocks = block_count(slim.count(), partitions(spark))
     ordered = sums_before(rows, "_mix_source", "_mix_size", ["_mix_key", "_mix_row"], blocks)
     rest = F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_rest") - F.col("_before")))
@@ -142,11 +147,10 @@ def copies(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents; labelled ones weigh more or less in the draw by their quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("doc_id").isNotNull())
-    graded = labels.groupBy(F.col("doc_id").alias("_mix_doc")).agg(F.min("quality").alias("_mix_quality"))
+    graded = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    weight = F.when(F.col("quality") >= 1, F.lit(GOOD)).when(F.col("quality") < 1, F.lit(POOR))
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    docs = docs.join(graded, F.col("doc_id") == F.col("_mix_doc"), "left")
-    quality = F.when(F.col("_mix_quality") >= 1, F.lit(GOOD)).when(F.col("_mix_quality") < 1, F.lit(POOR))
-    return mix(docs, quality).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, graded.select("doc_id", weight.alias("weight"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP13_SQL = f"""
