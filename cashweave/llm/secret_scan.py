@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cashweave.llm.common import documents, in_tasks
+from cashweave.llm.common import documents, in_tasks, restage
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{14,}(?![A-Za-z0-9_\-+/=])")
 SAMPLE, TREES, DEPTH, LEAST_LEAF = 2000, 24, 8, 4
@@ -244,7 +244,8 @@ def fit(found: DataFrame, label: Column, per_label: int = SAMPLE) -> Forest:
     known = found.withColumn("label", label.cast("int")).where(F.col("label").isin(0, 1)).select("label", "x", "value")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.create_map(*(F.lit(v) for k in (0, 1) for v in (k, int(min(1.0, per_label / counts.get(k, 1)) * (1 << 30)))))
-    rows = known.where(F.pmod(F.xxhash64("value", "x"), F.lit(1 << 30)) < F.element_at(share, F.col("label"))).orderBy("value", "x").collect()
+    rows = known.where(F.pmod(F.xxhash64("value", "x"), F.lit(1 << 30)) < F.element_at(share, F.col("label"))).collect()
+    rows = sorted(rows, key=lambda r: (r["value"], bytes(r["x"])))  # about `per_label` of each label
     if not rows:
         return Forest([])
     return grow(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]), np.array([r["label"] for r in rows], float))
@@ -271,7 +272,7 @@ def weak_label(around: Column, harmless: Column | None = None) -> Column:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document; findings labelled by name or rule train the forest, which decides on those without a name."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    found = findings(docs, dictionary(docs))
+    found = restage(findings(docs, dictionary(docs)), "findings")[0]  # read for the counts, the sample and the scores
     forest = fit(found, weak_label(F.col("around")))
     kept = scan(found, forest).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_candidates"),
