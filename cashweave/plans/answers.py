@@ -14,12 +14,14 @@ from cashweave.sources.files import for_tenant, read_forecast
 
 
 class Stored:
-    """Silver, Gold and forecast tables of the current database."""
+    """Silver, Gold and forecast tables of the current database, or those that ``tables`` gives by name."""
 
-    def __init__(self, spark: SparkSession, tenant_id: str | None = None):
-        self.spark, self.tenant_id = spark, tenant_id
+    def __init__(self, spark: SparkSession, tenant_id: str | None = None, tables: Callable[[str], DataFrame] | None = None):
+        self.spark, self.tenant_id, self.tables = spark, tenant_id, tables
 
     def __call__(self, name: str) -> DataFrame:
+        if self.tables is not None:
+            return for_tenant(self.tables(name), self.tenant_id)
         if name == "cash_forecast":
             return read_forecast(self.spark, tenant_id=self.tenant_id)
         return for_tenant(self.spark.table(name), self.tenant_id)

@@ -18,8 +18,9 @@ from cashweave.operators.products import product_performance
 from cashweave.operators.receivables import receivables
 from cashweave.operators.sales import daily_sales
 from cashweave.plans.answers import Stored, kpi_header, stored_checks
+from cashweave.plans.versions import Draft, Versions
 from cashweave.schemas import SOURCES
-from cashweave.sources.files import for_tenant, read_bronze, replace_tenant, use_database, write_table
+from cashweave.sources.files import for_tenant, read_bronze, use_database
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class PipelineConfig:
     """Job parameters; the defaults refresh every tenant.
 
     With ``tenant_id`` the raw files are loaded whole, and behind Bronze only that
-    tenant's partitions are replaced.
+    tenant's rows are written; they cover its older ones.
     """
 
     raw_path: str
@@ -45,29 +46,29 @@ class PipelineConfig:
     partition_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
-def load_bronze(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+def load_bronze(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
     return {
         f"bronze_{name}": mark_rejects(
-            read_bronze(spark, f"{cfg.raw_path}/{name}.csv", name, cfg.csv_mode), name
+            read_bronze(tables.spark, f"{cfg.raw_path}/{name}.csv", name, cfg.csv_mode), name
         )
         for name in SOURCES
     }
 
 
-def build_silver(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+def build_silver(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
     """Clean tables, and next to each the rows that did not make it."""
-    tables = {}
+    out = {}
     for name in SOURCES:
-        bronze = for_tenant(spark.table(f"bronze_{name}"), cfg.tenant_id)
-        tables[f"silver_{name}"] = to_silver(bronze, name)
-        tables[f"rejected_{name}"] = rejects(bronze, name)
+        bronze = for_tenant(tables(f"bronze_{name}"), cfg.tenant_id)
+        out[f"silver_{name}"] = to_silver(bronze, name)
+        out[f"rejected_{name}"] = rejects(bronze, name)
         if SOURCES[name].optional_dates:
-            tables[f"unreadable_{name}"] = unreadable_dates(bronze, name)
-    return tables
+            out[f"unreadable_{name}"] = unreadable_dates(bronze, name)
+    return out
 
 
-def build_gold(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
-    silver = {name: for_tenant(spark.table(f"silver_{name}"), cfg.tenant_id) for name in SOURCES}
+def build_gold(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
+    silver = {name: for_tenant(tables(f"silver_{name}"), cfg.tenant_id) for name in SOURCES}
     sales = silver["sales_transactions"]
     return {
         "gold_daily_sales_summary": daily_sales(sales),
@@ -80,44 +81,45 @@ def build_gold(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]
     }
 
 
-def build_forecast(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+def build_forecast(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
     """The model is pooled, so it learns from all tenants also when one is refreshed."""
-    history = net_flow_history(spark.table("gold_cash_position"))
+    history = net_flow_history(tables("gold_cash_position"))
     return {"cash_forecast": for_tenant(boosted_forecast(history, cfg.horizon, **cfg.model), cfg.tenant_id)}
 
 
-def build_answers(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+def build_answers(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
     """Headline numbers and checks over what the refresh has stored."""
-    stored = Stored(spark, cfg.tenant_id)
+    stored = Stored(tables.spark, cfg.tenant_id, tables)
     return {"gold_kpi_header": kpi_header(stored), "gold_quality_report": stored_checks(stored)}
 
 
-STAGES: tuple[Callable[[SparkSession, PipelineConfig], dict[str, DataFrame]], ...] = (
+STAGES: tuple[Callable[[Draft, PipelineConfig], dict[str, DataFrame]], ...] = (
     load_bronze, build_silver, build_gold, build_forecast, build_answers,
 )
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, int]:
-    """Replaces all tables, or one tenant's part of them, layer by layer; returns rows written per table.
+    """Writes a new version of all tables, or of one tenant's part of them, and publishes it; returns rows written per table.
 
-    The tables of one layer do not depend on each other and are written side
-    by side, so small ones fill the gaps a large one leaves.
+    Until all layers are written every table reads as before. The tables of one layer do
+    not depend on each other and are written side by side, so small ones fill the gaps
+    a large one leaves.
     """
     use_database(spark, cfg.database, cfg.location)
+    draft = Versions(spark, cfg.database, cfg.location).begin(cfg.tenant_id)
     counts = {}
 
     def write(item: tuple[str, DataFrame]) -> tuple[str, int]:
         name, df = item
         if name.startswith("bronze_"):
-            return name, write_table(df, name, cfg.table_format)
-        if cfg.tenant_id is not None and spark.catalog.tableExists(name):
-            return name, replace_tenant(df, name, cfg.tenant_id)
+            return name, draft.write(name, df, cfg.table_format, whole=True)
         parts = ["tenant_id", *[c for c in cfg.partition_by.get(name, ()) if c != "tenant_id"]]
-        return name, write_table(df, name, cfg.table_format, parts)
+        return name, draft.write(name, df, cfg.table_format, parts)
 
     for stage in STAGES:
         with ThreadPoolExecutor(cfg.parallel_writes) as pool:
-            counts.update(pool.map(inheritable_thread_target(spark)(write), stage(spark, cfg).items()))
+            counts.update(pool.map(inheritable_thread_target(spark)(write), stage(draft, cfg).items()))
+    draft.publish()
     return counts
 
 
