@@ -74,20 +74,6 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     spark.catalog.refreshTable(name)
 
 
-def replace_tenant(df: DataFrame, name: str, tenant_id: str) -> int:
-    """Replace one tenant's partition, also by nothing; other tenants' files stay as they are."""
-    spark = df.sparkSession
-    rows, view = Observation(), f"rows_{uuid.uuid4().hex}"
-    own = for_tenant(df, tenant_id).observe(rows, F.count(F.lit(1)).alias("rows"))
-    own.select(*[c for c in spark.table(name).columns if c != "tenant_id"]).createOrReplaceTempView(view)
-    literal = tenant_id.replace("\\", "\\\\").replace("'", "\\'")
-    try:
-        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (tenant_id = '{literal}') SELECT * FROM {view}")
-    finally:
-        spark.catalog.dropTempView(view)
-    return rows.get["rows"]
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
