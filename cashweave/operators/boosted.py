@@ -54,7 +54,12 @@ class TreeArrays(NamedTuple):
 
 
 def predict(trees: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Sum of all trees for each row, walking every tree one level at a time."""
+    """Sum of all trees for each row."""
+    return tree_values(trees, x).sum(axis=1)
+
+
+def tree_values(trees: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """What each tree gives each row, walking every tree one level at a time."""
     feature, threshold, leaf = trees
     count, inner = feature.shape
     values, start = np.ascontiguousarray(x).ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
@@ -64,7 +69,7 @@ def predict(trees: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) ->
         at = first + node
         right = values.take(start + feature.take(at)) > threshold.take(at)
         node = 2 * node + 1 + right
-    return leaf.take(np.arange(count) * (inner + 1) + node - inner).sum(axis=1)
+    return leaf.take(np.arange(count) * (inner + 1) + node - inner)
 
 
 def boosted_trees(model: GBTRegressionModel) -> TreeArrays:
