@@ -66,6 +66,52 @@ def burn_runway(position: DataFrame, rows: int = BURN_ROWS) -> DataFrame:
     )
 
 
+def burn_by_calendar(position: DataFrame, days: int = BURN_ROWS) -> DataFrame:
+    """As ``burn_runway``, over the trailing calendar days instead of rows: for a series with missing days.
+
+    A missing day has no flow, so the mean divides by days, as many as there are since the first row.
+    """
+    number = F.unix_date("position_date")
+    tenant = Window.partitionBy("tenant_id").orderBy(number)
+    trailing = tenant.rangeBetween(-(days - 1), 0)
+    since = number - F.min(number).over(tenant.rangeBetween(Window.unboundedPreceding, 0)) + 1
+    burn = double(F.sum(net_burn()).over(trailing)) / F.least(F.lit(days), since)
+    name = f"avg_daily_net_burn_{days}d"
+    return position.withColumn(name, burn).withColumn(
+        "estimated_cash_runway_days",
+        F.when(F.col(name) > 0, F.round(double(F.col("closing_balance")) / F.col(name), 1)),
+    )
+
+
+def crunch_episodes(cash: DataFrame) -> DataFrame:
+    """Spells of days at risk in a row (gaps and islands), each with its depth and how it ended.
+
+    A missing day ends a spell. ``recovered_on`` is the day after it if that is a day out
+    of risk; a spell that lasts until the last row is ``open``.
+    """
+    low = (F.col("closing_balance") < RISK_BALANCE) | F.coalesce(F.col("estimated_cash_runway_days") < RUNWAY_ALERT_DAYS, F.lit(False))
+    day = F.col("position_date")
+    rows = cash.select(
+        "tenant_id", "position_date", "closing_balance", low.alias("at_risk"),
+        F.lead(day).over(by_day()).alias("next_day"), F.lead(low).over(by_day()).alias("next_at_risk"),
+    ).where("at_risk")
+    # days in a row keep their distance to their number
+    island = F.date_sub(day, F.row_number().over(by_day()))
+    ends = F.struct("position_date", "next_day", "next_at_risk")
+    spells = rows.withColumn("island", island).groupBy("tenant_id", "island").agg(
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("days"),
+        F.min(F.struct("closing_balance", "position_date")).alias("low"), F.max(ends).alias("end"),
+    )
+    next_day = F.col("end.next_day")
+    recovers = (next_day == F.date_add("last_day", 1)) & ~F.col("end.next_at_risk")
+    return spells.select(
+        "tenant_id", "first_day", "last_day", "days",
+        F.col("low.closing_balance").alias("lowest_balance"), F.col("low.position_date").alias("lowest_day"),
+        (F.lit(RISK_BALANCE).cast("decimal(28,2)") - F.col("low.closing_balance")).alias("depth"),
+        F.when(recovers, next_day).alias("recovered_on"), next_day.isNull().alias("open"),
+    )
+
+
 def latest_row(df: DataFrame, day: str = "position_date") -> DataFrame:
     """The most recent row of each tenant, found by partial aggregation."""
     rest = [c for c in df.columns if c not in ("tenant_id", day)]
@@ -122,15 +168,15 @@ def crunch_days(cash: DataFrame) -> DataFrame:
 def worst_day_causes(position: DataFrame, ledger: DataFrame, k: int = 3) -> DataFrame:
     """The lowest day of each tenant with its largest outflows.
 
-    The k largest outflows of every day are cut in the map tasks already, so a
-    day with very many entries is small before it meets the lowest days.
+    The lowest day is chosen first, and only its outflows are ranked; the largest are cut in
+    the map tasks already.
     """
     worst = position.groupBy("tenant_id").agg(
         F.min(F.struct("closing_balance", "position_date")).alias("low")
     ).select("tenant_id", F.col("low.position_date").alias("entry_date"), "low.closing_balance")
     outflows = ledger.where(F.col("flow_type") == OUTFLOW).select(
         "tenant_id", "entry_date", "category", "description", "amount", "ledger_id"
-    )
+    ).join(worst, ["tenant_id", "entry_date"], "left_semi")
     largest = Window.partitionBy("tenant_id", "entry_date").orderBy(F.desc("amount"), "ledger_id")
     top = outflows.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= k)
     return worst.join(top, ["tenant_id", "entry_date"], "left").select(

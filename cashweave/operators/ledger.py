@@ -84,14 +84,21 @@ def expand_entries(df: DataFrame, entries: Sequence[Column], last_day: Column) -
 
 
 def recurring_entries(obligations: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rent, payroll and other duties as dated outflows."""
+    """Rent, payroll and other duties as dated outflows.
+
+    A duty with a ``season``, an array of twelve factors, is its amount times the factor of
+    the month it falls due in; without one, or for a factor that is missing, it is the amount.
+    """
+    amount = F.col("amount")
+    if "season" in obligations.columns:
+        amount = amount * F.coalesce(F.get("season", F.month("entry_date") - 1), F.lit(1))
     return recurring_dates(obligations, spans).select(
         "tenant_id",
         F.concat_ws(":", "category", F.col("entry_date").cast("string"), "description").alias("ledger_id"),
         "entry_date",
         F.lit(OUTFLOW).alias("flow_type"),
         "category",
-        total(F.col("amount")).alias("amount"),
+        total(amount).alias("amount"),
         "description",
         F.lit(None).cast("string").alias("customer_id"),
     )

@@ -162,3 +162,29 @@ def sales_summary(sales: DataFrame) -> DataFrame:
         F.min("transaction_date").alias("first_day"),
         F.max("transaction_date").alias("last_day"),
     )
+
+
+# Fixed levels of the rollup: which columns a level keeps.
+ROLLUP = ("tenant_id", "month", "channel", "category")
+LEVELS = (
+    ("tenant_id", "month", "channel", "category"), ("tenant_id", "month", "channel"), ("tenant_id", "month", "category"),
+    ("tenant_id", "month"), ("tenant_id", "channel"), ("tenant_id",), ("month",), (),
+)
+
+
+def revenue_rollup(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Revenue, units and sales of all levels at once: one scan, one exchange of partial sums.
+
+    ``level`` is Spark's grouping id over ``ROLLUP``: a bit is set for each column that a row sums
+    over, so a total is told from a group whose value is NULL. A sale of a product that is
+    not listed has category NULL.
+    """
+    category = products.select("tenant_id", "product_id", "category")
+    rows = sales.join(category, ["tenant_id", "product_id"], "left").select(
+        "tenant_id", F.trunc("transaction_date", "MM").alias("month"), "channel", "category", "quantity", "total_amount"
+    )
+    sets = [[F.col(c) for c in level] for level in LEVELS]
+    return rows.groupingSets(sets, *[F.col(c) for c in ROLLUP]).agg(
+        F.grouping_id().alias("level"), F.sum("total_amount").alias("revenue"),
+        F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("sales"),
+    )

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
 from cashweave.constants import LEDGER_CATEGORIES
-from cashweave.operators import boosted, cash, clean, features, forecast, kpis, products, quality
+from cashweave.operators import aging, as_of, boosted, cash, clean, features, forecast, kpis, ledger, products, quality, tenant_boosting
 from cashweave.operators import receivables as ar
 from cashweave.operators import sales
+from cashweave.plans import answers
+from cashweave.session import checkpointed
 from cashweave.sources.star_tables import END, StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +25,7 @@ MONTH = dt.date(1998, 10, 1)
 LAST_FULL_MONTH = dt.date(2001, 7, 1)
 AS_OF = dt.date(2001, 6, 30)
 CATEGORY = "PROMO"
+PEAK_MONTHS = (1, 7, 8, 12)
 WINDOW = (dt.date(2000, 9, 20), dt.date(2000, 11, 5))
 
 # Two trees of depth 2 over the model's features: which one, where it is cut, the value of each leaf.
@@ -137,6 +141,11 @@ def seasonality_month(t):
     return sales.month_seasonality(sales.daily_sales(t.sales()))
 
 
+@query
+def revenue_rollup(t):
+    return sales.revenue_rollup(t.sales(), t.products)
+
+
 @query
 def retail_receipts(t):
     return sales.retail_receipts(t.sales())
@@ -213,6 +222,11 @@ def ar_aging(t):
     return ar.ar_aging(t.invoices, t.payments, t.customers, AS_OF)
 
 
+@query
+def ar_aging_by_day(t):
+    return aging.aging_by_day(t.invoices, t.payments, t.customers, t.spans)
+
+
 # --- products -------------------------------------------------------------
 
 
@@ -259,6 +273,13 @@ def recurring_entries(t):
     return t.recurring
 
 
+@query
+def seasonal_entries(t):
+    """The duties with the utilities' two seasons."""
+    factors = F.array(*[F.lit(Decimal("1.15") if month in PEAK_MONTHS else Decimal("1.00")) for month in range(1, 13)])
+    return ledger.recurring_entries(t.obligations.withColumn("season", F.when(F.col("category") == "utilities", factors)), t.spans)
+
+
 @query
 def daily_cash_position(t):
     return t.position
@@ -314,6 +335,38 @@ def crunch_days(t):
     )
 
 
+def _days_with_entries(t):
+    """A series with missing days: only those on which money moved."""
+    return t.position.where((F.col("total_inflows") != 0) | (F.col("total_outflows") != 0))
+
+
+@query
+def burn_by_calendar(t):
+    return cash.burn_by_calendar(_days_with_entries(t))
+
+
+@query
+def crunch_episodes(t):
+    return cash.crunch_episodes(cash.burn_runway(t.position))
+
+
+@query
+def crunch_episodes_with_gaps(t):
+    return cash.crunch_episodes(cash.burn_by_calendar(_days_with_entries(t)))
+
+
+@query
+def balance_on_due_days(t):
+    """What was in the bank when each invoice fell due, three years later, and when each customer signed up."""
+    t.share_totals()
+    terms = t.customers.select("tenant_id", "customer_id", "payment_terms_days")
+    due = F.date_add("invoice_date", F.col("payment_terms_days"))
+    days = [F.struct(F.lit(e).alias("event"), F.date_add(due, n).alias("asked_date")) for e, n in (("due", 0), ("three years later", 1095))]
+    due = t.invoices.join(terms, ["tenant_id", "customer_id"]).select("tenant_id", "customer_id", F.inline(F.array(*days)))
+    signed = t.customers.select("tenant_id", "customer_id", F.lit("signup").alias("event"), F.col("signup_date").alias("asked_date"))
+    return as_of.as_of(due.unionByName(signed), _days_with_entries(t))
+
+
 @query
 def worst_day_causes(t):
     t.share_totals()
@@ -442,6 +495,11 @@ def boosted_cash_forecast(t):
     return boosted.boosted_forecast(features.net_flow_history(t.position))
 
 
+@query
+def tenant_cash_forecast(t):
+    return tenant_boosting.tenant_forecast(features.net_flow_history(t.position))
+
+
 @query
 def recursive_forecast(t):
     """The projection of the boosted forecast, with fixed trees instead of fitted ones."""
@@ -473,6 +531,25 @@ def quality_report(t):
     )
 
 
+def stored_tables(t):
+    """Silver and Gold as a refresh writes them: Gold is computed from written Silver, and both are read back."""
+    written = {f"silver_{name}": checkpointed(df) for name, df in {
+        "products": t.products, "customers": t.customers, "sales_transactions": t.sales().drop("delay_days"),
+        "cash_ledger": t.ledger, "daily_cash_position": t.position,
+    }.items()}
+    lines, entries, customers = (written[f"silver_{n}"] for n in ("sales_transactions", "cash_ledger", "customers"))
+    written["gold_cash_position"] = checkpointed(cash.burn_runway(written["silver_daily_cash_position"]))
+    written["gold_product_performance"] = checkpointed(products.product_performance(written["silver_products"], lines))
+    written["gold_customer_receivables"] = checkpointed(ar.receivables(lines, entries, customers, "invoice"))
+    return written
+
+
+@query
+def stored_quality_report(t):
+    """Checks over written tables: all five of Silver, and Gold against Silver."""
+    return answers.stored_checks(answers.Stored(t.spark, tables=stored_tables(t).__getitem__))
+
+
 @query
 def table_row_counts(t):
     t.share_totals()
