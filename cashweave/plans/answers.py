@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cashweave.operators import cash, forecast, kpis, products, quality, sales
+from cashweave.operators import cash, forecast, kpis, products, quality, sales, sketches
 from cashweave.operators import receivables as ar
 from cashweave.schemas import SOURCES
 from cashweave.sources.files import for_tenant, read_forecast
@@ -70,6 +70,7 @@ QUESTIONS: dict[str, Callable[..., DataFrame]] = {
     "forecast_json": lambda t: forecast.forecast_json(t("cash_forecast")),
     "forecast_risk_rows": lambda t: forecast.risk_rows(t("cash_forecast")),
     "risk_explanation": lambda t: forecast.explain_risk(t.tenants(), t("cash_forecast")),
+    "trailing_customers": lambda t: sketches.trailing_customers(t("gold_customer_sketches")),
     "revenue": lambda t: sales.total_revenue(t("gold_daily_sales_summary")),
 }
 

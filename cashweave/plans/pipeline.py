@@ -17,6 +17,7 @@ from cashweave.operators.features import net_flow_history
 from cashweave.operators.products import product_performance
 from cashweave.operators.receivables import receivables
 from cashweave.operators.sales import daily_sales
+from cashweave.operators.sketches import customer_sketches
 from cashweave.plans.answers import Stored, kpi_header, stored_checks
 from cashweave.plans.versions import Draft, Versions
 from cashweave.schemas import SOURCES
@@ -72,6 +73,7 @@ def build_gold(tables: Draft, cfg: PipelineConfig) -> dict[str, DataFrame]:
     sales = silver["sales_transactions"]
     return {
         "gold_daily_sales_summary": daily_sales(sales),
+        "gold_customer_sketches": customer_sketches(sales),
         "gold_customer_receivables": receivables(
             sales, silver["cash_ledger"], silver["customers"],
             cfg.receivables_grain, cfg.receivables_match,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
 from cashweave.constants import LEDGER_CATEGORIES
-from cashweave.operators import aging, as_of, boosted, cash, clean, features, forecast, kpis, ledger, products, quality, tenant_boosting
+from cashweave.operators import aging, as_of, boosted, cash, clean, features, forecast, kpis, ledger, phrases, products, quality, sketches, tenant_boosting
 from cashweave.operators import receivables as ar
 from cashweave.operators import sales
 from cashweave.plans import answers
@@ -141,6 +141,13 @@ def seasonality_month(t):
     return sales.month_seasonality(sales.daily_sales(t.sales()))
 
 
+@query
+def trailing_customers(t):
+    lines = t.sales()
+    estimated = sketches.trailing_customers(sketches.customer_sketches(lines))
+    return sketches.sketch_error(estimated, sketches.trailing_customers_exact(lines))
+
+
 @query
 def revenue_rollup(t):
     return sales.revenue_rollup(t.sales(), t.products)
@@ -212,6 +219,11 @@ def settled_invoices(t):
     return ar.settle_invoices(t.invoices, t.payments)
 
 
+@query
+def wait_quantiles(t):
+    return sketches.wait_quantiles_checked(ar.settle_invoices(t.invoices, t.payments))
+
+
 @query
 def open_invoices(t):
     return ar.open_invoices(t.invoices, t.payments, t.customers, AS_OF)
@@ -417,6 +429,26 @@ def vocabulary_answers(t):
     return kpis.answer_terms(metrics)
 
 
+# Fixed questions of this test mapping; each customer asks one.
+ASKED = (
+    "How much cash do we have right now?",
+    "Which are our at-risk customers, and who owes us money?",
+    "What needs restocking? And which products are slow movers?",
+    "Show retail revenue next to MONTH TO DATE REVENUE, please",
+    "Compare the 30-day forecast with the 90-day forecast and any other forecast",
+    "What is our cash runway at this burn rate, or just the runway",
+    "Best sellers versus top products by revenue",
+    "Nothing of this kind",
+)
+
+
+@query
+def question_terms(t):
+    text = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("customer_id").cast("bigint") % len(ASKED) + 1).cast("int"))
+    asked = t.customers.select("tenant_id", "customer_id", F.concat_ws(": ", "customer_name", text).alias("question"))
+    return phrases.question_metrics(asked).select("tenant_id", "customer_id", "term", "metric", "source_column")
+
+
 # --- features and forecasts -----------------------------------------------
 
 
