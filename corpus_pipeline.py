@@ -1,12 +1,13 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 All stages but the last return the columns of documents; `n_chars` follows the text.
-Rows without id pass the filters that need one.
+Filters decide on rows, named by a hash of id and text, so clashing or null ids neither lose a
+clean text nor let a copy or a contaminated one through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.llm import decontaminate, language_id, line_dedup, ngram_join, packing
 from cashweave.llm.common import restage, stage
@@ -24,24 +25,38 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return line_dedup.dedup_lines(docs).select(*columns)
 
 
+def row_key() -> Column:
+    """Names a row by its id and text: rows of one id, or without id, are told apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(0), F.coalesce("text", F.lit("")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by common shingles the one with the smallest id stays; of rows with that id one."""
-    classes, _ = restage(ngram_join.similar_documents(docs), "classes")
-    known = classes.where(F.col("doc_id").isNotNull())
-    stays = known.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("rows"))
-    gone, _ = restage(stays.where((F.col("root") != F.col("doc_id")) | (F.col("rows") > 1)), "copies")
-    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    repeated = gone.where(F.col("root") == F.col("doc_id")).select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Of documents linked by common shingles the one with the smallest id stays, null ids last; of rows equal in id and text one."""
+    keyed = docs.withColumn("_row_key", row_key())
+    rows = keyed.select(F.col("_row_key").alias("doc_id"), "text")
+    classes, _ = restage(ngram_join.similar_documents(rows).select("doc_id", "component_id"), "classes")
+    classes = classes.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows"))
+    groups = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1")
+    linked, _ = restage(classes.join(groups, "component_id").select(F.col("doc_id").alias("_row_key"), "component_id"), "linked-rows")
+    named = keyed.select("_row_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key").alias("place"))
+    first = named.join(linked, "_row_key").groupBy("component_id").agg(F.min("place").alias("place"))
+    stays = first.select(F.col("place._row_key").alias("_row_key"))
+    gone, _ = restage(linked.select("_row_key").join(stays, "_row_key", "left_anti"), "copies")
+    kept = keyed.join(gone, "_row_key", "left_anti")
+    repeated, _ = restage(classes.where("rows > 1").select(F.col("doc_id").alias("_row_key")), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+        kept = kept.join(repeated, "_row_key", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, whatever their id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = stage(decontaminate.occurrences(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_row_key", row_key())
+    found = decontaminate.occurrences(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark)
+    hit = stage(found.select(F.col("doc_id").alias("_row_key")).distinct(), "contaminated")
+    return keyed.join(hit, "_row_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +71,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Language identification and tokenizing are not expressible in SQL; tests/llm compares the stages with plain versions.
+# Language identification and tokenizing are not expressible in SQL; tests/llm compares what each stage keeps with plain versions.
 ORACLE_SQL = None
 
 
