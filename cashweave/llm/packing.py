@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from cashweave.llm.common import chunks, documents, in_tasks
-from cashweave.llm.tokens import Encoder, code_points
+from cashweave.llm.tokens import Encoder
 
 CAPACITY, END_ID = 1024, 0
 SENTENCE_COST, INSIDE_COST = 4, 16
@@ -92,8 +92,7 @@ def cut_places(ends: np.ndarray, sentences: np.ndarray, capacity: int = CAPACITY
 
 def pack_texts(encoder: Encoder, texts: list[str], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     """Pieces of one shard; `row` is the place of the piece's text in the list, `sequence` counts from 0."""
-    points, bounds = code_points(texts)
-    ids, firsts, starts, edges = encoder.encode(points, bounds)
+    points, bounds, ids, firsts, starts, edges = encoder.encode_texts(texts)
     n = len(texts)
     ids = np.insert(ids, firsts[1:], END_ID).astype("<u4")
     doc_start = firsts + np.arange(n + 1)

@@ -3,11 +3,13 @@
 A byte-level BPE tokenizer first cuts a text into pieces (words with the space before
 them, numbers, punctuation, white space) and merges only inside a piece. Pieces are found
 for a whole batch with array operations, hashed, and only those not seen before go
-through the tokenizer's model.
+through the tokenizer's model. Strings of added tokens (`<|endoftext|>`) get their own id, as
+the tokenizer as loaded gives it.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -75,7 +77,12 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        # a text is first cut at the strings of added tokens, the longest at each place
+        self.added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         table = ["?"] * 256
         for byte in range(128):
@@ -109,8 +116,26 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.begin, begin), (self.size, size)))
 
-    def encode(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first id of each text and the end, piece starts, first id of each piece and the end)."""
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(code points, their bounds by text) and what `encode` gives, with the ids of added tokens where their strings stand."""
+        points, bounds = code_points(texts)
+        if self.cut is None or not any(a in t for a in self.added for t in texts):
+            return points, bounds, *self.encode(points, bounds)
+        parts = [self.cut.split(t) for t in texts]
+        flat = [p for own in parts for p in own]
+        part_bounds = np.concatenate(([0], np.cumsum([len(p) for p in flat])))
+        added = np.array([self.added.get(p, -1) for p in flat], np.int64)
+        ids, firsts, starts, edges = self.encode(points, part_bounds, added)
+        heads = np.concatenate(([0], np.cumsum([len(own) for own in parts])))
+        return points, bounds, ids, firsts[heads], starts, edges
+
+    def encode(
+        self, points: np.ndarray, bounds: np.ndarray, added: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id of each text and the end, piece starts, first id of each piece and the end).
+
+        A text with `added` of 0 or more is an added token of that id, on its first piece.
+        """
         starts = piece_starts(points, bounds)
         if len(starts) == 0:
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64), starts, np.zeros(1, np.int64)
@@ -130,9 +155,16 @@ class Encoder:
         places = np.searchsorted(self.keys, keys)
         at = places[inverse]
         lengths = self.size[at]
+        if added is not None:
+            text = np.searchsorted(bounds, starts, side="right") - 1
+            whole = added[text] >= 0
+            head = whole & np.append(True, text[1:] != text[:-1])
+            lengths = np.where(head, 1, np.where(whole, 0, lengths))
         edges = np.zeros(len(at) + 1, np.int64)
         np.cumsum(lengths, out=edges[1:])
         ids = self.ids[np.arange(edges[-1]) + np.repeat(self.begin[at] - edges[:-1], lengths)]
+        if added is not None:
+            ids[edges[:-1][head]] = added[text[head]]
         return ids, edges[np.searchsorted(starts, bounds)], starts, edges
 
 

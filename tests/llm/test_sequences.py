@@ -27,18 +27,15 @@ def texts(seed, n):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_ids_are_the_tokenizers(tokenizer, seed):
-    some = [*texts(seed, 400), "", "it's'll", "a''s", "  'll", " \n ", "x  ", "<|endoftext|> x"]
+    some = [*texts(seed, 400), "", "it's'll", "a''s", "  'll", " \n ", "x  ", "<|endoftext|> x", "a<|endoftext|>b", "x  <|endoftext|><|endoftext|>", "<|endoftext|", "'<|endoftext|>s <|endoftext|>", "<|endoftext|>"]
     encoder = tokens.Encoder(PATH)
     for part in (some, some[::-1], [some[5]], ["", ""]):
-        points, bounds = tokens.code_points(part)
-        ids, first, _, _ = encoder.encode(points, bounds)
+        _, _, ids, first, _, _ = encoder.encode_texts(part)
         expected = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == expected
 
@@ -161,3 +158,71 @@ def test_pipeline(spark):
         before = after
     packed = corpus_pipeline.run(spark, folder)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == set(kept.index)
+
+
+def plain_near_copies(rows):
+    """Indexes of the rows that stay: by components over all pairs of shingle sets, the smallest id of each."""
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i] == rows[j] or both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return sorted((rows[min(own, key=lambda i: (rows[i][0] is None, rows[i][0] or 0))] for own in groups.values()), key=repr)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+
+
+def test_stages_decide_on_rows_not_on_ids(spark, tmp_path):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a + " " + prose(rng, 3)
+    leak = prose(rng, 12)
+    rows = [
+        (1, a), (2, near), (2, b), (3, c), (3, c), (3, d), (None, near), (None, prose(rng, 30)), (None, prose(rng, 30)),
+        (4, ""), (5, ""), (None, None), (6, prose(rng, 20) + " " + leak + " " + prose(rng, 9)), (None, leak + " " + prose(rng, 40)), (6, prose(rng, 30)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=repr) == plain_near_copies(rows)
+    assert (2, b) in kept and (3, d) in kept and (1, a) in kept and (None, near) not in kept
+    clean = [tuple(r) for r in corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=repr) == sorted((r for r in rows if leak not in (r[1] or "")), key=repr)
+
+
+def test_stages_keep_what_plain_versions_keep(spark):
+    """On the smallest tables: near copies against all pairs, benchmark windows word for word."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    near = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=repr) == plain_near_copies(rows)
+
+    import re
+
+    def words(text):
+        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    items = [words(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    hit = {i for i, t in rows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows}
+    clean = corpus_pipeline.decontaminate_benchmark(spark, docs, folder)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - hit and hit
