@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
 from cashweave.constants import LEDGER_CATEGORIES
-from cashweave.operators import aging, as_of, boosted, cash, clean, features, forecast, kpis, ledger, phrases, products, quality, sketches, tenant_boosting
+from cashweave.operators import aging, as_of, boosted, cash, clean, features, forecast, kpis, ledger, phrases, products, quality, residual_band, sketches, tenant_boosting
 from cashweave.operators import receivables as ar
 from cashweave.operators import sales
 from cashweave.plans import answers
@@ -479,6 +479,19 @@ def run_rate_forecast(t):
     return forecast.run_rate_forecast(t.position)
 
 
+@query
+def residual_band_forecast(t):
+    position = checkpointed(t.position)
+    edges = residual_band.exact_edges(residual_band.backtest(position))
+    return residual_band.with_residual_band(forecast.run_rate_projection(position), edges)
+
+
+@query
+def residual_band_sketches(t):
+    errors = checkpointed(residual_band.backtest(t.position))
+    return residual_band.edges_checked(errors, residual_band.sketched_edges(residual_band.error_sketches(errors)))
+
+
 @query
 def forecast_checkpoints(t):
     return forecast.checkpoints(forecast.run_rate_forecast(t.position))
