@@ -48,24 +48,31 @@ def _places(array: str, run: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _grams(n: int) -> Column:
-    """All runs of n words, each as one string."""
-    return F.transform(_places("w", n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-
-
-def fingerprints(tokens: DataFrame, key: str, k: int, window: int) -> DataFrame:
-    """(key, g, m): hashes of all k-grams, and the smallest of each window's; texts of fewer words have none."""
+def hashed(tokens: DataFrame, key: str, k: int, window: int) -> DataFrame:
+    """(key, h, g, m): hashes of words, of all k-grams, and the smallest of each window's; texts of fewer words have no g and m."""
     run = window - k + 1
-    tokens = computed_once(tokens.where(F.size("w") >= window), key, h=F.transform("w", lambda x: F.xxhash64(x)))
-    tokens = computed_once(tokens, key, g=F.transform(_places("h", k), lambda i: F.xxhash64(*_from("h", i, k))))
+    tokens = computed_once(tokens, key, h=F.transform("w", lambda x: F.xxhash64(x)))
+    grams = F.transform(_places("h", k), lambda i: F.xxhash64(*_from("h", i, k)))
+    none = F.array().cast("array<bigint>")
+    tokens = computed_once(tokens, key, "h", g=F.when(F.size("h") >= window, grams).otherwise(none))
     least = (lambda i: F.least(*_from("g", i, run))) if run > 1 else (lambda i: F.get("g", i))
-    return computed_once(tokens, key, "g", m=F.transform(_places("g", run), least))
+    return computed_once(tokens, key, "h", "g", m=F.transform(_places("g", run), least))
 
 
 def placed(prints: DataFrame, key: str, run: int) -> DataFrame:
-    """(key, h, p): each distinct kept fingerprint with its first place in its run."""
-    at = prints.select(key, "g", F.posexplode("m").alias("i", "h"))
-    return at.select(key, "h", (F.col("i") + F.array_position(F.slice("g", F.col("i") + 1, run), F.col("h")) - 1).cast("int").alias("p")).distinct()
+    """(key, x, p): each distinct kept fingerprint with its first place in its run."""
+    at = prints.select(key, "g", F.posexplode("m").alias("i", "x"))
+    return at.select(key, "x", (F.col("i") + F.array_position(F.slice("g", F.col("i") + 1, run), F.col("x")) - 1).cast("int").alias("p")).distinct()
+
+
+def _whole(n: int, i: Column) -> Column:
+    """Hash of the n words from word i, told apart from those of other lengths."""
+    return F.xxhash64(F.lit(n), *_from("h", i, n))
+
+
+def _wholes(n: int) -> Column:
+    """(x, p) of every run of n words."""
+    return F.transform(_places("h", n), lambda i: F.struct(_whole(n, i).alias("x"), i.alias("p")))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -74,50 +81,61 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.where(F.size("w") > 0).distinct()
 
 
-def _windows_at(items: DataFrame, k: int, window: int) -> DataFrame:
-    """(h, item_id, q, from_j, to_j): a kept fingerprint at word q of the item, and the windows that it may stand for."""
-    theirs = placed(fingerprints(items, "item_id", k, window), "item_id", window - k + 1)
-    theirs = theirs.join(items.select("item_id", F.size("w").alias("n")), "item_id")
-    return theirs.select(
-        "h",
-        "item_id",
-        F.col("p").alias("q"),
-        F.greatest(F.lit(0), F.col("p") + k - window).alias("from_j"),
-        F.least(F.col("p"), F.col("n") - window).alias("to_j"),
-    )
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(n, t, item_id): each window of an item as its number of words and its text."""
+    n = F.least(F.size("w"), F.lit(window))
+    items = items.select("item_id", "w", n.alias("n"))
+    at = items.select("item_id", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("j"))
+    return at.select("n", F.array_join(F.slice("w", F.col("j") + 1, F.col("n")), " ").alias("t"), "item_id").distinct()
+
+
+def benchmark_prints(items: DataFrame, k: int, window: int, lengths: list[int]) -> DataFrame:
+    """(x, n, back): a fingerprint of the benchmark, and how many words before its place a window of n words may begin.
+
+    A kept k-gram stands at most window - k words into a window, however many items hold it; a short
+    item is its own fingerprint.
+    """
+    prints = hashed(items, "item_id", k, window)
+    kept = placed(prints, "item_id", window - k + 1).join(items.select("item_id", F.size("w").alias("size")), "item_id")
+    first, last = F.greatest(F.lit(0), F.col("p") + k - window), F.least(F.col("p"), F.col("size") - window)
+    long = kept.select("x", F.lit(window).alias("n"), F.explode(F.sequence(F.col("p") - last, F.col("p") - first)).alias("back"))
+    for n in lengths:
+        short = prints.where(F.size("h") == n).select(_whole(n, F.lit(0)).alias("x"), F.lit(n).alias("n"), F.lit(0).alias("back"))
+        long = long.unionByName(short)
+    return long.distinct()
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(doc_id, s, n, item_id): the n words from word s of the document are a window of the item.
 
-    The documents' fingerprints meet the benchmark's in a join that Spark broadcasts only
-    if the staged benchmark side is small by its file size; beyond that it is a shuffle
-    join. Only documents with a common fingerprint are read again and compared.
+    One pass over the corpus names the documents that hold a fingerprint of the benchmark; the join
+    is broadcast only if the staged benchmark side is small by its file size. Only those are read
+    again. Each place where a window may begin is found once, whatever the number of items that
+    hold it, and its own words, not the document's, meet the windows of the items.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     items, _ = restage(benchmark_items(benchmark), "items")
-    theirs, _ = restage(_windows_at(items, k, window), "item-prints")
+    lengths = sorted(r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect())
+    theirs, _ = restage(benchmark_prints(items, k, window, lengths), "item-prints")
 
-    tokens = computed_once(docs, "doc_id", w=words(F.col("text")))
-    ours = computed_once(fingerprints(tokens, "doc_id", k, window), "doc_id", m=F.array_distinct("m"))
-    met = ours.select("doc_id", F.explode("m").alias("h")).join(theirs.select("h").distinct(), "h")
+    ours = hashed(computed_once(docs, "doc_id", w=words(F.col("text"))), "doc_id", k, window)
+    short = [F.transform(_wholes(n), lambda run: run["x"]) for n in lengths]
+    ours = computed_once(ours, "doc_id", x=F.array_distinct(F.concat("m", *short)))
+    met = ours.select("doc_id", F.explode("x").alias("x")).join(theirs.select("x").distinct(), "x")
     met, _ = restage(met.select("doc_id").distinct(), "suspects")
 
-    suspects, _ = restage(computed_once(docs.join(met, "doc_id", "left_semi"), "doc_id", w=words(F.col("text"))), "suspect-words")
-    near = placed(fingerprints(suspects, "doc_id", k, window), "doc_id", window - k + 1).join(theirs, "h")
-    near = near.select("doc_id", "p", "q", "item_id", F.explode(F.sequence("from_j", "to_j")).alias("j"))
-    near = near.select("doc_id", (F.col("p") - F.col("q") + F.col("j")).alias("s"), "item_id", "j").where("s >= 0").distinct()
-    near = near.join(suspects.distinct(), "doc_id").join(items.withColumnRenamed("w", "iw"), "item_id")
-    same = F.slice("w", F.col("s") + 1, window) == F.slice("iw", F.col("j") + 1, window)
-    found = near.where(same).select("doc_id", "s", F.lit(window).alias("n"), "item_id")
-
-    # items with fewer words than a window: one pass for each of their few lengths
-    short = items.where(F.size("w") < window)
-    for n in sorted(r[0] for r in short.select(F.size("w")).distinct().collect()):
-        ours = computed_once(tokens, "doc_id", t=_grams(n)).select("doc_id", F.posexplode("t").alias("s", "t"))
-        theirs = short.where(F.size("w") == n).select("item_id", F.array_join("w", " ").alias("t"))
-        found = found.unionByName(ours.join(theirs, "t").select("doc_id", "s", F.lit(n).alias("n"), "item_id"))
-    return found.distinct()
+    suspects = computed_once(docs.join(met, "doc_id", "left_semi"), "doc_id", w=words(F.col("text")))
+    suspects, _ = restage(suspects.distinct(), "suspect-words")
+    prints = hashed(suspects, "doc_id", k, window)
+    at = placed(prints, "doc_id", window - k + 1)
+    if lengths:
+        at = at.unionByName(prints.select("doc_id", F.inline(F.concat(*map(_wholes, lengths)))))
+    begins = at.join(theirs, "x").select("doc_id", "n", (F.col("p") - F.col("back")).alias("s")).where("s >= 0")
+    # a document's places are at most one for each of its words and lengths: no longer than its text
+    begins = begins.groupBy("doc_id").agg(F.collect_set(F.struct("n", "s")).alias("at"))
+    begins = begins.join(suspects, "doc_id").select("doc_id", "w", F.inline("at"))
+    begins = begins.select("doc_id", "s", "n", F.array_join(F.slice("w", F.col("s") + 1, F.col("n")), " ").alias("t"))
+    return begins.join(item_windows(items, window), ["n", "t"]).select("doc_id", "s", "n", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line deduplication and decontamination on hand-made rows, against plain versions."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -112,6 +113,19 @@ def test_leaks(spark):
     assert sorted(got, key=str) == plain_leaks(DOCS, ITEMS)
 
 
+def test_leaks_of_items_of_all_lengths_and_of_passages_that_many_items_hold(spark):
+    """Few different words, so that places, items and lengths overlap in every way."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices("abc", k=n))
+    items = [(i, text(1 + i % 16)) for i in range(4, 60)] + [(100 + i, "z y x w v u t s r q " + text(i)) for i in range(30)]
+    docs = [(i, text(rng.randrange(25))) for i in range(40)] + [(90, "z y x w v u t s r q"), (91, "y x w v u t s r q d")]
+    got = decontaminate.contamination(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in got]
+    assert sorted(got, key=str) == plain_leaks(docs, items)
+    found = decontaminate.occurrences(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    assert found.where("doc_id = 90").count() == 30 and found.where("doc_id = 91 and n = 10").isEmpty()
+
+
 @pytest.mark.parametrize("docs, items", [([], ITEMS), (DOCS, [])])
 def test_leaks_of_empty_tables(spark, docs, items):
     got = decontaminate.contamination(frame(spark, docs), frame(spark, items, "item_id long, text string"))
