@@ -339,68 +339,104 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
 # --- the prefix tree --------------------------------------------------------------
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start, so many of each."""
+    edge = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - edge, sizes)
+
+
 class PrefixTree:
-    """Sets as ascending arrays of small integers, in a trie of their first `depth` elements.
+    """Sets as ascending arrays of small integers, in a trie whose edges hold EDGE, then twice as many elements, and so on.
 
-    The trie is the sorted list of sets, of which each adds the elements after its common
-    beginning with the one before; on the way to the next set the elements below the
-    common beginning come off again. So a sum over a set's path is a difference of two
-    running sums, and each shared beginning is counted once for all sets below it.
+    Sets with a common beginning share its nodes, and the overlap with it is summed once for all
+    of them. A search goes down level by level with all nodes that are still open; a subtree is
+    left when even the rest of its longest set, or of the searched one, cannot make up the
+    overlap that its shortest set needs. `visited` counts the elements read, `size` those stored.
     """
 
+    EDGE = 8
+
     def __init__(self, sets: list[np.ndarray], items: np.ndarray, percent: int, vocabulary: int):
         self.percent = percent
-        sizes = np.array([len(sets[i]) for i in items])
-        self.depth = depth = max(1, int(np.median(sizes)) // 2)
-        order = sorted(range(len(items)), key=lambda k: sets[items[k]][:depth].astype(">u4").tobytes())
-        self.items, self.sizes = items[order], sizes[order]
+        order = sorted(range(len(items)), key=lambda k: sets[items[k]].astype(">u4").tobytes())
+        self.items = items[order]
+        members = [sets[i] for i in self.items]
+        self.sizes = np.array([len(m) for m in members])
         self.alive = np.ones(len(items), bool)
-        self.seen = np.zeros(vocabulary, bool)
-        added: list[np.ndarray] = []
-        path: list[int] = []
-        off: list[int] = []
-        before = np.empty(0, np.int64)
-        self.ends, self.taken_off, count = np.empty(len(items), np.int64), np.empty(len(items), np.int64), 0
-        for k, item in enumerate(self.items):
-            now = sets[item][:depth]
-            limit = min(len(now), len(before))
-            differ = np.flatnonzero(now[:limit] != before[:limit])
-            same = int(differ[0]) if len(differ) else limit
-            off += path[same:][::-1]
-            del path[same:]
-            path.extend(range(count, count + len(now) - same))
-            added.append(now[same:])
-            count += len(now) - same
-            self.ends[k], self.taken_off[k] = count, len(off)
-            before = now
-        self.flat = np.concatenate(added)
-        self.off = self.flat[np.array(off, np.int64)]
-        self.last = np.array([sets[i][:depth][-1] for i in self.items])
-        rest = [sets[i][depth:] for i in self.items]
-        self.rest_size = np.array([len(r) for r in rest])
-        self.rest_start = np.cumsum(self.rest_size) - self.rest_size
-        self.rest = np.concatenate(rest)
+        self.seen = np.zeros(vocabulary, np.int32)
+        flat = np.concatenate(members).astype(np.int32)
+        begins = np.cumsum(self.sizes) - self.sizes
+        common = np.zeros(len(members), np.int64)  # with the set before
+        for k in range(1, len(members)):
+            limit = min(len(members[k]), len(members[k - 1]))
+            differ = np.flatnonzero(members[k][:limit] != members[k - 1][:limit])
+            common[k] = differ[0] if len(differ) else limit
+        self.levels: list[dict[str, np.ndarray]] = []
+        low, width, self.visited, self.size = 0, self.EDGE, 0, 0
+        while low < self.sizes.max():
+            high = low + width
+            reach = np.minimum(self.sizes, high)
+            goes = self.sizes > low
+            before = np.concatenate(([-1], np.where(goes, reach, -1)[:-1]))
+            first = np.flatnonzero(goes & ~((before == reach) & (common >= reach)))
+            # the sets of a node follow each other; those that end in it come first
+            node = np.searchsorted(first, np.flatnonzero(goes), side="right") - 1
+            sizes = self.sizes[goes]
+            edges = np.searchsorted(node, np.arange(len(first)))
+            level = {
+                "first": first,
+                "sets": np.bincount(node, minlength=len(first)),
+                "ended": np.bincount(node[sizes <= high], minlength=len(first)),
+                "length": reach[first] - low,
+                "last": flat[begins[first] + reach[first] - 1],
+                "shortest": np.minimum.reduceat(sizes, edges),
+                "longest": np.maximum.reduceat(sizes, edges),
+            }
+            if self.levels:
+                above = self.levels[-1]
+                above["child"] = np.searchsorted(first, above["first"])
+                above["children"] = np.searchsorted(first, above["first"] + above["sets"]) - above["child"]
+            level["flat"] = flat[_ranges(begins[first] + low, level["length"])]
+            level["start"] = np.cumsum(level["length"]) - level["length"]
+            self.levels.append(level)
+            self.size += len(level["flat"])
+            low, width = high, 2 * width
+        self.levels[-1]["child"] = self.levels[-1]["children"] = np.zeros(len(self.levels[-1]["first"]), np.int64)
 
     def similar(self, members: np.ndarray) -> np.ndarray:
         """Places of the live sets that are similar enough to `members`."""
         n, percent, seen = len(members), self.percent, self.seen
-        seen[members] = True
-        pushed, popped = np.zeros(len(self.flat) + 1, np.int32), np.zeros(len(self.off) + 1, np.int32)
-        np.cumsum(seen[self.flat], out=pushed[1:])
-        np.cumsum(seen[self.off], out=popped[1:])
-        shared = pushed[self.ends] - popped[self.taken_off]
-        # what may still come: the rest of the set, or the rest of members
-        most = shared + np.minimum(self.rest_size, n - np.searchsorted(members, self.last, side="right"))
-        needed = percent * (n + self.sizes)
-        left = np.flatnonzero(self.alive & (most * (100 + percent) >= needed))
-        long = left[self.rest_size[left] > 0]
-        if len(long):
-            size = self.rest_size[long]
-            edge = np.cumsum(size) - size
-            at = np.arange(int(size.sum())) + np.repeat(self.rest_start[long] - edge, size)
-            shared[long] += np.add.reduceat(seen[self.rest[at]].astype(np.int32), edge)
-        seen[members] = False
-        return left[shared[left] * (100 + percent) >= needed[left]]
+        seen[members] = 1
+        node = np.arange(len(self.levels[0]["first"]))
+        shared, behind, low, width = np.zeros(len(node), np.int64), np.full(len(node), n), 0, self.EDGE
+        found = [np.empty(0, np.int64)]
+        for level in self.levels:
+            # what may still come: the rest of the longest set, or of members
+            most = shared + np.minimum(level["longest"][node] - low, behind)
+            open_ = most * (100 + percent) >= percent * (n + level["shortest"][node])
+            node, shared = node[open_], shared[open_]
+            if not len(node):
+                break
+            length = level["length"][node]
+            read = int(length.sum())
+            if 2 * read > len(level["flat"]):  # most of the level: in one run
+                read = len(level["flat"])
+                shared = shared + np.add.reduceat(seen[level["flat"]], level["start"])[node]
+            else:
+                at = _ranges(level["start"][node], length)
+                shared = shared + np.add.reduceat(seen[level["flat"][at]], np.cumsum(length) - length)
+            self.visited += read
+            ended = level["ended"][node]
+            place = _ranges(level["first"][node], ended)
+            enough = np.repeat(shared, ended) * (100 + percent) >= percent * (n + self.sizes[place])
+            found.append(place[enough & self.alive[place]])
+            behind = n - np.searchsorted(members, level["last"][node], side="right")
+            children = level["children"][node]
+            node = _ranges(level["child"][node], children)
+            shared, behind = np.repeat(shared, children), np.repeat(behind, children)
+            low, width = low + width, 2 * width
+        seen[members] = 0
+        return np.sort(np.concatenate(found))
 
 
 def link_family(sets: list[np.ndarray], sids: list[int], queries: int | None, percent: int) -> Union:
@@ -521,9 +557,11 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     one = described.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("_doc"))
-    count = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
-    member = family.join(count, "root").select(F.col("node").alias("sid"), F.col("root").alias("_family"), blocks.alias("_blocks"))
+    # only families of several blocks are listed: few rows, so that the join does not gather a family in one task
+    count = family.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK_SETS)
+    count, _ = restage(count, "large-families")
+    blocks = F.coalesce(F.ceil(F.col("members") / BLOCK_SETS), F.lit(1)).cast("int")
+    member = family.join(count, "root", "left").select(F.col("node").alias("sid"), F.col("root").alias("_family"), blocks.alias("_blocks"))
     wanted = one.join(member, "sid").select("_doc", "_family", "_blocks", "sid")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_doc")).drop("_doc")
 

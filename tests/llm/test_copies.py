@@ -201,3 +201,30 @@ def test_repeated_bytes_of_an_anchor_often_in_few_texts(spark, tmp_path, monkeyp
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect())
     assert called and got == plain_bytes(rows, 400) and any(r[2] for r in got)
+
+
+def test_prefix_tree_finds_all_similar_sets_and_leaves_subtrees():
+    """Families around templates, cut and changed to all degrees: the same sets as by comparing all, from a part of the nodes."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for start in range(0, 3000, 300):
+        for _ in range(40):
+            kept = rng.random(100) < rng.choice([0.5, 0.8, 0.97])
+            sets.append(np.sort(np.concatenate((start + np.flatnonzero(kept), 4000 + rng.choice(500, rng.integers(0, 30), replace=False)))))
+    sets += [np.array([1]), np.array([1, 2]), np.arange(7), np.arange(8), np.arange(9), np.arange(24), np.arange(25), np.arange(3000)]
+    sets = [np.unique(s) for s in sets]
+    tree = ngram_join.PrefixTree(sets, np.arange(len(sets)), 75, 5000)
+    for i, members in enumerate(sets):
+        want = {j for j, other in enumerate(sets) if 100 * len(np.intersect1d(members, other)) >= 75 * len(np.union1d(members, other))}
+        assert set(tree.items[tree.similar(members)].tolist()) == want, i
+    assert tree.size <= sum(map(len, sets))
+    assert tree.visited < tree.size * len(sets) / 4
+
+
+def test_prefix_tree_reads_a_shared_beginning_once():
+    sets = [np.append(np.arange(24), 100 + i) for i in range(50)]
+    tree = ngram_join.PrefixTree(sets, np.arange(50), 75, 200)
+    assert tree.size == 24 + 50
+    assert len(tree.similar(sets[0])) == 50 and tree.visited == tree.size
+    tree.alive[:49] = False
+    assert tree.items[tree.similar(sets[0])].tolist() == [tree.items[49]]
