@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -88,6 +89,24 @@ def give_back() -> None:
         trim(0)
 
 
+def groups(batches: Batches, keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows with equal keys, of sorted rows."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        part = batch.to_pandas()
+        if rest is not None and len(rest):
+            part = pd.concat([rest, part], ignore_index=True)
+        if not len(part):
+            continue
+        new = (part[keys] != part[keys].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield part.iloc[a:b]
+        rest = part.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
 # --- text as arrays ---------------------------------------------------------
 
 

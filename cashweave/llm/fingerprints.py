@@ -27,13 +27,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cashweave.llm.common import documents, in_tasks, mix, partitions, restage
+from cashweave.llm.common import discard, documents, groups, in_tasks, mix, partitions, restage, stage
 from cashweave.llm.components import components
 from cashweave.llm.tokens import code_points
 
 SAMPLES, PERIOD, CLASSES, FEW = 256, 4096, 256, 64
 CHUNK_POINTS = 1 << 21
-BAND_DIGITS, LIKE = 8, 0.75
+BAND_DIGITS, LIKE, BUCKET = 8, 0.75, 2048
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -226,31 +226,131 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 # --- near documents ---------------------------------------------------------------
 
 
-def _bands(prints: DataFrame, digits: int) -> DataFrame:
-    """(doc_id, level, band, key): runs of `digits` sampled steps, at the fingerprint's level and the next one."""
+def band_cells(fingerprint: str, digits: int = BAND_DIGITS) -> Iterator[tuple[int, int, str]]:
+    """(level, place, digits): runs of sampled steps, and the last such run, at the fingerprint's level and the next one."""
+    for level in (int(fingerprint[:2], 16), int(fingerprint[:2], 16) + 1):
+        cells = _at_level(fingerprint, level).tobytes().decode()
+        places = {*range(0, len(cells) - digits + 1, digits), max(0, len(cells) - digits)}
+        yield from ((level, k, cells[k : k + digits]) for k in sorted(places) if cells)
+
+
+def _bands(nodes: DataFrame, digits: int) -> DataFrame:
+    """(node, key): the bands of each fingerprint, a key is a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, a in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                for level in (int(a[:2], 16), int(a[:2], 16) + 1):
-                    cells = _at_level(a, level).tobytes().decode()
-                    out += [(doc_id, level, k // digits, cells[k : k + digits]) for k in range(0, len(cells) - digits + 1, digits)]
-                    if len(cells) < digits:
-                        out.append((doc_id, level, 0, cells))
+            both = zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True)
+            out = [(node, *band) for node, a in both for band in band_cells(a, digits)]
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "level", "band", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "level", "place", "cells"])
+
+    bands = in_tasks(nodes, run, "node long, level int, place int, cells string")
+    return bands.select("node", F.xxhash64("level", "place", "cells").alias("key"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, like: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose fingerprints are alike."""
+    one, two = (nodes.select(F.col("node").alias(x), F.col("fingerprint").alias(f"_{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)
+            yield batch.filter(pa.array([likeness(a, b) >= like for a, b in both], pa.bool_())).select(["a", "b"])
+
+    return in_tasks(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), run, "a long, b long")
+
+
+class _Alike:
+    """Likeness of one fingerprint to many, by rows of digits for each level that occurs."""
+
+    def __init__(self, prints: list[str]):
+        self.levels = np.array([int(p[:2], 16) for p in prints])
+        self.rows: dict[int, np.ndarray] = {}
+        self.sizes: dict[int, np.ndarray] = {}
+        for level in np.unique(self.levels):
+            cells = [_at_level(p, level) if own <= level else _NONE for p, own in zip(prints, self.levels, strict=True)]
+            self.sizes[level] = np.array([len(c) for c in cells])
+            self.rows[level] = np.zeros((len(cells), max(1, self.sizes[level].max())), np.uint8)
+            for row, c in zip(self.rows[level], cells, strict=True):
+                row[: len(c)] = c
+
+    def to(self, one: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others))
+        common = np.maximum(self.levels[one], self.levels[others])
+        for level in np.unique(common):
+            at = np.flatnonzero(common == level)
+            rows, sizes = self.rows[level], self.sizes[level]
+            n = sizes[one]
+            equal = (rows[others[at], :n] == rows[one, :n]).sum(axis=1)
+            longest = np.maximum(n, sizes[others[at]])
+            out[at] = np.where(np.minimum(n, sizes[others[at]]) > 0, (equal / np.maximum(1, longest) - 1 / 16) / (15 / 16), 0)
+        return np.maximum(out, 0)
+
+
+_NONE = np.empty(0, np.uint8)
 
-    return in_tasks(prints, run, "doc_id long, level int, band int, key string")
+
+def links_among(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, prints: list[str], like: float) -> list[tuple[int, int]]:
+    """Links that join different classes of one bucket: each fingerprint meets all later ones that are not yet in its class.
+
+    With two sides, those of the first meet those of the second. Every pair that is alike ends in one class.
+    """
+    label, alike, out = np.unique(roots, return_inverse=True)[1], _Alike(prints), []
+    order = np.argsort(side, kind="stable")
+    first_of_second = int(np.searchsorted(side[order], 1))
+    two = 0 < first_of_second < len(order)
+    for place, i in enumerate(order[:first_of_second] if two else order):
+        others = order[first_of_second if two else place + 1 :]
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        found = others[alike.to(i, others) >= like]
+        for j in found:
+            if label[j] != label[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _late_links(buckets: DataFrame, nodes: DataFrame, links: DataFrame, like: float) -> DataFrame:
+    """Links within the buckets whose members are not all in one class yet.
+
+    A bucket of more than `BUCKET` members is cut into blocks by hash; a task holds two of its blocks.
+    """
+    spark = buckets.sparkSession
+    root = components(links).withColumnRenamed("node", "_node")
+    rooted = buckets.join(root, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted, rooted_path = restage(rooted, "rooted")
+    open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_ = open_.where("least <> most").select("key", F.ceil(F.col("members") / BUCKET).cast("int").alias("blocks"))
+    meet = rooted.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    # a block meets itself and every other one: the lower of both numbers is the first side
+    meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    meet = meet.select("key", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+    meet = meet.join(nodes, "node").repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["key", "low", "high"]):
+            found = links_among(*(group[c].to_numpy() for c in ("node", "root", "side")), group["fingerprint"].tolist(), like)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    out = stage(in_tasks(meet, run, "a long, b long"), "late-near")
+    discard(spark, rooted_path)
+    return out
 
 
 def near_documents(docs: DataFrame, like: float = LIKE, digits: int = BAND_DIGITS) -> DataFrame:
-    """(doc_id, class_id, n_links): documents whose fingerprints are alike, through the smallest id of a shared band.
+    """(doc_id, class_id): one row for each row with an id; a class is what links of alike fingerprints reach, named by its smallest id.
 
-    Each band's documents are compared with its smallest id, not with each other: the work
-    is linear in the bands, and a band that many documents share has as many links as documents.
+    Two texts are compared if their fingerprints share a band, and every such pair that is alike ends in
+    one class. Equal fingerprints are one node. First every node of a band is compared with the band's
+    smallest one, which settles bands of near copies in linear work; in the bands that still hold several
+    classes the nodes of different classes meet in blocks. Rows without id are left out.
     """
+    spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,26 +359,25 @@ def near_documents(docs: DataFrame, like: float = LIKE, digits: int = BAND_DIGIT
                 part = batch.slice(low, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text").to_pylist()))], ["doc_id", "fingerprint"])
 
-    prints, _ = restage(in_tasks(docs, run, "doc_id long, fingerprint string"), "prints")
-    bands, _ = restage(_bands(prints, digits), "bands")
-    center = bands.groupBy("level", "band", "key").agg(F.min("doc_id").alias("center"))
-    pairs = bands.join(center, ["level", "band", "key"]).where("doc_id <> center").select("doc_id", "center").distinct()
-    other = prints.select(F.col("doc_id").alias("center"), F.col("fingerprint").alias("theirs"))
-    pairs = pairs.join(prints, "doc_id").join(other, "center").select("doc_id", "center", "fingerprint", "theirs")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("fingerprint").to_pylist(), batch.column("theirs").to_pylist(), strict=True)
-            yield batch.filter(pa.array([likeness(a, b) >= like for a, b in both], pa.bool_())).select(["doc_id", "center"])
-
-    links, _ = restage(in_tasks(pairs, verify, "doc_id long, center long"), "near")
-    links = links.distinct()
-    count = links.select("doc_id").unionByName(links.select(F.col("center").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = components(links, "doc_id", "center").withColumnRenamed("node", "doc_id")
-    return (
-        docs.select("doc_id").distinct().join(classes, "doc_id", "left").join(count, "doc_id", "left")
-        .select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    prints = in_tasks(docs, run, "doc_id long, fingerprint string").withColumn("node", F.xxhash64("fingerprint"))
+    prints, _ = restage(prints, "prints")
+    nodes, nodes_path = restage(prints.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")), "nodes")
+    known = nodes.select("node", "fingerprint")
+    bands, bands_path = restage(_bands(known, digits), "bands")
+    center = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center <> last")
+    buckets, buckets_path = restage(bands.join(center.drop("last"), "key").distinct(), "buckets")
+    discard(spark, bands_path)
+    stars = buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    links, links_path = restage(_verified(stars, known, like), "near")
+    late = _late_links(buckets.select("key", "node"), known, links, like)
+    classes = components(links.unionByName(late))
+    for path in (buckets_path, links_path):
+        discard(spark, path)
+    class_of = nodes.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = class_of.groupBy("root").agg(F.min("least").alias("class_id"))
+    named, _ = restage(class_of.join(least, "root").select("node", "class_id"), "classes")
+    discard(spark, nodes_path)
+    return prints.join(named, "node").select("doc_id", "class_id")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -484,24 +484,6 @@ def link_family(sets: list[np.ndarray], sids: list[int], queries: int | None, pe
     return union
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Consecutive rows with equal keys, of sorted rows."""
-    rest: pd.DataFrame | None = None
-    for batch in batches:
-        part = batch.to_pandas()
-        if rest is not None and len(rest):
-            part = pd.concat([rest, part], ignore_index=True)
-        if not len(part):
-            continue
-        new = (part[keys] != part[keys].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(new)
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield part.iloc[a:b]
-        rest = part.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _latest(hot: DataFrame, percent: int) -> DataFrame:
     """(family, part, sid, key, n, most): the prefix shingles of stored sets.
 
@@ -587,7 +569,7 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's own links; of a block among several also what has to meet the others."""
-        for group in _groups(batches, ["family", "part"]):
+        for group in groups(batches, ["family", "part"]):
             sids = group["sid"].tolist()
             members = [np.frombuffer(m, "<u8") for m in group["members"]]
             if len(sids) == 1 and group["blocks"].iloc[0] == 1:
@@ -612,7 +594,7 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
         outside = links.where("meets").select(F.col("a").alias("sid"))
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in _groups(batches, ["family", "part", "turn"]):
+            for group in groups(batches, ["family", "part", "turn"]):
                 group = group.sort_values("asks", kind="stable")
                 sids = group["sid"].tolist()
                 members = [np.frombuffer(m, "<u8") for m in group["members"]]

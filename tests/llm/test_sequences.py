@@ -137,6 +137,91 @@ def test_near_documents(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted((i, 10 * (i // 10)) for i, *_ in rows if i is not None)
 
 
+def template_rows(seed):
+    """Families with a common head or tail and several degrees of edits, chains, copies and odd rows."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    head, tail, rows = text(120), text(120), []
+    for family in range(6):
+        base = text(rng.randrange(150, 900))
+        for edits in (0, 1, 3, 8, 20):
+            new = list(base)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = text(rng.randrange(3))
+            rows.append((head if family % 2 else "") + "".join(new) + (tail if family % 3 == 0 else ""))
+    rows += [head + text(200) for _ in range(8)] + [text(300) + tail for _ in range(6)]
+    drift = text(700)
+    for k in range(10):
+        rows.append(drift)
+        drift = drift[: 60 * k] + text(30) + drift[60 * k + 30 :]
+    rows += [rows[0], rows[0], "", "", "a", "ab", text(20_000)]
+    rng.shuffle(rows)
+    return [(5 * i + 3, t, 1, "x") for i, t in enumerate(rows)] + [(3, "other text of a used id " * 9, 1, "x"), (900, None, 1, "x"), (None, rows[0], 1, "x")]
+
+
+def plain_classes(rows, reachable):
+    """The smallest id of what each row reaches by `reachable` pairs of fingerprints."""
+    prints = [fingerprints.fingerprints([t or ""])[0] for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if prints[i] == prints[j] or reachable(prints[i], prints[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted((r[0], least[find(i)]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_near_documents_lose_no_pair_that_shares_a_band(spark, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    rows = template_rows(bucket)
+    known = [r for r in rows if r[0] is not None]
+    bands = {p: set(fingerprints.band_cells(p)) for _, t, *_ in known for p in fingerprints.fingerprints([t or ""])}
+
+    def linked(a, b):
+        return bool(bands[a] & bands[b]) and fingerprints.likeness(a, b) >= fingerprints.LIKE
+
+    got = sorted((r["doc_id"], r["class_id"]) for r in fingerprints.near_documents(frame(spark, rows)).collect())
+    assert got == plain_classes(known, linked)
+
+
+def test_recall_of_near_documents(spark):
+    rows = [r for r in template_rows(77) if r[0] is not None]
+    print_of = [fingerprints.fingerprints([t or ""])[0] for _, t, *_ in rows]
+    docs = [(i, t, 1, "x") for i, (_, t, *_) in enumerate(rows)]
+    class_of = dict(map(tuple, fingerprints.near_documents(frame(spark, docs)).collect()))
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if fingerprints.likeness(print_of[i], print_of[j]) >= fingerprints.LIKE]
+    found = sum(class_of[i] == class_of[j] for i, j in alike)
+    assert len(alike) > 20 and found >= 0.98 * len(alike)
+
+
+def test_links_among_join_all_alike_classes():
+    prints = fingerprints.fingerprints([t for _, t, *_ in template_rows(5) if t])
+    nodes = np.arange(len(prints)) + 100
+    pairs = {(i, j) for i in range(len(prints)) for j in range(i) if fingerprints.likeness(prints[i], prints[j]) >= 0.75}
+    for side in (np.zeros(len(prints), int), np.arange(len(prints)) % 2):
+        root = list(range(len(prints)))
+        for a, b in fingerprints.links_among(nodes, nodes, side, prints, 0.75):
+            assert (max(a, b) - 100, min(a, b) - 100) in pairs
+            root = [root[b - 100] if r == root[a - 100] else r for r in root]
+        assert all(root[i] == root[j] for i, j in pairs if not side.any() or side[i] != side[j])
+
+
+def test_near_documents_of_odd_tables(spark):
+    assert fingerprints.near_documents(frame(spark, [])).count() == 0
+    assert fingerprints.near_documents(frame(spark, [(None, "abc", 1, "x")])).count() == 0
+    rows = [(4, None, 1, "x"), (2, "", 1, "x"), (9, "q", 1, "x"), (9, "q", 1, "x")]
+    assert sorted(map(tuple, fingerprints.near_documents(frame(spark, rows)).collect())) == [(2, 2), (4, 2), (9, 9), (9, 9)]
+
+
 # --- pipeline -----------------------------------------------------------------------
 
 
