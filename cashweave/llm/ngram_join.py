@@ -44,6 +44,7 @@ from cashweave.llm.common import (
     chunks,
     discard,
     documents,
+    groups,
     in_tasks,
     mix,
     partitions,
