@@ -4,12 +4,13 @@ A candidate is a run of at least 14 letters, digits and `_-+/=`, without the nam
 `name=value`; of what is assigned to a name of `NAMES`, `LEAST_NAMED` are enough. The forest
 sees its length, character classes and the transitions between them, how much of it
 dictionary words cover, the path (the document's source) and the words around it other than
-those names; it is trained in numpy on labelled findings, at most `SAMPLE` of each label.
+those names; it is trained in numpy on labelled findings, at most `SAMPLE` of each label, and decides
+on every candidate, also on what is assigned to a name.
 
 A name counts whole or as a part of a longer one: `DB_PASSWORD`, `--api-key`, `accessKey`.
-A value is a true finding if a name stands right before it, a false one if no name is near
-and a rule says what it is: words of frequent letter pieces, no letter or digit at all, or a card
-number with its check digit. All others have no label, and the forest decides.
+A rule says what some values are: words of frequent letter pieces, no letter or digit at all, or a card
+number with its check digit. Such a value is a false finding if no name is near, or if it is assigned to
+one (a placeholder). Any other value with a name right before it is a true finding. The rest has no label.
 
 The dictionary is learned too: word pieces of `PIECE` letters, counted over all documents; the
 `DICTIONARY` most frequent ones.
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.llm.common import documents, in_tasks, restage
+from cashweave.llm.language_id import fold
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=])[A-Za-z0-9_\-+/=]{14,}(?![A-Za-z0-9_\-+/=])")
 SAMPLE, TREES, DEPTH, LEAST_LEAF = 2000, 24, 8, 4
@@ -263,24 +265,29 @@ def scan(found: DataFrame, forest: Forest) -> DataFrame:
 
 
 def weak_label(around: Column, harmless: Column | None = None) -> Column:
-    """1: a name of `NAMES` is right before the value; 0: none is near, and a rule takes it for harmless; null: not known."""
+    """1: a name of `NAMES` is right before what no rule takes for harmless; 0: harmless, and no name near or assigned to one; null: not known."""
     plain = F.col("harmless") if harmless is None else harmless
     near = F.exists(around, lambda w: w.rlike(IS_NAME))
-    return F.when(F.element_at(around, -2).rlike(IS_NAME) & ~plain, 1).when(~near & plain, 0)
+    return F.when(F.element_at(around, -2).rlike(IS_NAME) & ~plain, 1).when(plain & (~near | F.col("named")), 0)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document; findings labelled by name or rule train the forest, which decides on those without a name."""
+    """One row for each document; findings of the rows whose fold of 5 is not 0, labelled by name or rule, train the forest, which decides on all."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     found = restage(findings(docs, dictionary(docs)), "findings")[0]  # read for the counts, the sample and the scores
-    forest = fit(found, weak_label(F.col("around")))
+    forest = fit(found.where(~held_out), weak_label(F.col("around")))
+    secret = F.col("_secret") >= 0.5
     kept = scan(found, forest).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_candidates"),
-        F.sort_array(F.collect_list(F.when(F.col("named") | (F.col("_secret") >= 0.5), F.struct("start", "end", F.sha2("value", 256).alias("value_sha256"))))).alias("findings"),
+        F.count_if(F.col("named") & ~secret).alias("n_named_removed"),
+        F.sort_array(F.collect_list(F.when(secret, F.struct("start", "end", F.sha2("value", 256).alias("value_sha256"))))).alias("findings"),
     )
-    return docs.select("doc_id").join(kept, "doc_id", "left").select(
+    return docs.select("doc_id", held_out.alias("held_out")).join(kept, "doc_id", "left").select(
         "doc_id",
+        "held_out",
         F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"),
         F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_secrets"),
+        F.coalesce("n_named_removed", F.lit(0)).cast("long").alias("n_named_removed"),
         "findings",
     )

@@ -1,5 +1,6 @@
 """Language identification, toxicity, quality and secret scans: held-out accuracy and odd rows."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -191,3 +192,36 @@ def test_secrets_without_a_name_are_not_negatives(spark):
     assert label[201, "4111111111111111"] == 0 and label[201, "=" * 16] == 0
     assert found.where("value = 'antidisestablishment' and doc_id = 202 and label is not null").count() == 0
     assert all((r["named"] or r["_secret"] >= 0.5) == (r["doc_id"] <= 200) for r in got)
+
+
+def secret_corpus(n, seed=31):
+    """Rows of documents, and for each id the planted values by kind: (named, secret) -> values."""
+    rng = random.Random(seed)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    common = ["antidisestablishment", "river", "stone", "configuration", "environment", "placeholder", "documentation"]
+    rows, planted = [], {}
+    for i in range(n):
+        prose = lambda k: " ".join(rng.choice(common) for _ in range(k))
+        secret = rng.choice([draw("0123456789abcdef", 40), draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 32)])
+        plain = rng.choice(["_", "-"]).join(rng.choice(common) for _ in range(3))
+        name = rng.choice(secret_scan.NAMES)
+        kind = i % 4  # 0: named secret, 1: named placeholder, 2: secret without a name, 3: a long plain string without one
+        value = secret if kind in (0, 2) else plain
+        text = f'{prose(8)} {name} = "{value}" {prose(4)}' if kind < 2 else f"{prose(8)} {value} {prose(4)}"
+        rows.append((i, text, f"src{i % 3}"))
+        planted[i] = (kind < 2, kind in (0, 2), value)
+    return rows, planted
+
+
+def test_secret_scan_held_out_precision_and_recall_with_and_without_a_name(spark, tmp_path):
+    rows, planted = secret_corpus(600)
+    rows += [(900, None, None), (None, 'token = "0123456789abcdef0123"', "a"), (901, "", "a")]
+    frame(spark, rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secret_scan.op7_secret_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[900]["n_candidates"] == got[901]["n_candidates"] == 0
+    for named in (True, False):
+        own = [(got[i], secret, value) for i, (n, secret, value) in planted.items() if n == named and got[i]["held_out"]]
+        kept = [hashlib.sha256(value.encode()).hexdigest() in {f["value_sha256"] for f in r["findings"] or ()} for r, _, value in own]
+        caught = sum(k and secret for k, (_, secret, _) in zip(kept, own, strict=True))
+        assert len(own) > 30 and caught >= 0.95 * sum(secret for _, secret, _ in own) and caught >= 0.95 * sum(kept)
+        assert named == any(r["n_named_removed"] for r, *_ in own)  # placeholders are removed in spite of their name
