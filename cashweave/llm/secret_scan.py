@@ -129,6 +129,15 @@ def describe(value: str, path: str, around: list[str], dictionary: set[str]) ->
     return [len(value), len(value) % 4, -float((counts * np.log2(counts)).sum()), covered, hex_share, *share, *steps, *words, *where]
 
 
+def _spellings(value: str, x: np.ndarray) -> Iterator[np.ndarray]:
+    """The features of a finding as it is, and of its value in capitals and in small letters where they differ."""
+    yield x
+    for other in sorted({value.upper(), value.lower()} - {value}):
+        own = np.array(describe(other, "", [], set())[: -(1 << WORD_BITS) - (1 << PATH_BITS)], "<f4")
+        own[COVERED_AT] = x[COVERED_AT]  # the dictionary ignores case
+        yield np.concatenate((own, x[len(own) :]))
+
+
 _PART = re.compile(r"""[^\s"'`=:,;.(){}\[\]<>]+""")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NAME = re.compile(IS_NAME)
@@ -242,7 +251,10 @@ def findings(docs: DataFrame, words: set[str]) -> DataFrame:
 
 
 def fit(found: DataFrame, label: Column, per_label: int = SAMPLE) -> Forest:
-    """A forest from labelled findings: `label` is 1, 0, or null where unknown; a bounded sample of each."""
+    """A forest from labelled findings: `label` is 1, 0, or null where unknown; a bounded sample of each.
+
+    Each is also shown in capitals and in small letters, which do not change what a value is.
+    """
     known = found.withColumn("label", label.cast("int")).where(F.col("label").isin(0, 1)).select("label", "x", "value")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.create_map(*(F.lit(v) for k in (0, 1) for v in (k, int(min(1.0, per_label / counts.get(k, 1)) * (1 << 30)))))
@@ -250,7 +262,8 @@ def fit(found: DataFrame, label: Column, per_label: int = SAMPLE) -> Forest:
     rows = sorted(rows, key=lambda r: (r["value"], bytes(r["x"])))  # about `per_label` of each label
     if not rows:
         return Forest([])
-    return grow(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]), np.array([r["label"] for r in rows], float))
+    forms = [(x, r["label"]) for r in rows for x in _spellings(r["value"], np.frombuffer(r["x"], "<f4"))]
+    return grow(np.stack([x for x, _ in forms]), np.array([label for _, label in forms], float))
 
 
 def scan(found: DataFrame, forest: Forest) -> DataFrame:

@@ -225,3 +225,18 @@ def test_secret_scan_held_out_precision_and_recall_with_and_without_a_name(spark
         caught = sum(k and secret for k, (_, secret, _) in zip(kept, own, strict=True))
         assert len(own) > 30 and caught >= 0.95 * sum(secret for _, secret, _ in own) and caught >= 0.95 * sum(kept)
         assert named == any(r["n_named_removed"] for r, *_ in own)  # placeholders are removed in spite of their name
+
+
+def test_secrets_in_capitals_are_caught_if_small_ones_were_learned(spark):
+    rows, planted = secret_corpus(240, 32)
+    shouted = [(i + 1000, text.upper(), source) for i, text, source in rows if i % 4 == 0]
+    docs = frame(spark, rows + shouted, "doc_id long, text string, source string")
+    found = secret_scan.findings(docs, secret_scan.dictionary(docs))
+    forest = secret_scan.fit(found.where("doc_id < 1000"), secret_scan.weak_label(F.col("around")))
+    got = secret_scan.scan(found.where("doc_id >= 1000"), forest).collect()
+    score = {r["value"]: r["_secret"] for r in got}
+    values = [planted[i - 1000][2].upper() for i, *_ in shouted]
+    assert sum(score[v] >= 0.5 for v in values) >= 0.95 * len(values)
+    x = np.arange(5 + 4 + 16 + (1 << secret_scan.WORD_BITS) + (1 << secret_scan.PATH_BITS), dtype="<f4")
+    forms = list(secret_scan._spellings("aB1", x))
+    assert len(forms) == 3 and all(len(f) == len(x) and f[3] == x[3] and (f[25:] == x[25:]).all() for f in forms)
