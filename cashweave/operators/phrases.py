@@ -32,31 +32,33 @@ def normal(term: str) -> str:
 
 
 def terms_in(text: Column, vocabulary: Sequence[str]) -> Column:
-    """Array of (place, term): the terms found, with the number of the word that each starts at, from 1."""
+    """Array of (place, term): the terms found, with the number of the word that each starts at, from 1.
+
+    The words are bound to a lambda variable, so they are cut once a row and not at each look-up;
+    only words that begin a phrase are looked up.
+    """
     phrases = {normal(t): t for t in reversed(vocabulary)}  # of equal phrases the first term
     longest = max(len(p.split()) for p in phrases)
-    known = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
-    none = F.lit(None).cast("struct<term:string,size:int>")
+    firsts = sorted({p.split()[0] for p in phrases if p})
+    known = F.create_map(*[
+        x for p, t in phrases.items() for x in (F.lit(p), F.struct(F.lit(t).alias("term"), F.lit(len(p.split())).alias("size")))
+    ])
 
     def found(tokens: Column, at: Column) -> Column:
-        options = []
-        for size in range(longest, 0, -1):
-            term = F.try_element_at(known, F.array_join(F.slice(tokens, at, F.lit(size)), " "))
-            options.append(F.when((at + size - 1 <= F.size(tokens)) & term.isNotNull(), F.struct(term.alias("term"), F.lit(size).alias("size"))))
-        return F.coalesce(*options, none)
+        # a slice cut off by the end is a shorter phrase, whose own size counts
+        hit = F.coalesce(*[F.try_element_at(known, F.array_join(F.slice(tokens, at, F.lit(n)), " ")) for n in range(longest, 0, -1)])
+        return F.transform(F.array(hit), lambda h: F.when(h.isNotNull(), F.struct(at.alias("place"), h["term"].alias("term"), (at + h["size"]).alias("next"))))[0]
 
-    def step(tokens: Column):
-        def take(state: Column, at: Column) -> Column:
-            hit = found(tokens, at)
-            taken = F.struct((at + hit["size"]).alias("next"), F.array_append(state["found"], F.struct(at.alias("place"), hit["term"].alias("term"))).alias("found"))
-            return F.when((at < state["next"]) | hit.isNull(), state).otherwise(taken)
+    def starts(tokens: Column) -> Column:
+        hits = F.transform(tokens, lambda word, i: F.when(word.isin(firsts), found(tokens, i + 1)))
+        return F.filter(hits, lambda h: h.isNotNull())
 
-        return take
+    def take(state: Column, hit: Column) -> Column:
+        taken = F.struct(hit["next"].alias("next"), F.array_append(state["found"], F.struct(hit["place"].alias("place"), hit["term"].alias("term"))).alias("found"))
+        return F.when(hit["place"] < state["next"], state).otherwise(taken)
 
-    tokens = words(text)
     empty = F.struct(F.lit(1).alias("next"), F.lit([]).cast("array<struct<place:int,term:string>>").alias("found"))
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.lit([]).cast("array<int>"))
-    return F.aggregate(places, empty, step(tokens), lambda s: s["found"])
+    return F.transform(F.array(words(text)), lambda tokens: F.aggregate(starts(tokens), empty, take, lambda s: s["found"]))[0]
 
 
 def question_metrics(questions: DataFrame, text: str = "question") -> DataFrame:

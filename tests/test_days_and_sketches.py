@@ -1,6 +1,7 @@
 """Aging of every day, spells at risk, calendar burn, as-of balances, rollup, sketches, phrases, stored checks."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -165,6 +166,31 @@ def test_longest_phrases(spark, text, want):
     assert [r["term"] for r in got] == want and all(r["metric"] for r in got)
 
 
+def plain_terms(text, vocabulary):
+    """The terms of a text without accents, word by word in Python."""
+    tokens = phrases.normal(text or "").split()
+    known = {phrases.normal(t): t for t in reversed(vocabulary)}
+    out, at = [], 0
+    while at < len(tokens):
+        size = next((n for n in range(len(tokens) - at, 0, -1) if " ".join(tokens[at : at + n]) in known), 0)
+        if size:
+            out.append((at + 1, known[" ".join(tokens[at : at + size])]))
+        at += max(size, 1)
+    return out
+
+
+def test_words_are_cut_once_a_row_and_terms_equal_a_plain_search(spark):
+    vocabulary = ["a", "a b", "b c", "a b c d", "c", "d a", "A-B", "c c", "a", "revenues", "x revenue"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "A-b", "revenue", "x", "Revenues!", "é"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "a b", "a b c"])], "i int, text string")
+    found = rows.select("i", "text", phrases.terms_in(F.col("text"), vocabulary).alias("found"))
+    for r in found.collect():
+        assert [tuple(x) for x in r["found"]] == plain_terms(r["text"], vocabulary), r["text"]
+    plan = phrases.question_metrics(rows.withColumnRenamed("text", "question"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a copy at each look-up cut the words some hundred times a row
+
+
 # --- checks over written tables -----------------------------------------------------
 
 
