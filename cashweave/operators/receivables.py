@@ -98,7 +98,9 @@ def match_first_in_first_out(invoices: DataFrame, payments: DataFrame) -> DataFr
     Ranks are kept as runs per day: a run is cut at k = min(invoices, payments),
     and the paid days are the first k payment days minus the first k invoice
     days. A window holds at most one row per calendar day, however many rows
-    share the amount.
+    share the amount. The totals of an amount are read off its last day: they
+    come sorted from the windows, and grouping them again would hold two hash
+    tables of nearly all rows in each task.
     """
     runs = (
         _stacked(invoices, payments)
@@ -106,7 +108,8 @@ def match_first_in_first_out(invoices: DataFrame, payments: DataFrame) -> DataFr
         .agg(F.sum("invoices").alias("n"), F.sum("payments").alias("m"))
     )
     whole = Window.partitionBy(*PAIR)
-    so_far = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_day = whole.orderBy("day")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     k = F.when(
         F.col("amount").isNotNull(), F.least(F.sum("n").over(whole), F.sum("m").over(whole))
     ).otherwise(0)
@@ -114,6 +117,7 @@ def match_first_in_first_out(invoices: DataFrame, payments: DataFrame) -> DataFr
         *PAIR, "day", "n", "m",
         F.sum("n").over(so_far).alias("n_end"),
         F.sum("m").over(so_far).alias("m_end"),
+        F.lead("n").over(by_day).isNull().alias("is_last"),
         k.alias("k"),
     )
 
@@ -121,17 +125,16 @@ def match_first_in_first_out(invoices: DataFrame, payments: DataFrame) -> DataFr
         return F.least(F.col(end), F.col("k")) - F.least(F.col(end) - F.col(size), F.col("k"))
 
     day = F.unix_date("day").cast(WIDE)
+    paid_days = day * (inside("m_end", "m") - inside("n_end", "n")).cast(WIDE)
     pairs = (
-        ranked.groupBy(*PAIR)
-        .agg(
-            F.sum("n").alias("matched_rows"),
-            F.max("k").alias("paid_pairs"),
-            F.sum(
-                day * (inside("m_end", "m") - inside("n_end", "n")).cast(WIDE)
-            ).alias("days"),
-            F.max(F.when(F.col("n") > 0, F.col("day"))).alias("last_invoice_date"),
+        ranked.select(
+            "tenant_id", "customer_id", "amount", "is_last",
+            F.col("n_end").alias("matched_rows"),
+            F.col("k").alias("paid_pairs"),
+            F.sum(paid_days).over(whole).alias("days"),
+            F.max(F.when(F.col("n") > 0, F.col("day"))).over(whole).alias("last_invoice_date"),
         )
-        .where(F.col("matched_rows") > 0)
+        .where(F.col("is_last") & (F.col("matched_rows") > 0))
         .withColumn(
             "open_amount",
             (F.col("matched_rows") - F.col("paid_pairs")).cast(WIDE) * F.col("amount"),

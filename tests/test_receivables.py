@@ -124,6 +124,22 @@ def test_one_hot_amount_makes_no_pairs(spark):
     assert (fifo["invoice_count"], int(fifo["days"])) == (n, 7 * n)
 
 
+def test_totals_of_an_amount_are_read_off_its_last_day(spark):
+    rows = [("A", "c", "2024-01-01", 5), ("A", "c", "2024-01-01", 5), ("A", "c", "2024-01-09", 5), ("A", "c", "2024-01-03", None),
+            ("A", None, "2024-01-02", 7), ("A", "d", "2024-01-02", 8)]
+    inv = invoices(spark, rows).unionByName(invoices(spark, [("A", "c", "2024-01-01", 6)]).selectExpr("tenant_id", "customer_id", "CAST(NULL AS DATE) AS invoice_date", "total_amount"))
+    pay = payments(spark, [("A", "c", "2024-01-04", 5), ("A", "c", "2024-02-01", 5), ("A", "c", "2024-02-01", None), ("A", None, "2024-01-05", 7),
+                           ("A", "d", "2024-01-03", 9), ("A", "c", "2024-01-07", 6)])
+    matched = ar.match_first_in_first_out(inv, pay)
+    got = {r["customer_id"]: (r["invoice_count"], r["outstanding_ar"], int(r["paid_pairs"]), int(r["days"]), r["last_invoice_date"]) for r in matched.collect()}
+    six = (day("2024-01-07") - day("1970-01-01")).days  # an invoice without a day adds nothing
+    assert got == {"c": (5, 5, 3, 3 + 31 + six, day("2024-01-09")), None: (1, 0, 1, 3, day("2024-01-02")), "d": (1, 8, 0, 0, day("2024-01-02"))}
+    # above the windows only customers are grouped; amounts were two hash tables of nearly all rows in each task
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Window")]
+    assert above.count("Aggregate") == 1 and "amount" not in above[above.index("Aggregate") :].split("]")[0]
+
+
 def test_settle_and_age(spark):
     inv = invoices(spark, [("A", "c", "2024-01-01", 100), ("A", "c", "2024-02-01", 100),
                            ("A", "c", "2024-03-01", 100), ("A", "d", "2024-01-01", 50), ("A", "d", "2024-05-30", 7),
