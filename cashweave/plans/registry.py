@@ -15,7 +15,7 @@ from cashweave.operators import aging, as_of, boosted, cash, clean, features, fo
 from cashweave.operators import receivables as ar
 from cashweave.operators import sales
 from cashweave.plans import answers
-from cashweave.session import checkpointed
+from cashweave.session import checkpointed, written
 from cashweave.sources.star_tables import END, StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,16 +577,21 @@ def quality_report(t):
 
 
 def stored_tables(t):
-    """Silver and Gold as a refresh writes them: Gold is computed from written Silver, and both are read back."""
-    written = {f"silver_{name}": checkpointed(df) for name, df in {
-        "products": t.products, "customers": t.customers, "sales_transactions": t.sales().drop("delay_days"),
-        "cash_ledger": t.ledger, "daily_cash_position": t.position,
-    }.items()}
-    lines, entries, customers = (written[f"silver_{n}"] for n in ("sales_transactions", "cash_ledger", "customers"))
-    written["gold_cash_position"] = checkpointed(cash.burn_runway(written["silver_daily_cash_position"]))
-    written["gold_product_performance"] = checkpointed(products.product_performance(written["silver_products"], lines))
-    written["gold_customer_receivables"] = checkpointed(ar.receivables(lines, entries, customers, "invoice"))
-    return written
+    """Silver and Gold as a refresh writes them: Gold is computed from written Silver, and both are read back.
+
+    Sales lines are joined once; ledger and position follow from what is written.
+    """
+    sold = written(t.sales())
+    t.party_totals = written(ledger.daily_party_totals(sold, "delay_days"))
+    lines, entries, customers, listed = sold.drop("delay_days"), written(t.ledger), written(t.customers), written(t.products)
+    position = written(cash.daily_position(entries, t.spans))
+    return {
+        "silver_products": listed, "silver_customers": customers, "silver_sales_transactions": lines,
+        "silver_cash_ledger": entries, "silver_daily_cash_position": position,
+        "gold_cash_position": written(cash.burn_runway(position)),
+        "gold_product_performance": written(products.product_performance(listed, lines)),
+        "gold_customer_receivables": written(ar.receivables(lines, entries, customers, "invoice")),
+    }
 
 
 @query

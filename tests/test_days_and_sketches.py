@@ -213,3 +213,27 @@ def test_a_corrupted_table_fails_its_check(spark):
         silver, key = tables[f"silver_{name}"], SOURCES[name].key[1]
         changed[f"silver_{name}"] = silver.unionByName(silver).unionByName(silver.withColumn(key, F.lit(None).cast(silver.schema[key].dataType)))
     assert {f"{name}_{check}" for name in SOURCES for check in ("key", "required")} <= report(**changed) - before
+
+
+def test_stored_tables_join_sales_once_and_are_read_by_column(spark, tmp_path):
+    rows = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows([(0, "n0"), (1, "n1")], "n_nationkey int, n_name string", "nation")
+    rows([(1, "c1", 0, -5.0, "BUILDING"), (2, "c2", 1, 9.0, "HOUSEHOLD"), (3, "c3", 0, None, None), (None, "c4", 1, 1.0, "MACHINERY")],
+         "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", "customer")
+    rows([(i, 1 + i % 3, dt.datetime(1997, 1, 1) + dt.timedelta(days=40 * i)) for i in range(9)] + [(9, 2, None), (10, None, dt.datetime(1998, 1, 1))],
+         "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", "orders")
+    line = [(i, 1 + (i + j) % 4, 1, j, 2.0, 10.0 * i + j, dt.datetime(1998, 1, 1)) for i in range(11) for j in range(3)]
+    rows([*line, *line[:7], (3, 2, 1, 9, 0.0, None, None)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+         "l_extendedprice double, l_shipdate timestamp_ntz", "lineitem")
+    rows([(i, f"p{i}", "PROMO", i, 9.5) for i in range(1, 5)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double", "part")
+    t, calls = StarTables(spark, str(tmp_path)), []
+    t.sales = lambda *period: calls.append(period) or StarTables.sales(t, *period)
+    tables = registry.stored_tables(t)
+    assert len(calls) == 1
+    assert all(df.inputFiles() for df in tables.values())
+    plain = StarTables(spark, str(tmp_path))
+    for name, want in {"products": plain.products, "customers": plain.customers, "sales_transactions": plain.sales().drop("delay_days"),
+                       "cash_ledger": plain.ledger, "daily_cash_position": plain.position}.items():
+        got = tables[f"silver_{name}"]
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
