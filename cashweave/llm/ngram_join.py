@@ -11,7 +11,8 @@ connected component.
    order gives the same result, a rare-first one gives few candidates.
 3. Linked sets share a shingle among their first n - ceil(n * percent / 100) + 1. Those
    prefixes are grouped by shingle. Where few sets hold it, pairs of compatible sizes are
-   counted, and pairs whose count leaves too small an overlap go. Where many do, neighbours
+   counted, and pairs whose count, or whose places of the last shingle in common, leave too
+   small an overlap go. Where many do, neighbours
    in size are chained; of such a shingle a batch sends one row on for each size class, so
    one that a third of all documents hold leaves each task as a few rows. What remains
    makes candidate families.
@@ -55,8 +56,9 @@ from cashweave.llm.common import (
 from cashweave.llm.components import components
 
 SIZE, PERCENT = 5, 75
-COUNTERS, MOST_COUNTERS, BLOCK_COUNTERS, COUNTED_BYTES = 1 << 18, 1 << 24, 1 << 10, 1 << 30
-BLOCK_SETS, RUN, POSTINGS = 4096, 32, 500_000
+COUNTERS, MOST_COUNTERS, BLOCK_COUNTERS, COUNTED_BYTES = 1 << 20, 1 << 24, 1 << 12, 1 << 30
+BLOCK_SETS, RUN, POSTINGS = 4096, 128, 500_000
+LEVELS = 192
 _LONG = (1 << 32) - 1  # stands for a size: the shingle's run is long
 _WORD = table(outside=SPACE)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -123,7 +125,7 @@ def describe(docs: DataFrame, size: int = SIZE) -> DataFrame:
     wide = counters_for(_bytes(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(wide, np.int64)
+        counters = np.zeros(wide, np.int32)
         names = ["doc_id", "n", "sid", "block", "counts"]
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
@@ -160,13 +162,24 @@ def _add(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def frequency_ranks(described: DataFrame) -> np.ndarray:
-    """Eighths of an octave of each counter: one byte each."""
+    """The order of the counters in one byte each, see `levels`."""
     rows = described.where(F.col("block").isNotNull()).select((F.monotonically_increasing_id() % 64).cast("int").alias("salt"), "block", "counts")
     cells = {row["block"]: row["counts"] for row in _add(_add(rows, "salt", "block"), "block").collect()}
     totals = np.zeros((max(cells, default=0) + 1, BLOCK_COUNTERS), np.int64)
     for block, counts in cells.items():
         totals[block] = np.frombuffer(counts, "<i8")
-    return np.minimum(255, np.rint(8 * np.log2(totals.reshape(-1) + 1))).astype(np.uint8)
+    return levels(totals.reshape(-1))
+
+
+def levels(totals: np.ndarray) -> np.ndarray:
+    """Counters as `LEVELS` quantiles, then quarters of an octave.
+
+    Each counter holds many rare shingles, so the totals lie close together, and what a shingle of some
+    hundred documents adds is a few hundredths. Quantiles tell it from the rare ones, however large the totals.
+    """
+    low = np.sort(totals)[np.arange(1, LEVELS) * len(totals) // LEVELS]
+    high = max(1, int(low[-1])) * 2.0 ** (np.arange(1, 257 - LEVELS) / 4)
+    return np.searchsorted(np.concatenate((low, high)), totals).astype(np.uint8)
 
 
 def ordered(owner: np.ndarray, value: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +224,42 @@ def _class(n: np.ndarray, percent: int) -> np.ndarray:
     return (np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64)
 
 
-def _runs(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Postings sorted by shingle, size, set, each once, with the first place and the length of each one's run."""
+def _runs(key: np.ndarray, n: np.ndarray, sid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings sorted by shingle, size, set, each once, with the number and the length of each one's run."""
     order = np.lexsort((sid, n, key))
-    key, n, sid = key[order], n[order], sid[order]
+    key, n, sid, at = key[order], n[order], sid[order], at[order]
     once = np.ones(len(key), bool)
     once[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-    key, n, sid = key[once], n[once], sid[once]
+    key, n, sid, at = key[once], n[once], sid[once], at[once]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
-    return key, n, sid, run, np.diff(np.append(first, len(key)))
+    return key, n, sid, at, run, np.diff(np.append(first, len(key)))
+
+
+def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - (n * percent + 99) // 100 + 1
+
+
+def _pairs(n: np.ndarray, sid: np.ndarray, place: np.ndarray, run: np.ndarray, length: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of a, b, their sizes, how many of the runs hold both, and the last place of such a run in each."""
+    out = [np.empty((6, 0), np.int64)]
+    d, most = 1, int(length.max(initial=0))
+    while d < most:
+        if d & (d - 1) == 0:  # shorter runs have no two sets that far apart
+            on = length[run] > d
+            n, sid, place, run = n[on], sid[on], place[on], run[on]
+        i = np.flatnonzero((run[d:] == run[:-d]) & (n[:-d] * 100 >= n[d:] * percent))
+        out.append(np.stack([sid[i], sid[i + d], n[i], n[i + d], place[i], place[i + d]]))
+        d += 1
+    rows = np.concatenate(out, 1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    last = np.maximum.reduceat(rows[4:], first, axis=1) if len(first) else rows[4:]
+    return np.concatenate((rows[:4, first], np.diff(np.append(first, rows.shape[1]))[None], last))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, Union]:
@@ -247,8 +284,9 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
 
     A pair of sets with c shingles in common in their prefixes has at most
     c + max(prefix rest of the smaller, prefix rest of the larger or the smaller whole) in common
-    altogether. Pairs are counted in the runs of at most `RUN` sets, with at most
-    RUN / 2 rows for a posting; the sets of a longer run are chained whatever they share.
+    altogether; and of the shingles up to the last common one, all but c stand in one set alone.
+    Places are sent as 256ths of the prefix, rounded down. Pairs are counted in the runs of at most
+    `RUN` sets, with at most RUN / 2 rows for a posting; the sets of a longer run are chained whatever they share.
     """
     spark = docs.sparkSession
     total = described.agg(F.sum("n")).first()[0] or 0
@@ -264,10 +302,11 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
                 sizes, sid = digests(owner, value, high - low)
                 owner, key = ordered(owner, value, shared.value)
                 start = np.concatenate(([0], np.cumsum(sizes)))
-                prefix = sizes - (sizes * percent + 99) // 100 + 1
-                first = np.arange(len(owner)) - start[owner] < prefix[owner]
-                owner, key = owner[first], key[first]
-                held.append((key, sizes[owner], sid[owner]))
+                prefix = _prefix(sizes, percent)
+                place = np.arange(len(owner)) - start[owner]
+                first = place < prefix[owner]
+                owner, key, place = owner[first], key[first], place[first]
+                held.append((key, sizes[owner], sid[owner], (place * 256 // prefix[owner]).astype(np.uint8)))
                 size_held += len(key)
                 if size_held > POSTINGS:
                     yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -275,11 +314,11 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
             if held:
                 yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def flush(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-        key, n, sid, run, length = _runs(key, n, sid)
+    def flush(key: np.ndarray, n: np.ndarray, sid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        key, n, sid, at, run, length = _runs(key, n, sid, at)
         long = length[run] > RUN
-        at = _chained(run, n, long, percent)
-        stars, _ = _stars(sid[at - 1], sid[at])
+        next_ = _chained(run, n, long, percent)
+        stars, _ = _stars(sid[next_ - 1], sid[next_])
         # of a long run one posting for each size class goes on, and a mark that it is long
         cls = _class(n, percent)
         stays = np.ones(len(key), bool)
@@ -288,9 +327,10 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
         key = np.concatenate((key[stays], marks))
         n = np.concatenate((n[stays], np.full(len(marks), _LONG)))
         sid = np.concatenate((sid[stays], np.zeros(len(marks), np.int64)))
+        at = np.concatenate((at[stays], np.zeros(len(marks), np.uint8)))
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        key, n, sid, bucket = key[order], n[order], sid[order], bucket[order]
+        key, n, sid, at, bucket = key[order], n[order], sid[order], at[order], bucket[order]
         star_bucket = (stars[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(star_bucket, kind="stable")
         stars, star_bucket = stars[:, order], star_bucket[order]
@@ -301,40 +341,37 @@ def families(docs: DataFrame, described: DataFrame, ranks: np.ndarray, size: int
             [key[a:b].astype("<u8").tobytes() for a, b in zip(low, high, strict=True)],
             [n[a:b].astype("<u4").tobytes() for a, b in zip(low, high, strict=True)],
             [sid[a:b].astype("<i8").tobytes() for a, b in zip(low, high, strict=True)],
+            [at[a:b].tobytes() for a, b in zip(low, high, strict=True)],
             [np.ascontiguousarray(stars[:, a:b]).astype("<i8").tobytes() for a, b in zip(slow, shigh, strict=True)],
         ]
-        return pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "key", "n", "sid", "stars"])
+        return pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "key", "n", "sid", "at", "stars"])
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, "<u8") for x in part["key"]])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in part["n"]]).astype(np.int64)
         sid = np.concatenate([np.frombuffer(x, "<i8") for x in part["sid"]])
+        at = np.concatenate([np.frombuffer(x, np.uint8) for x in part["at"]]).astype(np.int64)
         given = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in part["stars"]], axis=1)
-        marked = np.unique(key[n == _LONG])
-        key, n, sid, run, length = _runs(key[n != _LONG], n[n != _LONG], sid[n != _LONG])
+        marked, own = np.unique(key[n == _LONG]), n != _LONG
+        key, n, sid, at, run, length = _runs(key[own], n[own], sid[own], at[own])
         long = (length[run] > RUN) | np.isin(key, marked)
-        at = _chained(run, n, long, percent)
-        stars, union = _stars(np.concatenate((given[0], sid[at - 1])), np.concatenate((given[1], sid[at])))
+        next_ = _chained(run, n, long, percent)
+        stars, _ = _stars(np.concatenate((given[0], sid[next_ - 1])), np.concatenate((given[1], sid[next_])))
         keep = ~long & (length[run] > 1)
-        n, sid, run = n[keep], sid[keep], run[keep]
-        out = [np.empty((0, 4), np.int64)]
-        for d in range(1, min(RUN, len(run))):
-            i = np.flatnonzero((run[d:] == run[:-d]) & (n[:-d] * 100 >= n[d:] * percent))
-            if not len(i):
-                continue
-            out.append(np.stack([sid[i], sid[i + d], n[i], n[i + d]], 1))
-        pairs, count = np.unique(np.concatenate(out), axis=0, return_counts=True)
-        pairs = np.concatenate((pairs, np.stack([stars[0], stars[1], stars[0] * 0, stars[0] * 0], 1)))
-        count = np.concatenate((count, np.full(stars.shape[1], _LONG)))
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "c": count})
-
-    sent = in_tasks(docs.select("text"), send, "bucket int, key binary, n binary, sid binary, stars binary")
-    met = sent.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, c long")
+        place = -(-at[keep] * _prefix(n[keep], percent) // 256)
+        pairs = _pairs(n[keep], sid[keep], place, run[keep], length, percent)
+        linked = np.zeros((7, stars.shape[1]), np.int64)
+        linked[:2], linked[4] = stars, _LONG
+        return pd.DataFrame(dict(zip(["a", "b", "na", "nb", "c", "ia", "ib"], np.concatenate((pairs, linked), 1), strict=True)))
+
+    sent = in_tasks(docs.select("text"), send, "bucket int, key binary, n binary, sid binary, at binary, stars binary")
+    met = sent.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, c long, ia long, ib long")
     # of a pair the smaller set comes first; equal sizes in the order of their ids
-    met = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
+    met = met.groupBy("a", "b").agg(*(F.max(x).alias(x) for x in ("na", "nb", "ia", "ib")), F.sum("c").alias("c"))
     rest_a, rest_b = (F.ceil(F.col(x) * percent / 100) - 1 for x in ("na", "nb"))
-    most = F.col("c") + F.greatest(rest_a, F.least(rest_b, F.col("na")))
-    return components(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+    alone_a, alone_b = (F.col(x) + 1 - F.col("c") for x in ("ia", "ib"))
+    most = F.least(F.col("c") + F.greatest(rest_a, F.least(rest_b, F.col("na"))), F.col("na") - alone_a, F.col("nb") - alone_b)
+    return components(met.where((F.col("c") >= _LONG) | (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select("a", "b"))
 
 
 # --- the prefix tree --------------------------------------------------------------

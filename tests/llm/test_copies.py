@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from cashweave.llm import components, ngram_join, suffix_dedup
+from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -228,3 +229,57 @@ def test_prefix_tree_reads_a_shared_beginning_once():
     assert len(tree.similar(sets[0])) == 50 and tree.visited == tree.size
     tree.alive[:49] = False
     assert tree.items[tree.similar(sets[0])].tolist() == [tree.items[49]]
+
+
+def test_families_leave_out_sets_that_share_too_little(spark):
+    """A common shingle makes no family, neither if many sets hold it nor if its place says that too much stands before it."""
+    rng = random.Random(8)
+    common = words(rng, 5)
+    hub = [f"{words(rng, 60)} {common} {words(rng, 60)}" for _ in range(100)]
+    halves = []
+    for _ in range(300):  # 75 and 100 shingles, one in common: the smaller set would have to be all in the larger one
+        passage = words(rng, 5)
+        halves += [f"{words(rng, 37)} {passage} {words(rng, 37)}", f"{words(rng, 49)} {passage} {words(rng, 50)}"]
+    near = words(rng, 80).split()
+    texts = [*hub, *halves, " ".join(near), " ".join([*near[:-1], "zzzz"])]
+    docs = frame(spark, [(i, t, 1, "s") for i, t in enumerate(texts)])
+    described = ngram_join.describe(docs).where("block is null").select("doc_id", "n", "sid").cache()
+    at = 1 << 16
+    ranks = np.ones(at, np.uint8)  # the hub's shingle first, all others by their hashes
+    raw = common.encode()
+    _, value = ngram_join.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    ranks[int(value[0]) & (at - 1)] = 0
+    found = {r["node"] for r in ngram_join.families(docs, described, ranks, 5, 75).collect()}
+    ids = {r["sid"]: r["doc_id"] for r in described.collect()}
+    held = {ids[x] for x in found}
+    assert {len(texts) - 2, len(texts) - 1} <= held
+    assert not held & set(range(len(hub)))
+    assert len(held) < 30  # 152 by counts alone; a passage right at the smaller set's start can still be of a whole copy
+
+
+def test_order_tells_common_shingles_from_rare_ones_however_many_share_a_counter():
+    rng = np.random.default_rng(4)
+    totals = rng.poisson(4000, 1 << 16)
+    totals[:500] += 400  # less than an eighth of an octave
+    ranks = ngram_join.levels(totals)
+    assert ranks[:500].min() > np.quantile(ranks[500:], 0.9)
+    order = np.argsort(totals, kind="stable")
+    assert (np.diff(ranks[order].astype(int)) >= 0).all()
+    assert len(np.unique(ngram_join.levels(np.arange(40)))) > 20
+
+
+def test_staged_results_give_their_shuffles_back(spark):
+    import time
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for x in blocks.mkString(" ").split() if x.startswith("shuffle_")}
+
+    before = shuffled()
+    staged = ngram_join.restage(spark.range(2000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "shuffles")[0]
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert staged.count() == 100
