@@ -10,9 +10,12 @@ cannot hold a row of the result, so the result equals brute force whatever the c
 
 The codebooks are fitted on a sample of at most `SAMPLE` rows; assignment, radii and index
 cover all rows. A round visits the cells up to a number of rows; its scores raise the lower
-ends of the windows, and the next round skips the cells under them. Cells are cut into
-parts of `PART_ROWS` rows and the anchors that ask for a cell into parts of `PART_ANCHORS`,
-so a task holds one of each, also if one vector is a third of all rows.
+ends of the windows, and the next round skips the cells under them. Neighbouring cells are
+put together into bins of at most `PART_ROWS` rows, larger cells are cut into parts of that many;
+an anchor goes once to each bin with a cell that it visits, with a mark for each such cell. The
+anchors that ask for a bin are cut into parts of `PART_ANCHORS`, so a task holds one of each, also
+if one vector is a third of all rows. Askings leave a task `ASKS` at a time, however many cells an
+anchor visits.
 
 Components become floor(256 x) and are held to +-2^25, so that scores fit a long. Defined
 cases: rows with null label, null vector or a null or non-finite component take no part;
@@ -30,14 +33,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from cashweave.llm.common import Batches, in_tasks, restage
+from cashweave.llm.common import Batches, discard, in_tasks, partitions, restage
 
 SAMPLE, LLOYD = 8192, 8
 ROWS_PER_CELL, MOST_CODEWORDS = 256, 64
-PART_ROWS, PART_ANCHORS, CHUNK = 4096, 2048, 256
+PART_ROWS, PART_ANCHORS, CHUNK, ASKS = 4096, 16_384, 256, 2048
 # A round ends before the cell that the rows of the cells before it reach this many.
 ROUNDS = (0, 4096, 65_536, math.inf)
 LARGEST = 1 << 25
@@ -112,10 +115,43 @@ class Cells:
     counts: np.ndarray  # by cell: first half's codeword * codewords of the second half + second's
 
 
+@dataclass(frozen=True)
+class Bins:
+    """Runs of cells, by their numbers."""
+
+    of: np.ndarray  # by cell: its bin
+    first: np.ndarray  # by bin: its first cell
+    parts: np.ndarray  # by bin: its parts; several where one cell is a bin by itself
+
+    def number(self, cell: Column) -> Column:
+        return F.element_at(F.lit(self.of.tolist()), (cell + 1).cast("int")).cast("long")
+
+    def part(self, row: Column, number: Column) -> Column:
+        return F.pmod(F.xxhash64(row), F.element_at(F.lit(self.parts.tolist()), (number + 1).cast("int")).cast("long"))
+
+    def marks(self, cells: list[int]) -> list[tuple[int, bytes]]:
+        """(bin, a bit for each of its cells) of the bins that hold one of these cells."""
+        cells = np.sort(np.array(cells, np.int64))
+        numbers, starts = np.unique(self.of[cells], return_index=True)
+        return [(int(b), np.packbits(np.bincount(own - self.first[b]) > 0).tobytes()) for b, own in zip(numbers, np.split(cells, starts[1:]))]
+
+
+def bins(counts: np.ndarray) -> Bins:
+    of, first, held = np.zeros(len(counts), np.int64), [], []
+    for cell, n in enumerate(counts.tolist()):
+        if not held or held[-1] + n > PART_ROWS:
+            first.append(cell)
+            held.append(0)
+        held[-1] += n
+        of[cell] = len(first) - 1
+    return Bins(of, np.array(first, np.int64), np.maximum(1, -(-np.array(held, np.int64) // PART_ROWS)))
+
+
 @dataclass(frozen=True)
 class Index:
-    rows: DataFrame  # _row, vec_id, label, v, _cell, _part
+    rows: DataFrame  # _row, vec_id, label, v, _cell, _bin, _part
     cells: Cells
+    bins: Bins
 
 
 def build(vectors: DataFrame, seed: int = 0) -> Index | None:
@@ -155,10 +191,9 @@ def build(vectors: DataFrame, seed: int = 0) -> Index | None:
         counts[c["_cell"]] = c["n"]
         i, j = divmod(c["_cell"], others)
         radii[0][i], radii[1][j] = max(radii[0][i], c["r1"]), max(radii[1][j], c["r2"])
-    parts = (counts + PART_ROWS - 1) // PART_ROWS
-    split = F.pmod(F.xxhash64("_row"), F.element_at(F.lit([int(max(1, p)) for p in parts]), (F.col("_cell") + 1).cast("int")))
-    rows = placed.select("_row", "vec_id", "label", "v", "_cell", split.alias("_part"))
-    return Index(rows, Cells(width, books, radii, counts))
+    runs = bins(counts)
+    rows = placed.select("_row", "vec_id", "label", "v", "_cell").withColumn("_bin", runs.number(F.col("_cell")))
+    return Index(rows.withColumn("_part", runs.part(F.col("_row"), F.col("_bin"))), Cells(width, books, radii, counts), runs)
 
 
 # --- visits -----------------------------------------------------------------
@@ -201,34 +236,44 @@ def visited(cells: Cells, q: np.ndarray, low: int, high: int, start: float, end:
         before += cells.counts[cell]
 
 
-def best_in_part(rows: pa.Table, asks: pa.Table, width: int, k: int, same: bool) -> pa.Table:
-    """For each ask and window the k best of a part's rows; ties by id, then row."""
+NOTHING = pa.table({"_anchor": pa.array([], pa.int64()), "_w": pa.array([], pa.int32()), "score": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "_row": pa.array([], pa.int64())})
+
+
+def best_in_part(rows: pa.Table, asks: pa.Table, width: int, k: int, same: bool, first: int) -> pa.Table:
+    """For each ask and window the k best of a part's rows in the cells asked for, of which `first` has the first mark; ties by id, then row."""
     ids = rows.column("vec_id").combine_chunks()
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     order = np.lexsort((rows.column("_row").to_numpy(), ids.fill_null(0).to_numpy(), ~known))
     rows = rows.take(pa.array(order))
     x = unpacked(rows.column("v"), width)
-    label, row = rows.column("label").to_numpy(), rows.column("_row").to_numpy()
+    label, row, cell = (rows.column(c).to_numpy() for c in ("label", "_row", "_cell"))
     asking, asking_label = asks.column("_anchor").to_numpy(), asks.column("label").to_numpy()
     lows, highs = asks.column("lows").to_pylist(), asks.column("highs").to_pylist()
+    marks = asks.column("_marks").to_pylist()
     q = unpacked(asks.column("v"), width)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * width < 2**53
-    kind = np.float64 if exact else np.int64
+    # sums of whole numbers are exact in any order up to `room`
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * width
+    kind, room = (np.float32, 1 << 24) if largest < 1 << 24 else (np.float64, 1 << 53) if largest < 1 << 53 else (np.int64, FAR)
     columns = x.T.astype(kind)
     found = []
     for at in range(0, len(asking), CHUNK):
         part = slice(at, at + CHUNK)
-        scores = (q[part].astype(kind) @ columns).astype(np.int64)
-        fits = (asking_label[part, None] == label) == same
+        scores = q[part].astype(kind) @ columns
+        marked = np.zeros((len(scores), max(int(cell.max()) - first + 1, 8 * max(map(len, marks[part])))), bool)
+        for r, m in enumerate(marks[part]):
+            marked[r, : 8 * len(m)] = np.unpackbits(np.frombuffer(m, np.uint8))
+        fits = marked[:, cell - first]
+        fits &= (asking_label[part, None] == label) == same
         fits &= asking[part, None] != row
         for w in range(max(map(len, lows[part]))):
-            low = np.array([x[w] if len(x) > w else FAR for x in lows[part]])[:, None]
-            high = np.array([x[w] if len(x) > w else -FAR for x in highs[part]])[:, None]
-            kept = np.where(fits & (scores >= low) & (scores <= high), scores, -FAR)
-            if kept.shape[1] > k:
-                kept[kept < np.partition(kept, -k, axis=1)[:, -k, None]] = -FAR
-            a, b = np.nonzero(kept > -FAR)
-            s = kept[a, b]
+            low = np.array([max(x[w], -room) if len(x) > w else room for x in lows[part]], kind)[:, None]
+            high = np.array([min(x[w], room) if len(x) > w else -room for x in highs[part]], kind)[:, None]
+            inside = fits & (scores >= low) & (scores <= high)
+            if scores.shape[1] > k and np.count_nonzero(inside) > 4 * k * len(scores):
+                kept = np.where(inside, scores, -room)
+                inside &= scores >= np.partition(kept, -k, axis=1)[:, -k, None]
+            a, b = np.nonzero(inside)
+            s = scores[a, b].astype(np.int64)
             order = np.lexsort((b, -s, a))
             a, b, s = a[order], b[order], s[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -239,6 +284,20 @@ def best_in_part(rows: pa.Table, asks: pa.Table, width: int, k: int, same: bool)
     return pa.table({"_anchor": a, "_w": w, "score": s, "vec_id": rows.column("vec_id").take(taken), "_row": row[b]})
 
 
+def asked_for(batch: pa.RecordBatch, cells: Cells, runs: Bins, start: float, end: float) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor of a batch and bin that it visits in a round, `ASKS` rows or one anchor's at a time."""
+    q = unpacked(batch.column("v"), cells.width)
+    lows, highs = batch.column("lows").to_pylist(), batch.column("highs").to_pylist()
+    held: list[tuple[int, int, bytes]] = []
+    for r in range(len(q)):
+        held += [(r, *m) for m in runs.marks(list(visited(cells, q[r], min(lows[r]), max(highs[r]), start, end)))]
+        if held and (len(held) >= ASKS or r + 1 == len(q)):
+            at, number, marks = zip(*held, strict=True)
+            out = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(number, pa.int64()), pa.array(marks, pa.binary())], names=[*batch.schema.names, "_bin", "_marks"])
+            held = []
+
+
 def search(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, k: int = K) -> DataFrame:
     """(_anchor, _w, score, vec_id, _row, _rank): the k best rows of each window, of the anchor's label or of others.
 
@@ -246,7 +305,7 @@ def search(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, k:
     """
     kept = "_anchor long, _w int, score long, vec_id long, _row long"
     order = Window.partitionBy("_anchor", "_w").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "_row")
-    cells, best = index.cells, None
+    spark, cells, runs, best = anchors.sparkSession, index.cells, index.bins, None
     for start, end in zip(ROUNDS, ROUNDS[1:]):
         now = windows
         if best is not None:
@@ -257,42 +316,42 @@ def search(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, k:
 
         def visits(batches: Batches) -> Batches:
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                q = unpacked(batch.column("v"), cells.width)
-                lows, highs = batch.column("lows").to_pylist(), batch.column("highs").to_pylist()
-                goes = [list(visited(cells, q[r], min(lows[r]), max(highs[r]), start, end)) for r in range(len(q))]
-                out = batch.take(pa.array(np.repeat(np.arange(len(q)), [len(g) for g in goes])))
-                cell = pa.array([c for own in goes for c in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([*out.columns, cell], names=[*batch.schema.names, "_cell"])
-
-        wide = anchors.join(wide, "_anchor").select("_anchor", "label", "v", "lows", "highs")
-        asks, _ = restage(in_tasks(wide, visits, StructType([*wide.schema.fields, StructField("_cell", LongType())])), "asks")
-        asked = np.ones(len(cells.counts), np.int64)
-        for r in asks.groupBy("_cell").count().collect():  # at most one row a cell
-            asked[r["_cell"]] = -(-r["count"] // PART_ANCHORS)
-        if asks.isEmpty():  # a round's rows may be all before the next one starts
+                yield from asked_for(batch, cells, runs, start, end)
+
+        # dealt out by number: few bytes, but each row is a search
+        wide = anchors.join(wide, "_anchor").select("_anchor", "label", "v", "lows", "highs").repartition(partitions(spark), "_anchor")
+        schema = StructType([*wide.schema.fields, StructField("_bin", LongType()), StructField("_marks", BinaryType())])
+        asks, path = restage(in_tasks(wide, visits, schema), "asks")
+        asked = np.zeros(len(runs.first), np.int64)
+        for r in asks.groupBy("_bin").count().collect():  # at most one row a bin
+            asked[r["_bin"]] = -(-r["count"] // PART_ANCHORS)
+        if not asked.any():  # a round's rows may be all before the next one starts
+            discard(spark, path)
             continue
-        cell = (F.col("_cell") + 1).cast("int")
-        groups = F.element_at(F.lit(asked.tolist()), cell)
-        parts = F.element_at(F.lit(np.maximum(1, -(-cells.counts // PART_ROWS)).tolist()), cell)
+        at = (F.col("_bin") + 1).cast("int")
+        groups = F.element_at(F.lit(asked.tolist()), at)
+        parts = F.element_at(F.lit(runs.parts.tolist()), at)
         none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        left = index.rows.withColumn("_group", F.explode(F.sequence(none, groups - one)))
+        left = index.rows.where(groups > 0).withColumn("_group", F.explode(F.sequence(none, groups - one)))
         right = asks.withColumn("_group", F.pmod(F.xxhash64("_anchor"), groups)).withColumn("_part", F.explode(F.sequence(none, parts - one)))
-        wanted = asks.select("_cell").distinct()
-        left = left.join(F.broadcast(wanted), "_cell", "left_semi")  # at most one row a cell
-        key = ["_cell", "_part", "_group"]
+        key = ["_bin", "_part", "_group"]
         width = cells.width
-        meet = lambda rows, some: (
-            best_in_part(rows, some, width, k, same) if rows.num_rows and some.num_rows
-            else pa.table({"_anchor": pa.array([], pa.int64()), "_w": pa.array([], pa.int32()), "score": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "_row": pa.array([], pa.int64())})
-        )
+
+        def meet(rows: pa.Table, some: pa.Table) -> pa.Table:
+            if not rows.num_rows or not some.num_rows:
+                return NOTHING
+            return best_in_part(rows, some, width, k, same, int(runs.first[some.column("_bin")[0].as_py()]))
+
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, kept)
+        before = None
         if best is not None:
-            found = found.unionByName(best.drop("_rank"))
-        best, _ = restage(found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k), "best")
+            found, before = found.unionByName(best.drop("_rank")), best_path
+        best, best_path = restage(found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k), "best")
+        for done in (path, before):
+            if done:
+                discard(spark, done)
     if best is None:
-        best = anchors.sparkSession.createDataFrame([], kept + ", _rank int")
+        best = spark.createDataFrame([], kept + ", _rank int")
     return best
 
 

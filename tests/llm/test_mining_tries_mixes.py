@@ -4,9 +4,10 @@ import hashlib
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,30 @@ def test_cells_are_visited_by_falling_bounds_and_left_when_certified():
     assert set(held[scores >= low]) <= set(goes) and len(goes) < np.count_nonzero(counts)
 
 
+def test_askings_leave_a_task_in_small_batches():
+    rng = np.random.default_rng(6)
+    side, width = 40, 8
+    books = rng.normal(size=(2, side, width // 2)) * 256
+    counts = rng.integers(0, 400, side * side)
+    cells = hard_negatives.Cells(width, tuple(books), tuple(np.full(side, 1e4) for _ in range(2)), counts)  # no bound excludes a cell
+    runs = hard_negatives.bins(counts)
+    held = np.bincount(runs.of, counts, len(runs.first))
+    assert held.max() <= hard_negatives.PART_ROWS and len(runs.first) < side * side / 10
+    q = rng.integers(-200, 200, (900, width))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(900)), pa.array(np.zeros(900, np.int64)), hard_negatives.packed(q), pa.array([[-(1 << 62)]] * 900), pa.array([[1 << 62]] * 900)],
+        names=["_anchor", "label", "v", "lows", "highs"],
+    )
+    seen = Counter()
+    for out in hard_negatives.asked_for(batch, cells, runs, 0, math.inf):
+        assert out.num_rows <= hard_negatives.ASKS + len(runs.first) and out.nbytes < 1_000_000
+        for anchor, number, marks in zip(*(out.column(c).to_pylist() for c in ("_anchor", "_bin", "_marks"))):
+            asked = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8))) + runs.first[number]
+            assert (counts[asked] > 0).all() and (runs.of[asked] == number).all()
+            seen[anchor] += len(asked)
+    assert seen == {a: np.count_nonzero(counts) for a in range(900)}
+
+
 # --- prefix trie -----------------------------------------------------------------
 
 
