@@ -662,12 +662,15 @@ def verified_links(docs: DataFrame, described: DataFrame, family: DataFrame, ran
 
 def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """For each row doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    described, _ = restage(describe(docs, size), "sets")
-    ranks = frequency_ranks(described)
-    described = described.where(F.col("block").isNull()).select("doc_id", "n", "sid")
+    spark = docs.sparkSession
+    counted, path = restage(describe(docs, size), "counted-sets")
+    ranks = frequency_ranks(counted)
+    described, _ = restage(counted.where(F.col("block").isNull()).select("doc_id", "n", "sid"), "sets")
+    discard(spark, path)  # each task's counters are far larger than the sets' names
     family = families(docs, described, ranks, size, percent)
-    family, _ = restage(family, "families")
+    family, path = restage(family, "families")
     links = verified_links(docs, described, family, ranks, size, percent)
+    discard(spark, path)
     linked, _ = restage(components(links), "linked")
     # copies, then links: the smallest document of each set, of each component, and back
     one = described.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"))

@@ -283,3 +283,26 @@ def test_staged_results_give_their_shuffles_back(spark):
         time.sleep(0.1)
     assert not shuffled() - before
     assert staged.count() == 100
+
+
+def test_stage_of_near_copies_leaves_no_counters_and_classes(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from cashweave.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    rows = copies(9)
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    staged = {name.rpartition("-")[0] for name in os.listdir(tmp_path)}
+    assert {"copies", "repeated"} <= staged
+    assert not staged & {"classes", "linked-rows", "counted-sets", "families", "family-sets"}
+    assert not any("counts" in spark.read.parquet(str(tmp_path / name)).columns for name in os.listdir(tmp_path) if name.startswith("sets"))
+    got = [r["text"] for r in kept.collect()]
+    first = {}  # of each component the smallest id, null ids last; of rows equal in id and text one
+    numbered = [(i, *r[1:]) for i, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    texts = {i: t for i, t, *_ in numbered}
+    for i, _, component in plain_components(numbered):
+        first[component] = min(first.get(component, i), i)
+    blank = [t for t in texts.values() if not (t or "").split()]
+    assert sorted(map(str, got)) == sorted([str(texts[i]) for c, i in first.items() if (texts[i] or "").split()] + list(map(str, blank)))
